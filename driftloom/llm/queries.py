@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,53 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatting of all `conversations` and conversation -1, read back from the output."""
+    own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    done = chat.format_conversations(own.unionByName(extra))
+    back = chat.read_conversations(done)
+    loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of all `documents`, sources weighing 1, 2, 3 in turn."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.size("draws").cast("long").alias("n_draws"))
+
+
 QUERIES = {
+    "op7_chat": op7_chat,
+    "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+
+#: Rows of op7: the turns as they are, and the length that the template gives them.
+OP7_SQL = """
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n,
+  lag(role) over (partition by conv_id order by turn nulls first, role, text) as before from c),
+e as (select *, before is null or before <> role as opens,
+  length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) as text_chars,
+  length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) as role_chars from o)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by n), '')) as loss_sha256,
+  cast(sum(text_chars + 6 + case when opens then role_chars + 9 + 11 else 0 end) as bigint) as formatted_chars
+from e group by conv_id"""
+
+ORACLES: dict[str, str] = {
+    "op7_chat": OP7_SQL,
+}
