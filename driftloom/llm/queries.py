@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, simhash
+from . import chat, exact, mixing, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of all `pages`, written and read back."""
+    path = warc.new_path(spark)
+    warc.write(_table(spark, sf_dir, "pages"), path, least_bytes=0)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical exact digests of all `documents` and of their edited texts."""
+    return exact.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formatting of all `conversations` and conversation -1, read back from the output."""
     own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -43,6 +55,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
+    "op4_fingerprints": op4_fingerprints,
     "op7_chat": op7_chat,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
