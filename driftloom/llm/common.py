@@ -26,14 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table to the shared folder and read it back.
 
     This ends the lineage there: a lost executor costs no recomputation beyond
-    the table, and every later reader sees the same rows.
+    the table, and every later reader sees the same rows.  ``files`` limits the
+    number of files of a table whose rows are bounded.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

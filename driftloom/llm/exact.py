@@ -79,8 +79,8 @@ def with_next(docs: DataFrame, parts: int = PARTS) -> DataFrame:
     # at most ``parts`` of them, so their ids are broadcast to fetch the texts.
     source = columns_apart(docs, "doc_id", "text").withColumn("part", part)
     firsts = source.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("f")).select(F.col("part").alias("of"), F.col("f.doc_id").alias("first"))
-    heads = source.join(F.broadcast(cut(firsts, "firsts")), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    heads = cut(heads.groupBy("part").agg(F.min(F.struct(F.col("text").isNotNull().alias("some"), "text")).alias("h")).select("part", F.col("h.text").alias("head")), "heads")
+    heads = source.join(F.broadcast(cut(firsts, "firsts", 1)), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    heads = cut(heads.groupBy("part").agg(F.min(F.struct(F.col("text").isNotNull().alias("some"), "text")).alias("h")).select("part", F.col("h.text").alias("head")), "heads", 8)
     back = Window.orderBy("part")
     turn = heads.select("part").withColumn("before", F.coalesce(F.lag("part").over(back), F.max("part").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     heads = heads.join(turn, "part").select(F.col("before").alias("part"), "head", F.lit(True).alias("last"))
@@ -104,8 +104,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     where fingerprint and bytes agree, else 0.
     """
     clash = collided(docs)
-    clash = cut(clash, "clashes")
     any_clash = clash.limit(1).count() > 0
+    clash = cut(clash, "clashes") if any_clash else clash
     own = with_next(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("next_text", F.lit("")).alias("next_text"))
     own = own.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     own = own.select(
