@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, mixing, simhash, warc
+from . import chat, exact, langid, mixing, pii, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of `documents`."""
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    return found.select(
+        "doc_id",
+        *[F.size(F.col("base")[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(pii.all_spans(F.col("base"), none)), 256).alias("base_sha256"),
+        pii.listed(pii.all_spans(F.col("base"), F.col("extra"))).alias("spans"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mix of all `documents`, sources weighing 1, 2, 3 in turn."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.size("draws").cast("long").alias("n_draws"))
@@ -64,6 +76,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_fingerprints": op4_fingerprints,
     "op7_chat": op7_chat,
+    "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
