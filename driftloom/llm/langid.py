@@ -191,47 +191,83 @@ def train(docs: DataFrame, path: str = VOCABULARY, docs_per_lang: int = TRAIN_DO
     return langs, pieces, prob
 
 
+class Predictor:
+    """Predicts texts; remembers the words that it has scored."""
+
+    def __init__(self, langs: list[str], pieces: list[str], prob):
+        import numpy as np
+
+        self.langs, self.index, self.prob = langs, {p: i for i, p in enumerate(pieces)}, prob
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, len(langs)))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        import numpy as np
+
+        counts = [Counter(words_of(t)) if t and self.langs else None for t in texts]
+        if len(self.known) > MEMORY:
+            self.known, self.table = {}, np.zeros((0, len(self.langs)))
+        known = self.known
+        new = list({w for c in counts if c for w in c if w not in known})
+        if new:
+            used = len(known)
+            known.update(zip(new, range(used, used + len(new))))
+            self.table = _grown(self.table, used, word_scores(new, self.index, self.prob))
+        out = []
+        for c in counts:
+            if not c:
+                out.append(("und", 0.0))
+                continue
+            total = np.fromiter(c.values(), float, len(c)) @ self.table[np.fromiter(map(known.__getitem__, c), np.int64, len(c))]
+            best = int(total.argmax())
+            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
+
+
 def predict(docs: DataFrame, model) -> DataFrame:
     """doc_id, lang_pred, score of every row (doc_id, text).
 
     ``und`` with score 0 where the text is null or has no letter, or where no
     language was learnt.  The score is the language's share of the likelihood.
     """
-    langs, pieces, prob = model
-    shared = docs.sparkSession.sparkContext.broadcast((langs, {p: i for i, p in enumerate(pieces)}, prob))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        import numpy as np
         import pyarrow as pa
 
-        langs, index, prob = shared.value
-        known: dict[str, int] = {}
-        table = np.zeros((0, len(langs)))
+        ask = Predictor(*shared.value)
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, len(batch), 200)):
-                counts = [Counter(words_of(t)) if t and langs else None for t in part.column(1).to_pylist()]
-                if len(known) > MEMORY:
-                    known, table = {}, np.zeros((0, len(langs)))
-                new = list({w for c in counts if c for w in c if w not in known})
-                if new:
-                    known.update(zip(new, range(len(known), len(known) + len(new))))
-                    table = _grown(table, len(known) - len(new), word_scores(new, index, prob))
-                pred, score = [], []
-                for c in counts:
-                    if not c:
-                        pred.append("und")
-                        score.append(0.0)
-                        continue
-                    total = np.fromiter(c.values(), float, len(c)) @ table[np.fromiter(map(known.__getitem__, c), np.int64, len(c))]
-                    best = int(total.argmax())
-                    pred.append(langs[best])
-                    score.append(float(1 / np.exp(total - total[best]).sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                said = ask(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return columns_apart(docs, "doc_id", "text").mapInArrow(work, f"doc_id {kind}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, path: str = VOCABULARY, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with a score of ``least``.
+
+    Learnt from the rows that are not held out.  Where no row has a language,
+    nothing is learnt and no row is accepted.
+    """
+    model = train(docs.where(~held_out(F.col("doc_id"), 4, 2)), path)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def work(batches):
+        import pyarrow as pa
+
+        ask = Predictor(*shared.value)
+        for batch in batches:
+            for part in (batch.slice(i, 200) for i in range(0, len(batch), 200)):
+                said = ask(part.column(place).to_pylist())
+                yield part.filter(pa.array([lang != "und" and score >= least for lang, score in said], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def _grown(table, used: int, rows):
     """``rows`` written behind the first ``used`` ones; room doubles as needed."""
     import numpy as np

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, mixing, pii, simhash, toxicity, warc
+from . import chat, decontam, exact, langid, mixing, pii, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that overlap: documents not listed are clean."""
+    found = decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "place", "compared", "agree")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formatting of all `conversations` and conversation -1, read back from the output."""
     own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -81,6 +87,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_warc": op3_warc,
     "op4_fingerprints": op4_fingerprints,
+    "op6_decontam": op6_decontam,
     "op7_chat": op7_chat,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,

@@ -65,3 +65,9 @@ def test_odd_rows(spark):
     assert langid.identify(spark.createDataFrame([], KIND)).collect() == []
     unlearnt = langid.identify(spark.createDataFrame([(1, "abc", None, 0)], KIND)).collect()
     assert unlearnt[0].lang_pred == "und" and not math.isnan(unlearnt[0].score)
+
+
+def test_accepted_rows_keep_all_columns(spark):
+    rows = [(i, "the house and the garden", "aa", i) for i in range(30)] + [(40, "12 34", "aa", 7), (41, None, None, 8), (None, "the house", None, 9)]
+    got = langid.accepted(spark.createDataFrame(rows, KIND)).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in got) == [(-1, 9)] + [(i, i) for i in range(30)]
