@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, langid, mixing, pii, simhash, toxicity, warc
+from . import chat, decontam, exact, langid, mixing, pii, simhash, suffix, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that an earlier one of `documents` has, removed."""
+    return suffix.deduplicate(_table(spark, sf_dir, "documents"), least=50)
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that overlap: documents not listed are clean."""
     found = decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -87,6 +92,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_warc": op3_warc,
     "op4_fingerprints": op4_fingerprints,
+    "op5_suffix": op5_suffix,
     "op6_decontam": op6_decontam,
     "op7_chat": op7_chat,
     "op8_pii": op8_pii,
