@@ -12,6 +12,7 @@ import dataclasses
 import os
 import sys
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def _analyze(spark: SparkSession, args: argparse.Namespace) -> int:
         anchors = runs.select("run_id", F.lit("text").alias("kind"), F.array(F.lit(args.anchor)).alias("texts")) if args.anchor else None
         _, reports = analyze(steps, Settings(profile=profile), anchors, nli=not args.no_nli, notes=notes)
         report = reports.first()
-    except (PySparkException, OSError, ValueError) as e:
+    except (PySparkException, Py4JError, OSError, ValueError) as e:
         print(f"can't be read: {args.file}: {str(e).splitlines()[0]}", file=sys.stderr)
         return 2
     if report is None:

@@ -67,7 +67,7 @@ def certainty(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
 def sentences(text: Column) -> Column:
     """Parts of a text that end in . ! or ? before white space."""
     parts = F.split(F.regexp_replace(text, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", ""), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def facts(text: Column, max_facts: int, min_chars: int) -> Column:
@@ -84,7 +84,7 @@ def facts(text: Column, max_facts: int, min_chars: int) -> Column:
 
 def listed_facts(texts: Column, max_facts: int) -> Column:
     """A list of facts as it is, without blank ones."""
-    return F.slice(F.filter(F.transform(texts, F.trim), lambda t: t != ""), 1, max_facts)
+    return F.slice(F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != ""), 1, max_facts)
 
 
 def contains_any(text: Column, markers: tuple[str, ...]) -> Column:

@@ -25,9 +25,12 @@ def candidates(signals: DataFrame, settings: Settings = Settings(), nli: bool =
     number = F.lit(0)
     for f in fires:
         number = number + F.coalesce(f.cast("int"), F.lit(0))
-    rows = signals.withColumn("crossed", number).withColumn("margin", F.greatest(*crossed)).where("crossed > 0")
+    unitless = F.lit(False)
+    for f, c in zip(fires, crossed):
+        unitless = unitless | F.coalesce(f & c.isNull(), F.lit(False))
+    rows = signals.withColumn("crossed", number).withColumn("unitless", unitless).withColumn("margin", F.greatest(*crossed)).where("crossed > 0")
     first = F.row_number().over(Window.partitionBy("run_id").orderBy("ordinal")) == 1
     plain = 0.6 * F.col("crossed") / len(fires) + 0.4 * F.least(F.lit(1.0), F.col("margin"))
-    plain = F.when(F.col("margin").isNotNull(), plain)
+    plain = F.when(~F.col("unitless"), plain)
     boosted = F.when(first & plain.isNotNull(), F.least(F.lit(1.0), plain + 0.1)).otherwise(plain)
     return rows.withColumn("confidence", F.round(boosted, 3)).select("run_id", "ordinal", "step_id", "agent_name", "drift_prev", "drift_anchor", "entailment", "aggregate", "crossed", "confidence")

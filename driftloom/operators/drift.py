@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..functions.vectors import cosine, mean_present, ratio
-from .steps import W
+from .steps import by_run
 
 
 def _ended(df: DataFrame, own_anchor: bool) -> DataFrame:
@@ -54,7 +54,7 @@ def bag_drift(steps: DataFrame, anchors: DataFrame | None = None, buckets: int |
         F.max("own_anchor").alias("own"), F.max("anchor_norm").alias("given_norm"),
     )
     zero = F.lit(0.0)
-    before, start = F.lag("norm").over(W), F.first("norm").over(W)
+    before, start = F.lag("norm").over(by_run()), F.first("norm").over(by_run())
     out = sums.select(
         "run_id", "ordinal", "own",
         (1 - ratio(F.col("prev"), F.col("norm") * before, zero)).alias("drift_prev"),
@@ -72,7 +72,7 @@ def dense_drift(steps: DataFrame, vector: str, anchors: DataFrame | None = None)
     else:
         own = own.withColumn("anchor", F.lit(None).cast(own.schema["v"].dataType))
     given = F.col("anchor").isNotNull()
-    own = own.withColumn("prev", F.lag("v").over(W)).withColumn("start", F.first("v").over(W)).withColumn("own", given)
+    own = own.withColumn("prev", F.lag("v").over(by_run())).withColumn("start", F.first("v").over(by_run())).withColumn("own", given)
     out = own.select(
         "run_id", "ordinal", (1 - cosine(F.col("v"), F.col("prev"))).alias("drift_prev"),
         F.when(F.col("own") | (F.col("ordinal") > 0), 1 - cosine(F.col("v"), F.coalesce("anchor", "start"))).alias("drift_anchor"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import reason_signal
 from ..functions.vectors import ratio
 from .inject import draw
-from .steps import W
+from .steps import by_run
 
 
 def first_flagged(signals: DataFrame, flag: str = "flagged") -> DataFrame:
@@ -76,7 +76,7 @@ def signal_counts(signals: DataFrame) -> DataFrame:
 
 def consecutive_flags(signals: DataFrame) -> DataFrame:
     """run_id, consecutive: whether two steps in a row are flagged."""
-    pairs = signals.withColumn("pair", F.col("flagged") & F.coalesce(F.lead("flagged").over(W), F.lit(False)))
+    pairs = signals.withColumn("pair", F.col("flagged") & F.coalesce(F.lead("flagged").over(by_run()), F.lit(False)))
     return pairs.groupBy("run_id").agg(F.bool_or("pair").alias("consecutive"))
 
 

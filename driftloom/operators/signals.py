@@ -10,19 +10,19 @@ from ..functions.text import certainty, facts, listed_facts
 from ..functions.vectors import clip, weighted_mean
 from .drift import bag_drift
 from .scorers import overlap_entailment
-from .steps import W
+from .steps import by_run
 
 
 def entailment(steps: DataFrame) -> DataFrame:
     """run_id, ordinal, entailment, neutral, contradiction of each step by the one before."""
-    judged = steps.withColumn("e", overlap_entailment(F.lag("text").over(W), F.col("text")))
+    judged = steps.withColumn("e", overlap_entailment(F.lag("text").over(by_run()), F.col("text")))
     return judged.select("run_id", "ordinal", "e.entailment", "e.neutral", "e.contradiction")
 
 
 def certainties(steps: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """run_id, ordinal, score, hits, conclusive, and certainty_delta: the rise since the step before, 0 for the first."""
     own = steps.select("run_id", "ordinal", certainty(F.col("text"), settings.lexicon).alias("c")).select("run_id", "ordinal", "c.*")
-    return own.withColumn("certainty_delta", F.coalesce(clip(F.col("score") - F.lag("score").over(W)), F.lit(0.0)))
+    return own.withColumn("certainty_delta", F.coalesce(clip(F.col("score") - F.lag("score").over(by_run())), F.lit(0.0)))
 
 
 def anchor_facts(anchors: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -40,7 +40,7 @@ def coverage(steps: DataFrame, facts_by_run: DataFrame, threshold: float) -> Dat
     own = steps.join(facts_by_run, "run_id")
     held = F.filter("facts", lambda f: overlap_entailment(F.col("text"), f)["entailment"] >= threshold)
     own = own.select("run_id", "ordinal", (F.size(held) / F.size("facts")).alias("coverage"))
-    return own.withColumn("omission", F.greatest(F.lit(0.0), F.lag("coverage", 1, 1.0).over(W) - F.col("coverage")))
+    return own.withColumn("omission", F.greatest(F.lit(0.0), F.lag("coverage", 1, 1.0).over(by_run()) - F.col("coverage")))
 
 
 def aggregate_score(settings: Settings) -> Column:
@@ -84,9 +84,9 @@ def signals(steps: DataFrame, settings: Settings = Settings(), anchors: DataFram
     the anchor and coverage is null.  ``drift`` and ``judged`` take the place
     of the model-free scores, as (run_id, ordinal, ...) tables.
     """
-    own = steps.withColumn("e", overlap_entailment(F.lag("text").over(W), F.col("text")) if nli and judged is None else F.lit(None).cast("struct<entailment:double,neutral:double,contradiction:double>"))
+    own = steps.withColumn("e", overlap_entailment(F.lag("text").over(by_run()), F.col("text")) if nli and judged is None else F.lit(None).cast("struct<entailment:double,neutral:double,contradiction:double>"))
     own = own.withColumn("c", certainty(F.col("text"), settings.lexicon))
-    own = own.withColumn("certainty_delta", F.coalesce(clip(F.col("c.score") - F.lag("c.score").over(W)), F.lit(0.0)))
+    own = own.withColumn("certainty_delta", F.coalesce(clip(F.col("c.score") - F.lag("c.score").over(by_run())), F.lit(0.0)))
     own = own.select("run_id", "ordinal", "step_id", "step_num", "agent_name", "role", "text", F.col("e.entailment").alias("entailment"), F.col("e.contradiction").alias("contradiction"), F.col("c.score").alias("certainty"), "certainty_delta", F.col("c.conclusive").alias("conclusive"))
     if judged is not None:
         own = own.drop("entailment", "contradiction").join(judged.select("run_id", "ordinal", "entailment", "contradiction"), ["run_id", "ordinal"], "left")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.text import measurable
 
 STEP_COLUMNS = ("run_id", "pos", "step_id", "agent_name", "role", "text")
-#: The one window of all per-run sequence expressions: one exchange serves them.
-W = Window.partitionBy("run_id").orderBy("ordinal")
+
+
+def by_run() -> WindowSpec:
+    """The one window of all per-run sequence expressions: one exchange serves them."""
+    return Window.partitionBy("run_id").orderBy("ordinal")
 
 
 def as_steps(df: DataFrame, run: str, pos: str, text: str = "text", role: str | None = None, agent: str | None = None) -> DataFrame:

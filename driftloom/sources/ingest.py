@@ -74,7 +74,7 @@ def payloads_of(texts: DataFrame) -> DataFrame:
     whole = F.try_parse_json("value")
     array = F.when(F.coalesce(F.schema_of_variant(whole).startswith("ARRAY"), F.lit(False)), whole.cast("array<variant>")).otherwise(F.raise_error(F.concat(F.lit("not a JSON array of steps: "), F.col("run_id"))).cast("array<variant>"))
     by_line = F.filter(F.split("value", r"\r\n|\n|\r"), lambda x: x.rlike(r"\S"))
-    each = F.when(lines, by_line).otherwise(F.transform(array, F.to_json))
+    each = F.when(lines, by_line).otherwise(F.transform(array, lambda v: F.to_json(v)))
     return texts.select("run_id", F.posexplode(each).alias("idx", "payload"))
 
 
