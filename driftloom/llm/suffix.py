@@ -1,6 +1,6 @@
 """Removal of byte strings that an earlier document has, by a Burrows-Wheeler transform.
 
-Every string of ``least`` bytes is dealt by its smallest hashed 16-gram, its
+Every string of ``least`` bytes is dealt by its smallest hashed 24-gram, its
 anchor, so equal strings meet.  A run of strings in a row with one anchor is
 one content.  In order:
 
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import columns_apart
 
 #: Shortest match, bytes of an anchor.
-LEAST, GRAM = 50, 16
+LEAST, GRAM = 50, 24
 #: Bytes of text in a group of documents, worked on at once, and of contents in one transform.
-GROUP, CHUNK, TEXT = 2 << 20, 1 << 19, 1 << 17
+GROUP, CHUNK, TEXT = 2 << 20, 1 << 19, 1 << 16
 #: Bytes of text for one bucket of anchors and one of contents.
 PER_ANCHORS, PER_CONTENTS = 8 << 20, 4 << 20
 MASK = (1 << 20) - 1
@@ -248,7 +248,8 @@ def intervals(text, least: int = LEAST):
     The order is by 8, 16, 32 bytes and so on, until it is by ``least`` or
     more.  Then, on the transform, the boundaries within l + 1 bytes are those
     within l, each put before every byte: two neighbours in a byte's block
-    stay together if no boundary is between them.
+    stay together if no boundary is between them.  Which of two suffixes that
+    agree so far comes first makes no difference.
     """
     import numpy as np
 
@@ -259,11 +260,11 @@ def intervals(text, least: int = LEAST):
         key = (key << np.uint64(8)) | padded[j : j + n]
     depth = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate(([1], ranked[1:] != ranked[:-1])))
-        if depth >= least:
+        rank[order] = np.cumsum(np.concatenate(([True], ranked[1:] != ranked[:-1])), dtype=np.uint64)
+        if depth >= least or rank[order[-1]] == n:
             break
         key = (rank << np.uint64(32)) | np.roll(rank, -depth)
         depth *= 2
@@ -272,33 +273,39 @@ def intervals(text, least: int = LEAST):
     blocks = np.concatenate(([True], last[back][1:] != last[back][:-1]))
     apart = np.zeros(n, bool)
     apart[0] = True
+    inside, moved = np.empty(n, np.int32), np.empty(n, np.int32)
     for _ in range(least):
-        inside = np.cumsum(apart, dtype=np.int32)[back]
+        np.cumsum(apart, dtype=np.int32, out=inside)
+        np.take(inside, back, out=moved, mode="clip")
         further = blocks.copy()
-        further[1:] |= inside[1:] != inside[:-1]
+        further[1:] |= moved[1:] != moved[:-1]
         if np.array_equal(further, apart):
             break
         apart = further
     return order, apart
 
 
-def owners(contents: list[bytes], lows, least: int = LEAST) -> list:
-    """The smallest doc_id of each string of each content; ``lows`` has that of each content."""
+def owners(contents: list[bytes], lows, least: int = LEAST):
+    """The smallest doc_id of each string of the contents, one after another; ``lows`` has that of each content."""
     import numpy as np
 
     sizes = np.array([len(c) + 1 for c in contents])
     text = np.frombuffer(b"\xff".join(contents) + b"\xff", np.uint8)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     order, apart = intervals(text, least)
     doc = np.repeat(np.asarray(lows, np.int64), sizes)[order]
     begin = np.flatnonzero(apart)
     least_doc = np.empty(len(text), np.int64)
     least_doc[order] = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.concatenate((begin, [len(text)]))))
-    return [least_doc[s : s + n - least] for s, n in zip(starts, sizes)]
+    # Only the strings that begin least bytes or more before a content's end.
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
+    return least_doc[left > least]
 
 
 def owning(least: int):
-    """Step 3: who owns each string of the contents of some anchors."""
+    """Step 3: who owns each string of the contents of some anchors.
+
+    Contents are the same where anchor, 64-bit hash and length are.
+    """
 
     def work(key, table):
         import numpy as np
@@ -306,59 +313,84 @@ def owning(least: int):
         import zstandard
 
         unpress = zstandard.ZstdDecompressor()
-        index: dict[bytes, int] = {}
-        anchors, lows, sent = [], [], []
-        for r, blob in zip(table.column("r").to_pylist(), table.column("blob").to_pylist()):
-            raw = unpress.decompress(blob)
-            n = int.from_bytes(raw[:8], "little")
-            content, anchor, low, high, count = np.frombuffer(raw, "<u8", 5 * n, 8).reshape(5, n)
-            at, ids = 8 + 40 * n, []
-            for a, d, c in zip(anchor.tolist(), low.view(np.int64).tolist(), count.tolist()):
-                one = raw[at : at + c + least - 1]
-                at += c + least - 1
-                i = index.setdefault(one, len(anchors))
-                if i == len(anchors):
-                    anchors.append(a)
-                    lows.append(d)
-                elif d < lows[i]:
-                    lows[i] = d
-                ids.append(i)
-            sent.append((r, content, np.array(ids), high.view(np.int64), count.astype(np.int64)))
-        contents, lows = list(index), np.array(lows, np.int64)
-        order = np.argsort(np.array(anchors, np.uint64), kind="stable")
-        split: dict[int, list] = {}  # contents whose strings have several owners, or another than the content's own
-
-        def settle(batch: list[int]) -> None:
-            for i, who in zip(batch, owners([contents[i] for i in batch], lows[batch], least)):
-                if who[0] == lows[i] and (who == lows[i]).all():
-                    continue
-                cut = np.concatenate(([0], np.flatnonzero(who[1:] != who[:-1]) + 1, [len(who)]))
-                split[i] = [(int(a), int(b - a), int(who[a])) for a, b in zip(cut[:-1], cut[1:])]
-
-        batch, size = [], 0
-        for _, a, b in _split(np.array(anchors, np.uint64)[order], len(order)):
-            if b - a == 1:
-                continue  # nothing else has this anchor: all of the content is owned by its smallest doc_id
-            some = order[a:b].tolist()
-            more = sum(len(contents[i]) for i in some)
+        raws = [unpress.decompress(b) for b in table.column("blob").to_pylist()]
+        sizes = [int.from_bytes(raw[:8], "little") for raw in raws]
+        heads = [np.frombuffer(raw, "<u8", 5 * n, 8).reshape(5, n) for raw, n in zip(raws, sizes)]
+        content, anchor, low, high, count = np.concatenate(heads, axis=1)
+        low, high, count = low.view(np.int64), high.view(np.int64), count.astype(np.int64)
+        row = np.repeat(np.arange(len(raws)), sizes)
+        ends = np.concatenate([8 + 40 * h.shape[1] + np.cumsum(h[4].astype(np.int64) + least - 1) for h in heads])
+        _, first, inverse = np.unique(content ^ _mixed(anchor + count.astype(np.uint64)), return_index=True, return_inverse=True)
+        lows = np.full(len(first), NOBODY)
+        np.minimum.at(lows, inverse, low)
+        order = np.argsort(anchor[first])
+        _, counts = np.unique(anchor[first], return_counts=True)
+        # A content whose anchor nothing else has is owned by its smallest doc_id as a whole.
+        split_of, split_at, split_len, split_who = [], [], [], []
+
+        def settle(some) -> None:
+            own = first[some]
+            texts = [raws[r][e - n : e] for r, e, n in zip(row[own].tolist(), ends[own].tolist(), (count[own] + least - 1).tolist())]
+            who = owners(texts, lows[some], least)
+            number = count[own]
+            begin = np.concatenate(([0], np.cumsum(number)[:-1]))
+            mixed = np.flatnonzero(np.add.reduceat(who != np.repeat(lows[some], number), begin, dtype=np.int64))
+            if not len(mixed):
+                return
+            of = np.repeat(np.arange(len(some)), number)
+            keep = np.zeros(len(some), bool)
+            keep[mixed] = True
+            change = np.concatenate(([True], (who[1:] != who[:-1]) | (of[1:] != of[:-1])))
+            starts = np.flatnonzero(change)
+            lengths = np.diff(np.concatenate((starts, [len(who)])))
+            take = keep[of[starts]]
+            starts, lengths = starts[take], lengths[take]
+            split_of.append(some[of[starts]])
+            split_at.append(starts - begin[of[starts]])
+            split_len.append(lengths)
+            split_who.append(who[starts])
+
+        batch, size, at = [], 0, 0
+        bytes_of = count[first] + least - 1
+        for n in counts.tolist():
+            some = order[at : at + n]
+            at += n
+            if n == 1:
+                continue
+            more = int(bytes_of[some].sum())
             if batch and size + more > TEXT:
-                settle(batch)
+                settle(np.concatenate(batch))
                 batch, size = [], 0
-            batch += some
+            batch.append(some)
             size += more
         if batch:
-            settle(batch)
-        out_r, out = [], []
-        for r, content, ids, high, count in sent:
-            plain = np.array([i not in split for i in ids.tolist()], bool)
-            use = plain & (lows[ids] < high)
-            cols = [content[use], np.zeros(use.sum(), np.uint64), count[use].astype(np.uint64), lows[ids[use]].view(np.uint64)]
-            more = [(c, o, n, w) for c, i, h, p in zip(content.tolist(), ids.tolist(), high.tolist(), plain.tolist()) if not p for o, n, w in split[i] if w < h]
-            if more:
-                cols = [np.concatenate((x, np.array(y, np.int64 if k == 3 else np.uint64).view(np.uint64))) for k, (x, y) in enumerate(zip(cols, zip(*more)))]
-            if len(cols[0]):
-                out_r.append(r)
-                out.append(np.concatenate(cols).astype("<u8").tobytes())
+            settle(np.concatenate(batch))
+        # Answers: for each content sent, its owner, or the owners of its parts; only where some document loses by it.
+        is_split = np.zeros(len(first), bool)
+        plain = np.ones(len(content), bool)
+        columns = []
+        if split_of:
+            of = np.concatenate(split_of)
+            sort = np.argsort(of, kind="stable")
+            of, part_at, part_len, part_who = of[sort], *(np.concatenate(x)[sort] for x in (split_at, split_len, split_who))
+            is_split[of] = True
+            plain = ~is_split[inverse]
+            asked = np.flatnonzero(~plain)
+            lo, hi = np.searchsorted(of, inverse[asked], "left"), np.searchsorted(of, inverse[asked], "right")
+            sent = np.repeat(asked, hi - lo)
+            part = np.arange(len(sent)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+            lost = part_who[part] < high[sent]
+            sent, part = sent[lost], part[lost]
+            columns.append((row[sent], content[sent], part_at[part], part_len[part], part_who[part]))
+        whole = np.flatnonzero(plain & (lows[inverse] < high))
+        columns.append((row[whole], content[whole], np.zeros(len(whole), np.int64), count[whole], lows[inverse[whole]]))
+        to, *told = (np.concatenate(x) for x in zip(*columns))
+        sort = np.argsort(to, kind="stable")
+        told = np.stack([x[sort].view(np.uint64) for x in told]) if len(to) else np.zeros((4, 0), np.uint64)
+        groups, out_r, out = table.column("r").to_pylist(), [], []
+        for k, a, b in _split(to[sort], len(to)):
+            out_r.append(groups[k])
+            out.append(np.ascontiguousarray(told[:, a:b]).astype("<u8").tobytes())
         return _rows(["r", "q", "blob"], [pa.int64(), pa.int64(), pa.binary()], [out_r, [key[0].as_py()] * len(out), out])
 
     return work
@@ -418,8 +450,8 @@ def deduplicate(docs: DataFrame, least: int = LEAST, keep: bool = False) -> Data
     with one doc_id take nothing from each other.  Rows of other columns are
     not looked at.
     """
-    if least < 2 * GRAM:
-        raise ValueError(f"matches must have {2 * GRAM} bytes or more")
+    if least < GRAM:
+        raise ValueError(f"matches must have {GRAM} bytes or more")
     own = columns_apart(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups, buckets, spread = (max(1, -(-total // size)) for size in (GROUP, PER_ANCHORS, PER_CONTENTS))

@@ -75,7 +75,7 @@ def test_owners_are_the_smallest_documents():
     for c, d in zip(contents, [9, 4, 5]):
         for i in range(len(c) - 49):
             first[c[i : i + 50]] = min(first.get(c[i : i + 50], 99), d)
-    assert [list(x) for x in got] == [[first[c[i : i + 50]] for i in range(len(c) - 49)] for c in contents]
+    assert list(got) == [first[c[i : i + 50]] for c in contents for i in range(len(c) - 49)]
 
 
 @pytest.mark.parametrize("chunk", [1 << 19, 700])
