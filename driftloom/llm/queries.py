@@ -117,6 +117,15 @@ select conv_id, count(*) as n_turns,
   cast(sum(text_chars + 6 + case when opens then role_chars + 9 + 11 else 0 end) as bigint) as formatted_chars
 from e group by conv_id"""
 
+#: Rows of op3: each five digits of the hexadecimal SHA-1 are four in base 32.
+OP3_SQL = """
+with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as first from pages)
+select page_id, cast(strlen(t) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, cast((k // 4) * 5 + 1 as int), 5))::bigint >> cast(15 - 5 * (k % 4) as int)) & 31) + 1, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, true as whole
+from p"""
+
 ORACLES: dict[str, str] = {
+    "op3_warc": OP3_SQL,
     "op7_chat": OP7_SQL,
 }
