@@ -9,28 +9,30 @@ from ..config import Settings
 from ..functions.vectors import ratio
 
 
-def candidates(signals: DataFrame, settings: Settings = Settings(), nli: bool = True) -> DataFrame:
-    """run_id, ordinal, step_id, agent_name, crossed, confidence of every step that crosses drift or entailment.
+def candidate_columns(signals: DataFrame, settings: Settings = Settings(), nli: bool = True) -> DataFrame:
+    """``signals`` with crossed, how many of drift and entailment a step crosses, and its confidence.
 
     Confidence is 0.6 by the share of signals crossed and 0.4 by the largest
     margin in units of its threshold, and a tenth more for a run's first.
-    A threshold of 0 gives a null confidence.
+    It is null for steps that cross nothing or a threshold of 0.
     """
     t, tau = settings.profile.drift_threshold, settings.profile.entail_threshold
-    crossed = [F.when(F.col(c) > t, ratio(F.col(c) - t, F.lit(float(t)))) for c in ("drift_prev", "drift_anchor")]
-    fires = [F.col(c) > t for c in ("drift_prev", "drift_anchor")]
+    fires = {c: F.coalesce(F.col(c) > t, F.lit(False)) for c in ("drift_prev", "drift_anchor")}
+    margins = {c: F.when(f, ratio(F.col(c) - t, F.lit(float(t)))) for c, f in fires.items()}
     if nli:
-        crossed.append(F.when(F.col("entailment") < tau, ratio(F.lit(tau) - F.col("entailment"), F.lit(float(tau)))))
-        fires.append(F.col("entailment") < tau)
-    number = F.lit(0)
-    for f in fires:
-        number = number + F.coalesce(f.cast("int"), F.lit(0))
-    unitless = F.lit(False)
-    for f, c in zip(fires, crossed):
-        unitless = unitless | F.coalesce(f & c.isNull(), F.lit(False))
-    rows = signals.withColumn("crossed", number).withColumn("unitless", unitless).withColumn("margin", F.greatest(*crossed)).where("crossed > 0")
-    first = F.row_number().over(Window.partitionBy("run_id").orderBy("ordinal")) == 1
-    plain = 0.6 * F.col("crossed") / len(fires) + 0.4 * F.least(F.lit(1.0), F.col("margin"))
-    plain = F.when(~F.col("unitless"), plain)
-    boosted = F.when(first & plain.isNotNull(), F.least(F.lit(1.0), plain + 0.1)).otherwise(plain)
-    return rows.withColumn("confidence", F.round(boosted, 3)).select("run_id", "ordinal", "step_id", "agent_name", "drift_prev", "drift_anchor", "entailment", "aggregate", "crossed", "confidence")
+        fires["entailment"] = F.coalesce(F.col("entailment") < tau, F.lit(False))
+        margins["entailment"] = F.when(fires["entailment"], ratio(F.lit(tau) - F.col("entailment"), F.lit(float(tau))))
+    number, unitless = F.lit(0), F.lit(False)
+    for c, f in fires.items():
+        number, unitless = number + f.cast("int"), unitless | (f & margins[c].isNull())
+    rows = signals.withColumn("crossed", number)
+    first = F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("crossed") == 0, "ordinal")) == 1
+    plain = 0.6 * F.col("crossed") / len(fires) + 0.4 * F.least(F.lit(1.0), F.greatest(*margins.values()))
+    boosted = F.when(first, F.least(F.lit(1.0), plain + 0.1)).otherwise(plain)
+    return rows.withColumn("confidence", F.when((F.col("crossed") > 0) & ~unitless, F.round(boosted, 3)))
+
+
+def candidates(signals: DataFrame, settings: Settings = Settings(), nli: bool = True) -> DataFrame:
+    """run_id, ordinal, step_id, agent_name, signals, crossed, confidence of every step that crosses something."""
+    rows = candidate_columns(signals, settings, nli).where("crossed > 0")
+    return rows.select("run_id", "ordinal", "step_id", "agent_name", "drift_prev", "drift_anchor", "entailment", "aggregate", "crossed", "confidence")

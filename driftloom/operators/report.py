@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from .attribute import candidates
-from .classify import classification, rule_scores
+from .attribute import candidate_columns
+from .classify import chosen, rule_aggregates, rule_columns, scored
 from .signals import signals
 from .steps import densified, skip_notes
-from .verdict import verdicts
+from .verdict import extremes, triggered
 
 ENGINE = "0.1.0"
 STEP_FIELDS = ("ordinal", "step_id", "agent_name", "role", "drift_prev", "drift_anchor", "entailment", "contradiction", "certainty", "certainty_delta", "conclusive", "coverage", "omission", "aggregate", "flagged", "flag_reasons")
@@ -19,25 +19,31 @@ STEP_FIELDS = ("ordinal", "step_id", "agent_name", "role", "drift_prev", "drift_
 def analyze(steps: DataFrame, settings: Settings = Settings(), anchors: DataFrame | None = None, nli: bool = True, notes: DataFrame | None = None, **scorers) -> tuple[DataFrame, DataFrame]:
     """(signals, reports) of all runs in ``steps``.
 
-    A run's type and origins are worked out only where its verdict is true.
+    The signals are aggregated once: extremes, what the rules need, the steps
+    and the candidates of a run, by the partitioning that the windows have.
+    A run's types and origins are reported only where its verdict is true.
     ``degraded`` is true where entailment was asked for and none could be
     had; a run whose confidence can't be had (a threshold of 0) is reported as
     a monitoring failure, without steps.  Every run in ``steps`` has a report.
     """
     own = signals(densified(steps), settings, anchors, nli, **scorers)
-    decided = verdicts(own, settings.profile)
-    bad = own.join(decided.where("verdict").select("run_id"), "run_id", "left_semi")
-    kinds = classification(rule_scores(bad, settings, nli), settings.class_cutoff)
-    origin = candidates(bad, settings, nli)
-    origins = origin.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", F.col("step_id").alias("origin_step"), F.col("agent_name").alias("origin_agent"), "drift_prev", "drift_anchor", "entailment", "aggregate", "confidence"))).alias("attribution"),
-        F.bool_or(F.col("confidence").isNull()).alias("failed"),
+    rows = candidate_columns(rule_columns(own, settings, nli), settings, nli)
+    origin = F.when(F.col("crossed") > 0, F.struct("ordinal", F.col("step_id").alias("origin_step"), F.col("agent_name").alias("origin_agent"), "drift_prev", "drift_anchor", "entailment", "aggregate", "confidence"))
+    runs = rows.groupBy("run_id").agg(
+        *extremes(), *rule_aggregates(),
+        F.array_sort(F.collect_list(F.struct(*STEP_FIELDS))).alias("steps"), F.array_sort(F.collect_list(origin)).alias("origins"),
+        F.bool_or(F.col("entailment").isNotNull()).alias("judged"), F.bool_or((F.col("crossed") > 0) & F.col("confidence").isNull()).alias("unitless"),
+    )
+    runs = scored(runs.withColumn("f", triggered(settings.profile)), settings, nli).withColumn("verdict", F.size("f") > 0)
+    only = lambda c: F.when(F.col("verdict"), c)
+    runs = runs.select(
+        "run_id", "verdict", "judged", "steps", F.transform("f", lambda x: x["reason"]).alias("verdict_reasons"),
+        only(F.when(F.col("n") > 0, chosen(settings.class_cutoff, "any_flagged"))).alias("classification"), only(F.col("origins")).alias("attribution"), (F.col("verdict") & F.col("unitless")).alias("failed"),
     )
-    told = own.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*STEP_FIELDS))).alias("steps"), F.bool_or(F.col("entailment").isNotNull()).alias("judged"))
     said = skip_notes(steps)
     said = said.unionByName(notes) if notes is not None else said
     said = said.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("stage", "pos", "message"))), lambda n: n["message"]).alias("notes"))
-    rows = steps.select("run_id").distinct().join(told, "run_id", "left").join(decided, "run_id", "left").join(kinds, "run_id", "left").join(origins, "run_id", "left").join(said, "run_id", "left")
+    rows = steps.select("run_id").distinct().join(runs, "run_id", "left").join(said, "run_id", "left")
     failed = F.coalesce("failed", F.lit(False))
     empty = lambda c: F.when(failed, F.slice(F.col(c), 1, 0)).otherwise(F.coalesce(c, F.lit(None)))
     p = settings.profile

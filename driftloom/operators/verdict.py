@@ -28,9 +28,8 @@ def extremes() -> list[Column]:
     return out
 
 
-def verdicts(signals: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """run_id, verdict, verdict_codes, verdict_reasons of every run in ``signals``."""
-    rows = signals.groupBy("run_id").agg(*extremes())
+def triggered(profile: Profile = Profile()) -> Column:
+    """(code, reason) of each trigger that the run's extremes cross, in the order of TRIGGERS."""
     found = []
     for signal, kind, level_name, label in TRIGGERS:
         level = getattr(profile, level_name)
@@ -39,6 +38,10 @@ def verdicts(signals: DataFrame, profile: Profile = Profile()) -> DataFrame:
         x, sign = F.col(f"x_{signal}"), ">" if kind == "max" else "<"
         crossed = x["value"] > level if kind == "max" else x["value"] < level
         found.append(F.when(crossed, F.struct(F.lit(signal).alias("code"), F.format_string(f"{label} %.3f {sign} {level} at step %s", x["value"], x["step_id"]).alias("reason"))))
-    all_found = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<code:string,reason:string>>")
-    rows = rows.withColumn("f", all_found)
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<code:string,reason:string>>")
+
+
+def verdicts(signals: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """run_id, verdict, verdict_codes, verdict_reasons of every run in ``signals``."""
+    rows = signals.groupBy("run_id").agg(*extremes()).withColumn("f", triggered(profile))
     return rows.select("run_id", (F.size("f") > 0).alias("verdict"), F.transform("f", lambda x: x["code"]).alias("verdict_codes"), F.transform("f", lambda x: x["reason"]).alias("verdict_reasons"))
