@@ -118,6 +118,23 @@ def _group(table):
     return [t or b"" for t in table.column("text").to_pylist()], docs
 
 
+def _packed(keys) -> bytes:
+    """Sorted 32-bit numbers as compressed differences, byte by byte."""
+    import numpy as np
+    import zstandard
+
+    steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(blob: bytes):
+    import numpy as np
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64).astype(np.uint32)
+
+
 def _rows(schema_names, types, columns):
     import pyarrow as pa
 
@@ -168,7 +185,7 @@ def listing(buckets: int, least: int):
         found, _ = _group_runs(texts, docs, least)
         keys = np.unique(_anchor_keys(found[0], buckets)) if found else np.zeros(0, np.uint64)
         parts = _split(keys >> np.uint64(32), len(keys))
-        return _rows(["p", "r", "blob"], [pa.int64(), pa.int64(), pa.binary()], [[p for p, _, _ in parts], [key[0].as_py()] * len(parts), [keys[a:b].astype("<u4").tobytes() for _, a, b in parts]])
+        return _rows(["p", "r", "blob"], [pa.int64(), pa.int64(), pa.binary()], [[p for p, _, _ in parts], [key[0].as_py()] * len(parts), [_packed(keys[a:b] & np.uint64(0xFFFFFFFF)) for _, a, b in parts]])
 
     return work
 
@@ -180,7 +197,7 @@ def shared():
         import numpy as np
         import pyarrow as pa
 
-        blobs = [np.frombuffer(b, "<u4") for b in table.column("blob").to_pylist()]
+        blobs = [_unpacked(b) for b in table.column("blob").to_pylist()]
         keys = np.concatenate(blobs)
         order = np.argsort(keys, kind="stable")
         sorted_ = keys[order]
@@ -230,13 +247,13 @@ def sending(buckets: int, spread: int, least: int):
         at = some[first]
         bucket = (anchor[at] >> np.uint64(13)) % np.uint64(spread)
         order = np.argsort(bucket, kind="stable")
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         blobs, parts = [], _split(bucket[order], len(order))
         for _, a, b in parts:
             own = order[a:b]
             raw = b"".join(data[c][s : s + n + least - 1].tobytes() for c, s, n in zip(chunk[at[own]].tolist(), start[at[own]].tolist(), count[at[own]].tolist()))
-            head = np.concatenate((contents[own], anchor[at[own]], low[own].view(np.uint64), high[own].view(np.uint64), count[at[own]].astype(np.uint64))).astype("<u8")
-            blobs.append(press.compress(len(own).to_bytes(8, "little") + head.tobytes() + raw))
+            head = (contents[own].astype("<u8"), low[own].astype("<i8"), high[own].astype("<i8"), (anchor[at[own]] >> np.uint64(32)).astype("<u4"), count[at[own]].astype("<u4"))
+            blobs.append(press.compress(b"".join((len(own).to_bytes(8, "little"), *(h.tobytes() for h in head), raw))))
         return _rows(names, types, [[q for q, _, _ in parts], [key[0].as_py()] * len(parts), blobs])
 
     return work
@@ -304,7 +321,8 @@ def owners(contents: list[bytes], lows, least: int = LEAST):
 def owning(least: int):
     """Step 3: who owns each string of the contents of some anchors.
 
-    Contents are the same where anchor, 64-bit hash and length are.
+    Contents are the same where a 64-bit hash, length and half of the anchor's
+    hash are.  That contents of different anchors meet does no harm.
     """
 
     def work(key, table):
@@ -315,11 +333,13 @@ def owning(least: int):
         unpress = zstandard.ZstdDecompressor()
         raws = [unpress.decompress(b) for b in table.column("blob").to_pylist()]
         sizes = [int.from_bytes(raw[:8], "little") for raw in raws]
-        heads = [np.frombuffer(raw, "<u8", 5 * n, 8).reshape(5, n) for raw, n in zip(raws, sizes)]
-        content, anchor, low, high, count = np.concatenate(heads, axis=1)
-        low, high, count = low.view(np.int64), high.view(np.int64), count.astype(np.int64)
+        # Of each content: hash, smallest and largest doc_id, half of its anchor's hash, number of strings.
+        kinds, widths = ("<u8", "<i8", "<i8", "<u4", "<u4"), (8, 8, 8, 4, 4)
+        heads = [[np.frombuffer(raw, kind, n, 8 + n * sum(widths[:k])) for k, kind in enumerate(kinds)] for raw, n in zip(raws, sizes)]
+        content, low, high, anchor, count = (np.concatenate(x) for x in zip(*heads))
+        anchor, count = anchor.astype(np.uint64), count.astype(np.int64)
         row = np.repeat(np.arange(len(raws)), sizes)
-        ends = np.concatenate([8 + 40 * h.shape[1] + np.cumsum(h[4].astype(np.int64) + least - 1) for h in heads])
+        ends = np.concatenate([8 + n * sum(widths) + np.cumsum(h[4].astype(np.int64) + least - 1) for h, n in zip(heads, sizes)])
         _, first, inverse = np.unique(content ^ _mixed(anchor + count.astype(np.uint64)), return_index=True, return_inverse=True)
         lows = np.full(len(first), NOBODY)
         np.minimum.at(lows, inverse, low)
