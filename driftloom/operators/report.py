@@ -16,7 +16,7 @@ ENGINE = "0.1.0"
 STEP_FIELDS = ("ordinal", "step_id", "agent_name", "role", "drift_prev", "drift_anchor", "entailment", "contradiction", "certainty", "certainty_delta", "conclusive", "coverage", "omission", "aggregate", "flagged", "flag_reasons")
 
 
-def analyze(steps: DataFrame, settings: Settings = Settings(), anchors: DataFrame | None = None, nli: bool = True, notes: DataFrame | None = None, **scorers) -> tuple[DataFrame, DataFrame]:
+def analyze(steps: DataFrame, settings: Settings = Settings(), anchors: DataFrame | None = None, nli: bool = True, notes: DataFrame | None = None, failures: DataFrame | None = None, **scorers) -> tuple[DataFrame, DataFrame]:
     """(signals, reports) of all runs in ``steps``.
 
     The signals are aggregated once: extremes, what the rules need, the steps
@@ -24,7 +24,8 @@ def analyze(steps: DataFrame, settings: Settings = Settings(), anchors: DataFram
     A run's types and origins are reported only where its verdict is true.
     ``degraded`` is true where entailment was asked for and none could be
     had; a run whose confidence can't be had (a threshold of 0) is reported as
-    a monitoring failure, without steps.  Every run in ``steps`` has a report.
+    a monitoring failure, without steps, and so is one in ``failures`` (run_id,
+    message).  ``scorers`` are the tables of ``models.scores``.  Every run in ``steps`` has a report.
     """
     own = signals(densified(steps), settings, anchors, nli, **scorers)
     rows = candidate_columns(rule_columns(own, settings, nli), settings, nli)
@@ -44,7 +45,8 @@ def analyze(steps: DataFrame, settings: Settings = Settings(), anchors: DataFram
     said = said.unionByName(notes) if notes is not None else said
     said = said.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("stage", "pos", "message"))), lambda n: n["message"]).alias("notes"))
     rows = steps.select("run_id").distinct().join(runs, "run_id", "left").join(said, "run_id", "left")
-    failed = F.coalesce("failed", F.lit(False))
+    rows = rows.join(failures.select("run_id", "message"), "run_id", "left") if failures is not None else rows.withColumn("message", F.lit(None).cast("string"))
+    failed = F.coalesce("failed", F.lit(False)) | F.col("message").isNotNull()
     empty = lambda c: F.when(failed, F.slice(F.col(c), 1, 0)).otherwise(F.coalesce(c, F.lit(None)))
     p = settings.profile
     report = rows.select(
@@ -52,10 +54,10 @@ def analyze(steps: DataFrame, settings: Settings = Settings(), anchors: DataFram
         (F.coalesce("verdict", F.lit(False)) & ~failed).alias("verdict"),
         empty("verdict_reasons").alias("verdict_reasons"), empty("steps").alias("steps"), empty("classification").alias("classification"), empty("attribution").alias("attribution"),
         F.struct(*[F.lit(getattr(p, k)).cast("string" if k == "name" else "double").alias("profile" if k == "name" else k) for k in p.__dataclass_fields__]).alias("thresholds"),
-        F.struct(F.lit("bag of words").alias("embedding"), F.when(F.coalesce("judged", F.lit(False)), "word overlap").alias("nli")).alias("models"),
+        F.struct(F.lit("model" if "drift" in scorers else "bag of words").alias("embedding"), F.when(F.coalesce("judged", F.lit(False)), "model" if "judged" in scorers else "word overlap").alias("nli")).alias("models"),
         F.lit(ENGINE).alias("engine_version"), F.coalesce("notes", F.array().cast("array<string>")).alias("notes"),
         (failed | (~F.coalesce("judged", F.lit(False)) if nli else F.lit(False))).alias("degraded"),
-        F.when(failed, "a threshold of 0 leaves no unit for margins").alias("monitoring_failure"),
+        F.coalesce("message", F.when(failed, "a threshold of 0 leaves no unit for margins")).alias("monitoring_failure"),
     )
     lists = ("verdict_reasons", "steps", "classification", "attribution")
     for c in lists:

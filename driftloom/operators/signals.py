@@ -77,12 +77,12 @@ def _flags(settings: Settings) -> Column:
     )
 
 
-def signals(steps: DataFrame, settings: Settings = Settings(), anchors: DataFrame | None = None, nli: bool = True, buckets: int | None = 128, drift: DataFrame | None = None, judged: DataFrame | None = None) -> DataFrame:
+def signals(steps: DataFrame, settings: Settings = Settings(), anchors: DataFrame | None = None, nli: bool = True, buckets: int | None = 128, drift: DataFrame | None = None, judged: DataFrame | None = None, covered: DataFrame | None = None) -> DataFrame:
     """The signal row of each densified step.
 
     ``anchors`` is (run_id, kind, texts); without it each run's first step is
-    the anchor and coverage is null.  ``drift`` and ``judged`` take the place
-    of the model-free scores, as (run_id, ordinal, ...) tables.
+    the anchor and coverage is null.  ``drift``, ``judged`` and ``covered`` take
+    the place of the model-free scores, as (run_id, ordinal, ...) tables.
     """
     own = steps.withColumn("e", overlap_entailment(F.lag("text").over(by_run()), F.col("text")) if nli and judged is None else F.lit(None).cast("struct<entailment:double,neutral:double,contradiction:double>"))
     own = own.withColumn("c", certainty(F.col("text"), settings.lexicon))
@@ -93,8 +93,9 @@ def signals(steps: DataFrame, settings: Settings = Settings(), anchors: DataFram
     if drift is None:
         drift = bag_drift(steps, None if anchors is None else anchors.select("run_id", "texts"), buckets)
     own = own.join(drift.select("run_id", "ordinal", "drift_prev", "drift_anchor", "combined_drift"), ["run_id", "ordinal"], "left")
-    if anchors is not None:
+    if anchors is not None and covered is None:
         covered = coverage(steps, anchor_facts(anchors, settings), settings.profile.coverage_threshold)
+    if covered is not None:
         own = own.join(covered, ["run_id", "ordinal"], "left")
     else:
         own = own.withColumn("coverage", F.lit(None).cast("double")).withColumn("omission", F.lit(None).cast("double"))

@@ -184,3 +184,34 @@ def test_text_predicates(spark):
     assert value(spark, T.squeezed(F.lit("  a  b\n c "))) == "a b c"
     assert value(spark, T.contains_any(F.lit("Apakah ini"), ("apakah",))) and value(spark, T.batch_number(F.lit("organic-09"))) == 9
     assert [value(spark, T.reason_signal(F.lit(x))) for x in ("omission 1", "entailment 1", "aggregate 1", "drift_prev 1")] == ["omission", "entailment", "aggregate", "drift"]
+
+
+def test_failures_stay_with_their_runs(spark):
+    from driftloom.operators import models
+
+    own = steps(spark, ["a b", "a c", "d e"], run="fine").unionByName(steps(spark, ["a b", "EMBED", "c"], run="lost")).unionByName(steps(spark, ["a b", "JUDGE", "c d"], run="mute"))
+    anchors = spark.createDataFrame([(r, "text", ["a b is the first thing said here."]) for r in ("fine", "lost", "mute")], "run_id string, kind string, texts array<string>")
+
+    def embed():
+        def call(texts):
+            if "EMBED" in texts:
+                raise RuntimeError("model exploded")
+            return [[float("a" in t), float("c" in t), 1.0] for t in texts]
+
+        return call
+
+    def judge():
+        def call(pairs):
+            if any("JUDGE" in p for p, _ in pairs):
+                raise RuntimeError("judge exploded")
+            return [(0.001, 0.5, 0.499)] * len(pairs)
+
+        return call
+
+    options = models.scores(own, embed, judge, anchors)
+    _, reports = report.analyze(own, anchors=anchors, **options)
+    by = {r.run_id: r for r in reports.collect()}
+    assert by["fine"].verdict and not by["fine"].degraded and by["fine"].models.nli == "model" and by["fine"].steps[1].coverage == 0.0
+    assert "model exploded" in by["lost"].monitoring_failure and by["lost"].steps == [] and by["lost"].degraded and not by["lost"].verdict
+    assert by["mute"].degraded and by["mute"].models.nli is None and by["mute"].steps[1].drift_prev is not None and by["mute"].steps[1].coverage is None
+    assert sum("exploded" in n for n in by["mute"].notes) == 2
