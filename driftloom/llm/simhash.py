@@ -58,8 +58,9 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            own = np.array(fingerprints_of(batch.column(1).to_pylist(), words), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64))], ["doc_id", "fp"])
+            for part in (batch.slice(i, 200) for i in range(0, len(batch), 200)):
+                own = np.array(fingerprints_of(part.column(1).to_pylist(), words), np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return columns_apart(docs, "doc_id", "text").mapInArrow(work, f"doc_id {kind}, fp long")
