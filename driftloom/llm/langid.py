@@ -10,6 +10,7 @@ likelihood is the product of its words', and a word is scored once a worker.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ TRAIN_DOCS, ROUNDS = 2000, 3
 #: Longest piece and longest word; a longer word is cut into such.
 PIECE, WORD = 12, 32
 #: Words that a worker remembers; probability of a character outside the vocabulary; share of the common model.
-MEMORY, UNKNOWN, COMMON = 400_000, 1e-8, 0.02
+MEMORY, UNKNOWN, COMMON = 600_000, 1e-8, 0.02
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 
@@ -225,18 +226,28 @@ class Predictor:
         return out
 
 
+_LAST: list = []
+
+
+def _predictor(name: str, shared) -> Predictor:
+    """The worker's predictor of a model; its next tasks find the words scored so far."""
+    if not _LAST or _LAST[0] != name:
+        _LAST[:] = [name, Predictor(*shared.value)]
+    return _LAST[1]
+
+
 def predict(docs: DataFrame, model) -> DataFrame:
     """doc_id, lang_pred, score of every row (doc_id, text).
 
     ``und`` with score 0 where the text is null or has no letter, or where no
     language was learnt.  The score is the language's share of the likelihood.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def work(batches):
         import pyarrow as pa
 
-        ask = Predictor(*shared.value)
+        ask = _predictor(name, shared)
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, len(batch), 200)):
                 said = ask(part.column(1).to_pylist())
@@ -253,13 +264,13 @@ def accepted(docs: DataFrame, path: str = VOCABULARY, least: float = 0.4) -> Dat
     nothing is learnt and no row is accepted.
     """
     model = train(docs.where(~held_out(F.col("doc_id"), 4, 2)), path)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     place = docs.columns.index("text")
 
     def work(batches):
         import pyarrow as pa
 
-        ask = Predictor(*shared.value)
+        ask = _predictor(name, shared)
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, len(batch), 200)):
                 said = ask(part.column(place).to_pylist())
