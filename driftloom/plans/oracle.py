@@ -140,7 +140,7 @@ onn as (select l.*, f.flagged or l.lost > l.omit as hit, f.conv_id from los l jo
 per as (select run_id, conv_id, cover, omit, min(case when hit then ordinal end) as first, count(*) as n, sum(hit::int) as hits from onn group by all),
 tru as (select *, conv_id % 3 <> 0 as truth, conv_id % n as origin from per),
 swp as (select cover, omit, avg(case when truth then coalesce(first = origin, false)::int end) as exact, avg(case when truth then coalesce(abs(first - origin) <= 1, false)::int end) as within1,
-  coalesce(coalesce(sum(case when not truth then hits end), 0) / nullif(sum(case when not truth then n else 0 end), 0), 0.0) as fp_steps, count_if(not truth and hits > 0) as fp_runs from tru group by cover, omit)"""
+  coalesce(coalesce(sum(case when not truth then hits end), 0) / nullif(sum(case when not truth then n else 0 end), 0), 0.0) as fp_steps, count(*) filter (where not truth and hits > 0) as fp_runs from tru group by cover, omit)"""
     sample = """qta as (select lang, source, count(*) as n, count(*) * 40.0::double / (select count(*) from documents) as exact from documents group by lang, source),
 bas as (select *, floor(exact)::int as base from qta),
 tak as (select *, base + (row_number() over (order by round(exact - base, 9) desc, lang, source) <= 40 - (select sum(base) from bas))::int as take from bas),
@@ -184,14 +184,14 @@ select stp.run_id, ver.codes <> '' as verdict, n_steps, coalesce(len(chs.c), 0)
 from stp join ver using (run_id) left join chs using (run_id) left join o using (run_id)""",
         "calibrate_percentile": f"{bag}, v as (select drift_prev as x from drift where drift_prev is not null union all select drift_anchor from drift where drift_anchor is not null) select round(quantile_cont(x, 0.95), 4) as drift_threshold, count(*) as n_measurements, round(avg(x), 4) as drift_mean, round(stddev_pop(x), 4) as drift_std from v",
         "signal_percentiles": f"{sig}, q as (select quantile_cont(drift_prev, 0.95) as drift_prev, quantile_cont(drift_anchor, 0.95) as drift_anchor, quantile_cont(aggregate, 0.95) as aggregate, quantile_cont(entailment, 0.05) as entailment from flg) select {_r6('drift_prev', 'drift_anchor', 'aggregate', 'entailment')}, round(greatest(drift_prev, drift_anchor), 6) + 0.0 as drift_threshold from q",
-        "holdout_rates": f"{sig}, f as (select conv_id, bool_or(flagged) as fired from flg group by conv_id), p as (select *, case when row_number() over (order by conv_id) <= 15 then 'calibrate' else 'holdout' end as part from f) select part, count(*) as n, count_if(fired) as n_fired from p group by part",
+        "holdout_rates": f"{sig}, f as (select conv_id, bool_or(flagged) as fired from flg group by conv_id), p as (select *, case when row_number() over (order by conv_id) <= 15 then 'calibrate' else 'holdout' end as part from f) select part, count(*) as n, count(*) filter (where fired) as n_fired from p group by part",
         "ablation_variants": f"{sig} select run_id, coalesce(bool_or(drift_prev > 0.8011), false) as prev, coalesce(bool_or(drift_anchor > 0.8011), false) as anchor, coalesce(bool_or(drift_prev > 0.8011), false) or coalesce(bool_or(drift_anchor > 0.8011), false) as dual, coalesce(bool_or(aggregate > 0.6007), false) as dual_nli from flg group by run_id",
         "naive_baseline": f"{bag}, l as (select run_id, arg_max_null(drift_anchor, ordinal) as distance from drift group by run_id) select run_id, {_r6('distance')}, coalesce(distance > 0.8011, false) as naive from l",
         "consecutive_flags": f"{sig}, {consecutive} select run_id, consecutive from con",
         "signal_counts": f"{sig}, s as (select distinct run_id, ordinal, unnest(list_transform(string_split(codes, ','), lambda c: case when c like 'drift%' then 'drift' else c end)) as signal from flg where flagged) select signal, count(*) as n from s group by signal",
         "rule_sweep": f"""{runs}, {consecutive}, r as (select * from (values ('aggregate', 0.6007::double, null::double, null::double, false), ('entailment', null, 0.1001, null, false), ('drift', null, null, 0.9013, false), ('consecutive', null, null, null, true), ('any', 0.6007, 0.0601, 0.9513, false), ('none', null, null, null, false)) t(rule, a, e, d, c)),
 f as (select rule, run_id::bigint % 3 = 0 as truth, coalesce(max_aggregate > a, false) or coalesce(min_entailment < e, false) or coalesce(max_drift > d, false) or (consecutive and c) as fired from ver join con using (run_id), r)
-select rule, count_if(truth) as n_true, count_if(truth and fired) as recall, count_if(not truth) as n_clean, count_if(not truth and fired) as false_alarms from f group by rule""",
+select rule, count(*) filter (where truth) as n_true, count(*) filter (where truth and fired) as recall, count(*) filter (where not truth) as n_clean, count(*) filter (where not truth and fired) as false_alarms from f group by rule""",
         "threshold_sweep": f"{matrix} select cover, omit, {_r6('exact', 'within1', 'fp_steps')}, fp_runs from swp",
         "best_setting": f"{matrix}, r as (select cover, omit, {_r6('exact', 'within1', 'fp_steps')}, fp_runs from swp) select * from r order by within1 desc, fp_steps, cover desc, omit desc limit 1",
         "first_flag_accuracy": f"""{sig}, n as (select run_id, count(*) as n from steps group by run_id having count(*) >= 3), p as (select run_id, min(case when flagged then ordinal end) as predicted from flg group by run_id),
@@ -207,7 +207,7 @@ j as (select m.item_id, m, a.label as a, b.label as b from m left join a using (
 select item_id, case when a is null and b is null then m when a is null then b when b is null then a when a = b then a else m end as label,
 case when a is null and b is null then 'machine_only' when a is null then 'single:bob' when b is null then 'single:ann' when a = b then 'consensus' when a = m or b = m then 'disputed:majority' else 'disputed:unresolved' end as agreement from j""",
         "rater_agreement": f"""with {passes}, e as (select h.* from hum h where item_id in (select doc_id from documents where lang = 'en'))
-select a.rater as rater_a, b.rater as rater_b, count(*) as n, count_if(coalesce(abs(a.label - b.label) <= 1, a.label is null and b.label is null)) as near, count_if(a.label = b.label) as same
+select a.rater as rater_a, b.rater as rater_b, count(*) as n, count(*) filter (where coalesce(abs(a.label - b.label) <= 1, a.label is null and b.label is null)) as near, count(*) filter (where a.label = b.label) as same
 from e a join e b on a.item_id = b.item_id and a.rater < b.rater group by all""",
         "stratified_sample": f"with {sample} select doc_id, lang, source from smp",
         "balanced_split": f"""with {sample}, rst as (select doc_id, lang, source from documents where doc_id not in (select doc_id from smp)),

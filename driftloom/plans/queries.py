@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,10 +15,13 @@ from ..operators.steps import as_steps, densified
 from ..streaming.observer import replay
 from .demo import LEXICON, PROFILE, SETTINGS, all_steps, r6, steps, table, vectors
 
-ORDINAL = ["run_id", "ordinal"]
 TRUTH = 3
 
 
+def _keys() -> list[Column]:
+    return [F.col("run_id"), F.col("ordinal").cast("long").alias("ordinal")]
+
+
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.signals(steps(spark, sf_dir), SETTINGS, buckets=None)
 
@@ -33,43 +36,43 @@ def measurable_steps(spark, sf_dir):
 
 
 def drift_prev_bow(spark, sf_dir):
-    return drift.bag_drift(steps(spark, sf_dir)).where("ordinal > 0").select(*ORDINAL, r6("drift_prev").alias("drift_prev"))
+    return drift.bag_drift(steps(spark, sf_dir)).where("ordinal > 0").select(*_keys(), r6("drift_prev").alias("drift_prev"))
 
 
 def drift_anchor_bow(spark, sf_dir):
-    return drift.bag_drift(steps(spark, sf_dir)).select(*ORDINAL, r6("drift_anchor").alias("drift_anchor"), r6("combined_drift").alias("combined_drift"))
+    return drift.bag_drift(steps(spark, sf_dir)).select(*_keys(), r6("drift_anchor").alias("drift_anchor"), r6("combined_drift").alias("combined_drift"))
 
 
 def drift_given_anchor(spark, sf_dir):
     own = steps(spark, sf_dir)
     last = own.groupBy("run_id").agg(F.max_by("text", "ordinal").alias("b"), F.min_by("text", "ordinal").alias("a")).select("run_id", F.array("a", "b").alias("texts"))
-    return drift.bag_drift(own, last).select(*ORDINAL, r6("drift_prev").alias("drift_prev"), r6("drift_anchor").alias("drift_anchor"))
+    return drift.bag_drift(own, last).select(*_keys(), r6("drift_prev").alias("drift_prev"), r6("drift_anchor").alias("drift_anchor"))
 
 
 def drift_dual_dense(spark, sf_dir):
     rows = drift.dense_drift(vectors(spark, sf_dir), "embedding")
-    return rows.select(*ORDINAL, r6("drift_prev").alias("drift_prev"), r6("drift_anchor").alias("drift_anchor"))
+    return rows.select(*_keys(), r6("drift_prev").alias("drift_prev"), r6("drift_anchor").alias("drift_anchor"))
 
 
 def drift_consensus_anchor(spark, sf_dir):
     own = vectors(spark, sf_dir)
     rows = drift.dense_drift(own, "embedding", drift.consensus(own, "run_id", "embedding"))
-    return rows.select(*ORDINAL, r6("drift_anchor").alias("drift_anchor"))
+    return rows.select(*_keys(), r6("drift_anchor").alias("drift_anchor"))
 
 
 def max_drift_step(spark, sf_dir):
     rows = drift.bag_drift(steps(spark, sf_dir)).withColumn("combined_drift", r6("combined_drift"))
-    return drift.most_drifted(rows).select("run_id", "ordinal", "combined_drift")
+    return drift.most_drifted(rows).select(*_keys(), "combined_drift")
 
 
 def drift_flags(spark, sf_dir):
     rows = drift.bag_drift(steps(spark, sf_dir)).withColumn("codes", drift.drift_codes(PROFILE.drift_threshold))
-    return drift.flagged_steps(rows.withColumn("flagged", F.size("codes") > 0)).select(*ORDINAL, F.array_join("codes", ",").alias("codes"))
+    return drift.flagged_steps(rows.withColumn("flagged", F.size("codes") > 0)).select(*_keys(), F.array_join("codes", ",").alias("codes"))
 
 
 def entailment_overlap(spark, sf_dir):
     rows = signals.entailment(steps(spark, sf_dir)).where("ordinal > 0")
-    return rows.select(*ORDINAL, *[r6(c).alias(c) for c in ("entailment", "neutral", "contradiction")])
+    return rows.select(*_keys(), *[r6(c).alias(c) for c in ("entailment", "neutral", "contradiction")])
 
 
 def certainty_signal(spark, sf_dir):
@@ -78,7 +81,7 @@ def certainty_signal(spark, sf_dir):
 
 
 def certainty_delta(spark, sf_dir):
-    return signals.certainties(steps(spark, sf_dir), SETTINGS).select(*ORDINAL, r6("score").alias("score"), r6("certainty_delta").alias("certainty_delta"))
+    return signals.certainties(steps(spark, sf_dir), SETTINGS).select(*_keys(), r6("score").alias("score"), r6("certainty_delta").alias("certainty_delta"))
 
 
 def facts_split(spark, sf_dir):
@@ -90,11 +93,11 @@ def coverage_omission(spark, sf_dir):
     own = steps(spark, sf_dir)
     facts = signals.anchor_facts(_anchors(own), replace(SETTINGS, min_fact_chars=0))
     rows = signals.coverage(own, facts, 0.2003)
-    return rows.select(*ORDINAL, r6("coverage").alias("coverage"), r6("omission").alias("omission"))
+    return rows.select(*_keys(), r6("coverage").alias("coverage"), r6("omission").alias("omission"))
 
 
 def aggregate_score(spark, sf_dir):
-    return _signals(spark, sf_dir).select(*ORDINAL, r6("aggregate").alias("aggregate"), "flagged", F.array_join("flag_codes", ",").alias("codes"))
+    return _signals(spark, sf_dir).select(*_keys(), r6("aggregate").alias("aggregate"), "flagged", F.array_join("flag_codes", ",").alias("codes"))
 
 
 def verdicts(spark, sf_dir):
@@ -125,7 +128,7 @@ def classification(spark, sf_dir):
 
 def attribution(spark, sf_dir):
     rows = attribute.candidates(_signals(spark, sf_dir), SETTINGS)
-    return rows.select(*ORDINAL, "step_id", F.col("crossed").cast("long").alias("crossed"), "confidence")
+    return rows.select(*_keys(), "step_id", F.col("crossed").cast("long").alias("crossed"), "confidence")
 
 
 def report_summary(spark, sf_dir):
@@ -293,14 +296,14 @@ def index_quantiles(spark, sf_dir):
 
 
 def truncated_steps(spark, sf_dir):
-    return steps(spark, sf_dir).where(T.truncated(F.col("text"))).select(*ORDINAL)
+    return steps(spark, sf_dir).where(T.truncated(F.col("text"))).select(*_keys())
 
 
 def stream_drift_replay(spark, sf_dir):
     kind = "conv_id long, turn long, role string, text string"
     events = as_steps(spark.readStream.schema(kind).parquet(f"{sf_dir}/conversations.parquet*"), "conv_id", "turn", role="role")
     rows = replay(spark, events.select("run_id", "pos", "step_id", "text"), PROFILE.drift_threshold)
-    return rows.where("ordinal > 0").select(*ORDINAL, r6("drift_prev").alias("drift_prev"))
+    return rows.where("ordinal > 0").select(*_keys(), r6("drift_prev").alias("drift_prev"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
