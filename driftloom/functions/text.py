@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\S+)"), F.lit(1))
 
 
+def word_set(text: Column) -> Column:
+    return F.array_distinct(words(text))
+
+
 def squeezed(text: Column) -> Column:
     """White space folded to single spaces, none at the ends."""
     return F.regexp_replace(F.trim(F.regexp_replace(text, r"[\s\p{Z}\x1c-\x1f\x85]+", " ")), " +", " ")
@@ -32,17 +38,24 @@ def truncated(text: Column) -> Column:
     return ~F.rtrim(text).rlike(r"[.!?\")%]$")
 
 
-def phrase_hits(text: Column, phrases: tuple[str, ...]) -> tuple[Column, Column]:
-    """The text without the phrases, each taken out in turn, and how often they stood there."""
-    hits = F.lit(0)
-    for phrase in phrases:
-        hits = hits + ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
-        text = F.replace(text, F.lit(phrase), F.lit(" "))
-    return text, hits
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), 0)
+
+
+def phrase_hits(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Struct of the text without the phrases, each taken out in turn, and how often they stood there."""
+
+    def step(found: Column, phrase: Column) -> Column:
+        parts = F.length(found["text"]) - F.length(F.replace(found["text"], phrase, F.lit("")))
+        return F.struct(F.replace(found["text"], phrase, F.lit(" ")).alias("text"), (found["hits"] + (parts / F.length(phrase)).cast("int")).alias("hits"))
+
+    start = F.struct(text.alias("text"), F.lit(0).alias("hits"))
+    return F.aggregate(F.array(*map(F.lit, phrases)), start, step) if phrases else start
 
 
 def _within(tokens: Column, lexicon: tuple[str, ...]) -> Column:
-    return F.size(F.filter(tokens, lambda t: t.isin(*lexicon)))
+    return F.size(F.filter(tokens, lambda t: t.isin(*lexicon))) if lexicon else F.lit(0)
 
 
 def certainty(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
@@ -53,15 +66,25 @@ def certainty(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
     is five times the surplus of certain over hedging hits for each word, in
     [-1, 1].
     """
-    rest, concluded = phrase_hits(F.lower(text), lexicon.conclusive_phrases)
-    rest, hedged = phrase_hits(rest, lexicon.hedge_phrases)
-    rest, sure = phrase_hits(rest, lexicon.certainty_phrases)
-    tokens = F.regexp_extract_all(rest, F.lit(TOKEN), F.lit(0))
-    hedge, certain = hedged + _within(tokens, lexicon.hedge_words), sure + _within(tokens, lexicon.certainty_words)
-    raw = (certain - hedge) / F.greatest(F.size(tokens), F.lit(1)) * F.lit(5.0)
-    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
-    conclusive = (concluded > 0) | (_within(tokens, lexicon.conclusive_words) > 0)
-    return F.struct(score.alias("score"), hedge.alias("hedge_hits"), certain.alias("certainty_hits"), conclusive.alias("conclusive"))
+
+    def scored(concluded: Column, hedged: Column, sure: Column, tokens: Column) -> Column:
+        found = F.struct((hedged["hits"] + _within(tokens, lexicon.hedge_words)).alias("hedge"), (sure["hits"] + _within(tokens, lexicon.certainty_words)).alias("certain"))
+
+        def finished(f: Column) -> Column:
+            raw = (f["certain"] - f["hedge"]) / F.greatest(F.size(tokens), F.lit(1)) * F.lit(5.0)
+            score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
+            conclusive = (concluded["hits"] > 0) | (_within(tokens, lexicon.conclusive_words) > 0)
+            return F.struct(score.alias("score"), f["hedge"].alias("hedge_hits"), f["certain"].alias("certainty_hits"), conclusive.alias("conclusive"))
+
+        return let(found, finished)
+
+    return let(
+        phrase_hits(F.lower(text), lexicon.conclusive_phrases),
+        lambda a: let(
+            phrase_hits(a["text"], lexicon.hedge_phrases),
+            lambda b: let(phrase_hits(b["text"], lexicon.certainty_phrases), lambda c: let(F.regexp_extract_all(c["text"], F.lit(TOKEN), F.lit(0)), lambda k: scored(a, b, c, k))),
+        ),
+    )
 
 
 def sentences(text: Column) -> Column:

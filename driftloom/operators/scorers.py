@@ -12,18 +12,22 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
-from ..functions.vectors import clip
+from ..functions.text import let, word_set, words
 
 EMBEDDED = "vector array<double>, error string"
 JUDGED = "entailment double, neutral double, contradiction double, error string"
 
 
+def overlap(premise_words: Column, hypothesis_words: Column) -> Column:
+    """Struct of entailment, neutral, contradiction by the share of the hypothesis' words in the premise; null where one is null."""
+    share = F.size(F.array_intersect(premise_words, hypothesis_words)) / F.greatest(F.size(hypothesis_words), F.lit(1))
+    told = let(F.greatest(F.lit(0.05), F.least(F.lit(0.95), share)), lambda e: F.struct(e.alias("entailment"), ((1 - e) * 0.7).alias("neutral"), ((1 - e) * 0.3).alias("contradiction")))
+    return F.when(premise_words.isNotNull() & hypothesis_words.isNotNull(), told)
+
+
 def overlap_entailment(premise: Column, hypothesis: Column) -> Column:
-    """Struct of entailment, neutral, contradiction by the share of the hypothesis' words in the premise."""
-    p, h = F.array_distinct(words(premise)), F.array_distinct(words(hypothesis))
-    e = clip(F.size(F.array_intersect(p, h)) / F.greatest(F.size(h), F.lit(1)), 0.05, 0.95)
-    return F.when(premise.isNotNull() & hypothesis.isNotNull(), F.struct(e.alias("entailment"), ((1 - e) * 0.7).alias("neutral"), ((1 - e) * 0.3).alias("contradiction")))
+    """``overlap`` of two texts."""
+    return overlap(word_set(premise), word_set(hypothesis))
 
 
 def bucket_vector(text: Column, buckets: int = 128) -> Column:

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.text import certainty, facts, listed_facts
+from ..functions.text import certainty, facts, listed_facts, word_set
 from ..functions.vectors import clip, weighted_mean
 from .drift import bag_drift
-from .scorers import overlap_entailment
+from .scorers import overlap
 from .steps import by_run
 
 
 def entailment(steps: DataFrame) -> DataFrame:
     """run_id, ordinal, entailment, neutral, contradiction of each step by the one before."""
-    judged = steps.withColumn("e", overlap_entailment(F.lag("text").over(by_run()), F.col("text")))
+    own = steps.withColumn("w", word_set(F.col("text")))
+    judged = own.withColumn("e", overlap(F.lag("w").over(by_run()), F.col("w")))
     return judged.select("run_id", "ordinal", "e.entailment", "e.neutral", "e.contradiction")
 
 
@@ -37,8 +38,9 @@ def coverage(steps: DataFrame, facts_by_run: DataFrame, threshold: float) -> Dat
     The first step is held against full coverage.  Facts are few a run, so
     they come by one equi-join and are judged inside the row.
     """
-    own = steps.join(facts_by_run, "run_id")
-    held = F.filter("facts", lambda f: overlap_entailment(F.col("text"), f)["entailment"] >= threshold)
+    sets = facts_by_run.select("run_id", F.transform("facts", lambda f: word_set(f)).alias("facts"))
+    own = steps.select("run_id", "ordinal", word_set(F.col("text")).alias("w")).join(sets, "run_id")
+    held = F.filter("facts", lambda f: overlap(F.col("w"), f)["entailment"] >= threshold)
     own = own.select("run_id", "ordinal", (F.size(held) / F.size("facts")).alias("coverage"))
     return own.withColumn("omission", F.greatest(F.lit(0.0), F.lag("coverage", 1, 1.0).over(by_run()) - F.col("coverage")))
 
@@ -84,7 +86,10 @@ def signals(steps: DataFrame, settings: Settings = Settings(), anchors: DataFram
     the anchor and coverage is null.  ``drift``, ``judged`` and ``covered`` take
     the place of the model-free scores, as (run_id, ordinal, ...) tables.
     """
-    own = steps.withColumn("e", overlap_entailment(F.lag("text").over(by_run()), F.col("text")) if nli and judged is None else F.lit(None).cast("struct<entailment:double,neutral:double,contradiction:double>"))
+    if nli and judged is None:
+        own = steps.withColumn("w", word_set(F.col("text"))).withColumn("e", overlap(F.lag("w").over(by_run()), F.col("w")))
+    else:
+        own = steps.withColumn("e", F.lit(None).cast("struct<entailment:double,neutral:double,contradiction:double>"))
     own = own.withColumn("c", certainty(F.col("text"), settings.lexicon))
     own = own.withColumn("certainty_delta", F.coalesce(clip(F.col("c.score") - F.lag("c.score").over(by_run())), F.lit(0.0)))
     own = own.select("run_id", "ordinal", "step_id", "step_num", "agent_name", "role", "text", F.col("e.entailment").alias("entailment"), F.col("e.contradiction").alias("contradiction"), F.col("c.score").alias("certainty"), "certainty_delta", F.col("c.conclusive").alias("conclusive"))

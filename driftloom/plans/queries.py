@@ -190,13 +190,14 @@ COVERS, OMITS = [0.1001, 0.2003, 0.3003], [0.1501, 0.2503, 0.5007]
 
 def _matrix(spark, sf_dir):
     """Stored scores: each step's entailment of the facts of its run's first text."""
-    from ..operators.scorers import overlap_entailment
+    from ..operators.scorers import overlap
 
     own = steps(spark, sf_dir)
-    facts = own.where("ordinal = 0").select("run_id", T.facts(F.col("text"), 12, 0).alias("facts"))
+    facts = own.where("ordinal = 0").select("run_id", F.transform(T.facts(F.col("text"), 12, 0), lambda f: T.word_set(f)).alias("facts"))
     flagged = _signals(spark, sf_dir).select("run_id", "ordinal", "flagged")
     rows = own.join(facts, "run_id").join(flagged, ["run_id", "ordinal"])
-    cell = F.transform("facts", lambda f: overlap_entailment(F.col("text"), f)["entailment"])
+    rows = rows.withColumn("w", T.word_set(F.col("text")))
+    cell = F.transform("facts", lambda f: overlap(F.col("w"), f)["entailment"])
     one = F.struct("ordinal", "role", "flagged", cell.alias("row"))
     runs = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
     part = lambda k: F.transform("s", lambda x: x[k])
