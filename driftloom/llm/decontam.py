@@ -5,18 +5,22 @@ count, so words at the other places may be substituted.  Seeds of all places of
 all texts meet those of the benchmark; each hit says how a text and an item
 are aligned, and the aligned words are compared.  A text is contaminated by an
 item if some ``LEAST`` aligned words in a row (all of a shorter item) agree in
-at least ``SHARE`` of them.  SQL functions only.
+at least ``SHARE`` of them.  Where fewer than ``SPAN`` words are compared, they
+are looked for as windows of the same length.  SQL functions only.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, columns_apart, cut
 
 #: Places of a seed's words that count.
-MASKS = ("11011011", "11101101", "10110111")
+MASKS = ("11010011", "10011101", "11111000", "01101011")
 SPAN = 8
 #: Aligned words compared and the share of them that must agree.
 LEAST, SHARE = 15, 0.8
@@ -40,13 +44,40 @@ def seeds(rows: DataFrame, *keep: str) -> DataFrame:
     return each.select(*keep, "place", F.explode(F.array(*keys)).alias("key"))
 
 
+def short_overlaps(own: DataFrame, items: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame | None:
+    """doc_id, mark, item_id, one (agree, back, compared) of overlaps of under SPAN words; none if no item is that short.
+
+    A window of the text meets one of the item under the words that are left
+    when as many as may differ are masked, for each choice of these.
+    """
+    items = items.select("item_id", "words", F.least(F.lit(least), F.size("words")).alias("compared")).where(F.col("compared").between(1, SPAN - 1))
+    found = None
+    for n in sorted(r.compared for r in items.select("compared").distinct().collect()):
+        must = math.ceil(share * n - 1e-9)
+        masks = list(combinations(range(n), max(must, 1)))
+
+        def windows(rows: DataFrame, *keep: str) -> DataFrame:
+            many = F.greatest(F.size("words") - (n - 1), F.lit(0))
+            rows = rows.select(*keep, "words", many.alias("n")).where("n > 0")
+            each = rows.select(*keep, F.posexplode(F.arrays_zip(*[F.slice("words", i + 1, F.col("n")).alias(f"w{i}") for i in range(n)])).alias("place", "w"))
+            keys = [F.xxhash64(F.lit(m), *[F.col("w")[f"w{i}"] for i in mask]) for m, mask in enumerate(masks)]
+            return each.select(*keep, "place", F.array(*[F.col("w")[f"w{i}"] for i in range(n)]).alias("w"), F.explode(F.array(*keys)).alias("key"))
+
+        known = cut(windows(items.where(F.col("compared") == n), "item_id").select("item_id", F.col("w").alias("item"), "key").distinct(), "short")
+        hits = windows(own, "doc_id", "mark").join(F.broadcast(known) if bounded(known, SEEDS) else known, "key")
+        agree = F.aggregate(F.zip_with("w", "item", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
+        hits = hits.select("doc_id", "mark", "item_id", F.struct(agree.alias("agree"), (-F.col("place")).alias("back"), F.lit(n).alias("compared")).alias("one"))
+        hits = hits.where(F.col("one.agree") >= must)
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """doc_id, mark, item_id, place, compared, agree: each text and item with an overlap.
 
     ``place`` is where the best run of words begins in the text, ``mark`` a
     hash of the text that tells rows with one doc_id apart.  Null and empty
-    texts have no words.  Items of under SPAN words have no seed and are not
-    looked for.  Items with a null item_id are not, either.  Repeated rows of
+    texts have no words.  Items with a null item_id are not looked for.  Repeated rows of
     ``docs`` are found once; repeated items with one item_id count as one each.
     """
     items = columns_apart(benchmark, "item_id", "text").where("item_id is not null").select("item_id", words(F.col("text")).alias("words")).distinct()
@@ -84,7 +115,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: f
     both = both.withColumn("best", F.array_max(sums))
     both = both.where(F.col("best.n") >= F.ceil(share * F.col("compared") - 1e-9))
     one = F.struct(F.col("best.n").alias("agree"), (-(F.col("first") + F.col("shift") - F.col("best.back"))).alias("back"), "compared")
-    top = both.groupBy("doc_id", "mark", "item_id").agg(F.max(one).alias("one"))
+    both = both.select("doc_id", "mark", "item_id", one.alias("one"))
+    brief = short_overlaps(own, items, least, share)
+    if brief is not None:
+        both = both.unionByName(brief)
+    top = both.groupBy("doc_id", "mark", "item_id").agg(F.max("one").alias("one"))
     return top.select("doc_id", "mark", "item_id", (-F.col("one.back")).cast("long").alias("place"), F.col("one.compared").cast("long").alias("compared"), F.col("one.agree").cast("long").alias("agree"))
 
 
