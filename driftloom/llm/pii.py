@@ -2,7 +2,7 @@
 
 Base spans come from four patterns.  They seed a graph of lexical patterns
 (the word before, the word after, or a label such as ``mail:`` in front) and
-instances (identifier-like tokens).  A pattern is as good as the share of its
+instances (base spans, identifier-like tokens, groups of digits with blanks).  A pattern is as good as the share of its
 instances that are trusted; an instance is trusted as its patterns together
 are.  After some rounds, instances beyond the trust limit add spans wherever
 they stand in such a context.  SQL functions only; nothing but counts of
@@ -23,6 +23,11 @@ SPANS = "array<struct<start:int,end:int>>"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A run of non-blanks with a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Two to eight runs of digits and number signs with single blanks between, up to a blank or the end.
+GROUPS = (
+    r"(?<![^\x20\x09-\x0D])(?:[A-Za-z_]{1,32}[=:])?[^\x20\x09-\x0D0-9A-Za-z+@(]*+\+?\(?[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+){1,7}"
+    r"(?=[^\x20\x09-\x0D0-9A-Za-z@]*+(?![^\x20\x09-\x0D]))"
+)
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -114,10 +119,38 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _candidates(text: Column, base: dict[str, Column]) -> Column:
-    """Identifier-like tokens: value, start, end, kind, seed, patterns."""
-    lead = lambda t: F.regexp_extract(t, r"^(?:[A-Za-z_]{1,32}[=:])?[^0-9A-Za-z+@]*", 0)
+    """Base spans, identifier-like tokens and groups of digits with single blanks: value, start, end, kind, seed, patterns.
+
+    Tokens and groups that touch a base span are no instances beside it, nor
+    are the pieces without a kind of a group that has one.
+    """
+    lead = lambda t: F.regexp_extract(t, r"^(?:[A-Za-z_]{1,32}[=:])?(?:(?!\([0-9]{1,5}\))[^0-9A-Za-z+@])*+", 0)
     value = lambda t: F.regexp_replace(F.substr(t, F.length(lead(t)) + 1), r"(?<![^0-9A-Za-z])[^0-9A-Za-z]++$", "")
     word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
+    tag = lambda t, w: F.when(w != "", F.concat(F.lit(t), w))
+
+    def instance(value, start, end, kind, seed, left, right, label):
+        return F.struct(
+            F.lower(value).alias("value"), start.alias("start"), end.alias("end"), kind.alias("kind"), F.lit(seed).alias("seed"),
+            F.array_compact(F.array(tag("<", left), tag(">", right), tag("=", label))).alias("patterns"),
+        )
+
+    def seeds(kind):
+        def one(s):
+            def told(c):
+                left = word(c["before"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]*+$")
+                right = word(c["after"], r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]+)")
+                label = word(c["before"], r"(?<![^\x20\x09-\x0D])([A-Za-z_]{1,32}[=:])[^\x20\x09-\x0D]*+$")
+                return instance(c["value"], s["start"], s["end"], F.lit(kind), True, left, right, label)
+
+            around = F.struct(
+                F.substr(text, s["start"] + 1, s["end"] - s["start"]).alias("value"),
+                F.substr(text, F.greatest(s["start"] - 2 * CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(2 * CONTEXT))).alias("before"),
+                F.substr(text, s["end"] + 1, F.lit(2 * CONTEXT)).alias("after"),
+            )
+            return _let(around, told)
+
+        return F.transform(base[kind], one)
 
     def one(m):
         start = m["start"] + F.length(lead(m["text"]))
@@ -125,26 +158,29 @@ def _candidates(text: Column, base: dict[str, Column]) -> Column:
 
     def judged(c):
         v, n = c["value"], _count(c["value"], "0-9")
-        over = lambda k: F.exists(base[k], lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
-        seed = F.coalesce(*[F.when(over(k), F.lit(k)) for k in KINDS])
         like = (
             F.when(v.rlike(r"^[^@]+@[^@]+$"), F.lit("email"))
             .when(v.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), F.lit("ip"))
-            .when((n >= 13) & v.rlike(r"^[0-9-]+$"), F.lit("card"))
-            .when(n.between(7, 12) & v.rlike(r"^\+?[0-9().-]+$"), F.lit("phone"))
+            .when((n >= 13) & v.rlike(r"^[0-9\x20-]+$"), F.lit("card"))
+            .when(n.between(7, 12) & v.rlike(r"^\+?[0-9()\x20.-]+$"), F.lit("phone"))
             .otherwise(F.lit("none"))
         )
         left = word(c["m"]["before"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$")
         right = word(c["m"]["after"], r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)")
         label = word(c["m"]["text"], r"^([A-Za-z_]{1,32}[=:])")
-        tag = lambda t, w: F.when(w != "", F.concat(F.lit(t), w))
-        return F.struct(
-            F.lower(v).alias("value"), c["start"].alias("start"), c["end"].alias("end"), F.coalesce(seed, like).alias("kind"), seed.isNotNull().alias("seed"),
-            F.array_compact(F.array(tag("<", left), tag(">", right), tag("=", label))).alias("patterns"),
-        )
+        return instance(v, c["start"], c["end"], like, False, left, right, label)
+
+    def unseen(pattern):
+        over = lambda c: F.exists(F.concat(*[base[k] for k in KINDS]), lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
+        found = F.filter(F.transform(_found(text, pattern), one), lambda c: (c["value"] != "") & ~over(c))
+        return F.transform(found, judged)
+
+    def both(c):
+        loose = lambda t: (t["kind"] != "none") | ~F.exists(c["groups"], lambda g: (g["start"] < t["end"]) & (g["end"] > t["start"]))
+        return F.concat(*map(seeds, KINDS), c["groups"], F.filter(c["tokens"], loose))
 
-    found = F.filter(F.transform(_found(text, TOKEN), one), lambda c: c["value"] != "")
-    return F.when(text.rlike("[0-9@]"), F.transform(found, judged))
+    groups = F.filter(unseen(GROUPS), lambda g: g["kind"] != "none")
+    return F.when(text.rlike("[0-9@]"), _let(F.struct(groups.alias("groups"), unseen(TOKEN).alias("tokens")), both))
 
 
 def trusted(candidates: DataFrame, rounds: int = ROUNDS, trust: float = TRUST) -> DataFrame:
