@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,19 +13,29 @@ from pyspark.sql import functions as F
 #: Heavy keys are those with more than one in so many rows; there are at most so many.
 HEAVY_SHARE = 1000
 _OWN: list[str] = []
+#: Tables that ``cut`` wrote and no one has dropped.
+_CUT: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from the session's settings.
+    """The folder that all executors share: ``spark.checkpoint.dir``, or what setCheckpointDir was given.
 
-    Only where it is unset (a local test session) a temporary one is made.
+    Where neither is set, a local session gets a temporary folder that goes
+    with the process; on a cluster that would be another one on each machine,
+    so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="checkpoints_"))
-        path = _OWN[0]
-    return path
+    if path:
+        return path
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="checkpoints_"))
+        atexit.register(shutil.rmtree, _OWN[0], True)
+    return "file://" + _OWN[0]
 
 
 def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
@@ -34,10 +46,24 @@ def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     number of files of a table whose rows are bounded.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _CUT.append(path)
     (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """A mark for ``drop``: what is cut from now on comes after it."""
+    return len(_CUT)
+
+
+def drop(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the tables cut since a mark, but for the last ``keep``; nothing may read them any more."""
+    for path in _CUT[since : len(_CUT) - keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _CUT[since : len(_CUT) - keep]
+
+
 def bounded(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; looks at no more than one beyond."""
     return df.limit(rows + 1).count() <= rows
