@@ -1,25 +1,27 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has two 32-bit segments.  Each table holds one segment's Hamming
-ball of radius one with the other segment as it is, so a fingerprint is filed
-under 65 keys: itself and its 64 one-bit variants.  Two fingerprints that
-differ in at most two bits meet under some key, and whatever meets differs in
-at most two.  At most 65 fingerprints can meet under a key, so no bucket grows
-with the data and no pairs within a group are made: a key's members, kept as a
-bit mask, are linked to its smallest one, after their whole distance is checked.
+Fingerprints are filed in one table for each of their segments, by the value
+of that segment.  Each looks up the small Hamming ball around its own value in
+each table, and what it meets there is verified by the complete distance.  A
+pair within the distance is in some segment as near as that ball is wide, so
+none is missed.  Where so many fingerprints share a segment that pairs would
+grow with the square, they are linked through the values between them instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_apart, cut
+from .common import bounded, columns_apart, cut
 
 #: Seed of the XXH64 of a shingle.
 SEED = 42
+#: Segments of a fingerprint; fingerprints that share a segment before pairs of them are not looked at; rows up to which a table is broadcast.
+SEGMENTS, HOT, SMALL = 2, 64, 100_000
 
 
 def fingerprints_of(texts, words: int = 3) -> list[int]:
@@ -70,30 +72,81 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def links(prints: DataFrame, distance: int = 2) -> DataFrame:
+def masks(bits: int, radius: int) -> list[int]:
+    """All numbers of ``bits`` bits with at most ``radius`` ones, as signed longs."""
+    found = [sum(1 << i for i in some) for n in range(radius + 1) for some in combinations(range(bits), n)]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
+def _ball(value: Column, bits: int, radius: int) -> Column:
+    """Array of the values within ``radius`` bits; larger radii are small ones once more."""
+    if radius == 0:
+        return F.array(value)
+    some = F.array(*[F.lit(m).cast("long") for m in masks(bits, min(radius, 1))])
+    if radius == 1:
+        return F.transform(some, lambda m: value.bitwiseXOR(m))
+    return F.array_distinct(F.flatten(F.transform(some, lambda m: _ball(value.bitwiseXOR(m), bits, radius - 1))))
+
+
+def segments(fp: Column, count: int) -> Column:
+    """Array of (segment, value): the fingerprint's bits cut into ``count`` even runs; the table's number is in the top bits."""
+    wide = 64 // count
+    one = lambda i: F.call_function("shiftrightunsigned", fp, F.lit(i * wide)).bitwiseAND(F.lit((1 << wide) - 1))
+    return F.array(*[F.struct(F.lit(i).alias("segment"), one(i).alias("value")) for i in range(count)])
+
+
+def _key(segment: Column, value: Column, count: int) -> Column:
+    """The place of a value in the tables of all segments, as one number."""
+    return value * F.lit(count) + segment
+
+
+def links(prints: DataFrame, distance: int = 2, count: int = SEGMENTS, hot: int = HOT) -> DataFrame:
     """Edges (a, b) that connect distinct values ``fp`` as all links do.
 
-    ``distance`` is 1 or 2.  Rows: at most 65 for each fingerprint.
+    A table for each of ``count`` segments files the fingerprints by the value
+    of that segment.  Two that differ in ``distance`` bits differ in at most
+    ``distance`` // ``count`` of some segment, so each looks up the values in
+    that small ball, in each table, and the whole distance of what it meets is
+    verified.  Values near one that over ``hot`` fingerprints have would make
+    many candidates; what only they connect is found by ``stars``.
+    """
+    if distance < 1 or count not in (2, 4):
+        raise ValueError("a distance of 1 or more, and 2 or 4 segments")
+    radius, wide = distance // count, 64 // count
+    each = prints.select("fp", F.inline(segments(F.col("fp"), count)))
+    filed = each.select("fp", _key(F.col("segment"), F.col("value"), count).alias("key"))
+    probes = each.select("fp", "segment", F.explode(_ball(F.col("value"), wide, radius)).alias("value")).select(F.col("fp").alias("a"), _key(F.col("segment"), F.col("value"), count).alias("key"))
+    heavy = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > hot).select("key"), "heavy")
+    crowded = heavy.limit(1).count() > 0
+    if crowded:
+        value = F.floor(F.col("key") / count).cast("long")
+        near = heavy.select((F.col("key") % count).alias("segment"), F.explode(_ball(value, wide, radius)).alias("value"))
+        near = cut(near.select(_key(F.col("segment"), F.col("value"), count).alias("key")).distinct(), "crowded")
+        hint = F.broadcast if bounded(near, SMALL) else (lambda df: df)
+        inside = cut(filed.join(hint(near), "key", "left_semi").select("fp").distinct(), "inside")
+        filed = filed.join(hint(near), "key", "left_anti")
+    met = probes.join(filed.select("key", F.col("fp").alias("b")), "key").select("a", "b")
+    found = met.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
+    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if crowded:
+        found = found.unionByName(stars(inside, distance))
+    return found.distinct()
+
+
+def stars(prints: DataFrame, distance: int) -> DataFrame:
+    """Edges (a, b) that connect values ``fp`` as all links do, without pairs.
+
+    Two within ``distance`` bits have a value between them that is within half
+    the distance, rounded down, of one and, rounded up, of the other.  All
+    that are near a value in this way are linked to the least of the nearer
+    ones; these are within ``distance`` of it.  A value has no more such
+    neighbours than its ball has members, however many fingerprints there are.
     """
-    if distance not in (1, 2):
-        raise ValueError("the balls of radius one meet at distances 1 and 2")
-    ball = F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda i: F.struct(i.alias("bit"), F.when(i < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(_bit(i))).alias("key")))
-    met = (
-        prints.select("fp", F.explode(ball).alias("k"))
-        .select("k.key", F.when(F.col("k.bit") < 0, F.lit(0).cast("long")).otherwise(_bit(F.col("k.bit"))).alias("mask"), (F.col("k.bit") < 0).cast("int").alias("own"))
-        .groupBy("key")
-        .agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own"))
-        .where(F.bit_count("mask") + F.col("own") > 1)
-    )
-    members = F.concat(
-        F.when(F.col("own") > 0, F.array("key")).otherwise(F.array().cast("array<bigint>")),
-        F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("mask").bitwiseAND(_bit(i)) != 0), lambda i: F.col("key").bitwiseXOR(_bit(i))),
-    )
-    pairs = met.select(members.alias("m")).select(F.explode("m").alias("a"), F.array_min("m").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    if distance == 1:  # members under one key may be two bits apart: link each to the key itself
-        pairs = met.where("own > 0").select(F.explode(members).alias("a"), F.col("key").alias("b"))
-    return pairs.where((F.col("a") != F.col("b")) & near).distinct()
+    near, far = distance // 2, distance - distance // 2
+    ball = prints.select("fp", F.explode(_ball(F.col("fp"), 64, far)).alias("mid"))
+    inner = F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col("mid"))) <= near, F.col("fp"))
+    around = ball.groupBy("mid").agg(F.min(inner).alias("b"), F.collect_list("fp").alias("m")).where("b is not null and size(m) > 1")
+    return around.select(F.explode("m").alias("a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -135,7 +188,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     """``docs`` without the rows that have a smaller doc_id in their component.
 
-    Rows with a null doc_id, which nothing can name, stay.
+    Rows with a null doc_id, which nothing can name, stay.  All columns stay,
+    whatever their names.
     """
     gone = near_duplicates(docs, words, distance).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -57,9 +57,13 @@ def test_links_find_every_pair_within_two_bits(spark):
     values = {s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for s in seeds for _ in range(12)}
     prints = dict(enumerate(sorted(values)))
     signed = {i: v - (1 << 64) if v >> 63 else v for i, v in prints.items()}
-    for distance in (1, 2):
-        rows = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
-        got = {r.node: r.root for r in simhash.components(simhash.links(rows, distance)).collect()}
+    rows = spark.createDataFrame([(v,) for v in signed.values()], "fp long").cache()
+    near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    # Segment tables alone, crowded values alone, both; balls of radius 0, 1 and 2.
+    for distance, count, hot in ((1, 2, 64), (2, 2, 64), (2, 2, 0), (2, 2, 5), (3, 2, 64), (3, 2, 0), (3, 4, 64), (4, 2, 64)):
+        edges = simhash.links(rows, distance, count, hot)
+        assert all(near(r.a, r.b) <= distance for r in edges.collect())
+        got = {r.node: r.root for r in simhash.components(edges).collect()}
         want = reach(prints, distance)
         groups = {}
         for i, r in want.items():
@@ -69,6 +73,20 @@ def test_links_find_every_pair_within_two_bits(spark):
         assert len({got.get(v, v) for v in signed.values()}) == len(groups)
 
 
+def test_pairs_are_met_in_segment_tables(spark):
+    far, near = 0b111 | 0b1 << 40, 0b1 | 0b1 << 40
+    rows = spark.createDataFrame([(0,), (far,), (near,)], "fp long")
+    assert sorted((r.a, r.b) for r in simhash.links(rows, 2).collect()) == [(near, 0), (far, near)]
+    told = rows.select("fp", simhash.segments(simhash.F.col("fp"), 2).alias("s")).collect()
+    assert {r.fp: [x.value for x in r.s] for r in told} == {0: [0, 0], far: [7, 256], near: [1, 256]}
+    assert len(simhash.masks(32, 1)) == 33 and len(simhash.masks(64, 2)) == 2081
+
+
+def test_columns_with_odd_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1), (2, "A b c", 2)], "doc_id long, text string, `x.y` int")
+    assert [tuple(r) for r in simhash.keep_one(docs).collect()] == [(1, "a b c", 1)]
+
+
 def test_no_rows_and_null_ids(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], KIND)).collect() == []
     docs = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "zz")], KIND)
