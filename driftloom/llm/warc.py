@@ -2,9 +2,10 @@
 
 Two tables make the archive: ``payloads`` holds each payload's bytes once under
 its SHA-256, and ``heads`` holds the exact header bytes of every record with
-that digest.  ``records`` joins them to the original records.  Rows of a
-payload are told apart into copies by a hash, and a hot payload is read as
-several copies, so no task gets all records of one.
+that digest.  ``records`` joins them to the original records; a revisit has no
+body, so only responses fetch payloads.  What is known of a payload besides its
+bytes has a fixed width and is joined to records apart, so neither writing nor
+reading moves the bytes of a payload once for each of its records.
 """
 
 from __future__ import annotations
@@ -12,10 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, shared_dir
+from .common import columns_apart, cut, lookup, shared_dir
 
-#: So many records at most, about, are joined to one copy of a payload.
-FAN = 64
 END = "\r\n"
 
 
@@ -36,27 +35,33 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     largest page_id is the response and others revisit it; smaller ones are
     all responses.  Null html is an empty payload; a null url has no target
     header; a null page_id is smaller than any.  Rows that repeat the largest
-    page_id are responses too.  Other columns are not archived.
+    page_id are responses too.  A url with blanks or control characters is
+    archived with these as %-escapes, and besides as it is in base 64.  Very
+    long payloads are kept whole.  No rows make an empty archive.  Other
+    columns are not archived, whatever their names.
     """
-    own = pages.select("page_id", "url", _payload(F.col("html")).alias("payload"))
+    own = columns_apart(pages, "page_id", "url", "html").select("page_id", "url", _payload(F.col("html")).alias("payload"))
     own = own.withColumn("digest", F.sha2("payload", 256))
     kept = own.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("bytes"), base32(F.sha1("payload")).alias("sha1"))
-    # Equal digests are proven equal bytes: the smallest and the largest payload agree.
-    store = own.groupBy("digest").agg(F.min("payload").alias("payload"), F.max("payload").alias("other"), F.count(F.lit(1)).alias("records"), F.max("page_id").alias("first"))
-    store = store.withColumn("payload", F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(F.raise_error(F.lit("different payloads have one SHA-256"))))
-    store.drop("other").write.parquet(f"{path}/payloads")
+    # Equal digests are verified by a second one, of 512 bits, in all rows: one payload of each is enough.
+    other = F.sha2("payload", 512)
+    store = own.groupBy("digest").agg(F.first("payload").alias("payload"), F.min(other).alias("low"), F.max(other).alias("high"), F.count(F.lit(1)).alias("records"), F.max("page_id").alias("first"))
+    store = store.withColumn("payload", F.when(F.col("low") == F.col("high"), F.col("payload")).otherwise(F.raise_error(F.lit("different payloads have one SHA-256"))))
+    store.drop("low", "high").write.parquet(f"{path}/payloads")
     facts = _table(pages.sparkSession, f"{path}/payloads").select("digest", "records", "first")
     own = lookup(kept, facts, "digest", "records", kept.count())
     revisit = (F.col("bytes") >= least_bytes) & F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
-    target = F.regexp_replace(F.col("url"), r"[\x00-\x20]", "%20")
+    odd = r"[\x00-\x20\x7f-\x9f\u2028\u2029]"
+    target = F.regexp_replace(F.col("url"), odd, "%20")
     head = F.concat(
         F.lit("WARC/1.1" + END),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", uri(F.col("page_id"))),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z" + END),
         F.coalesce(line("WARC-Target-URI", target), F.lit("")),
+        F.when(F.col("url").rlike(odd) | (F.col("url") == ""), line("Target-URI-Base64", F.regexp_replace(F.base64(F.encode("url", "UTF-8")), r"\s", ""))).otherwise(F.lit("")),
         F.when(revisit, line("WARC-Refers-To", uri(F.col("first")))).otherwise(F.lit("")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + END)).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
@@ -64,8 +69,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
         F.lit(END),
     )
-    copies = F.ceil(F.col("records") / FAN).cast("int")
-    heads = own.select(F.encode(head, "UTF-8").alias("head"), "digest", F.pmod(F.xxhash64("page_id", "url"), copies).cast("int").alias("copy"))
+    heads = own.select(F.encode(head, "UTF-8").alias("head"), "digest")
     heads.write.parquet(f"{path}/heads")
 
 
@@ -74,17 +78,13 @@ def _table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """head, payload, record of each archived record.
-
-    ``payload`` is the whole payload, also of a revisit; ``record`` is the
-    WARC record as it was: a revisit's has no body.
-    """
+    """head, record of each archived record: the WARC record as it was."""
     heads = _table(spark, f"{path}/heads")
-    copies = F.explode(F.sequence(F.lit(0), F.ceil(F.col("records") / FAN).cast("int") - 1)).alias("copy")
-    store = _table(spark, f"{path}/payloads").select("digest", "payload", copies)
-    both = heads.join(store, ["digest", "copy"]).select("head", "payload")
-    body = F.when(_field(F.col("head"), "WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return both.withColumn("record", F.concat("head", body, F.lit(b"\r\n\r\n")))
+    revisit = F.coalesce(_field(F.col("head"), "WARC-Type") == "revisit", F.lit(False))
+    store = _table(spark, f"{path}/payloads").select("digest", "payload")
+    end = F.lit(b"\r\n\r\n")
+    whole = heads.where(~revisit).join(store, "digest").select("head", F.concat("head", "payload", end).alias("record"))
+    return whole.unionByName(heads.where(revisit).select("head", F.concat("head", end).alias("record")))
 
 
 def _field(head: Column, name: str) -> Column:
@@ -97,22 +97,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record, from the archive alone.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri,
-    and ``whole``: whether header and payload agree in digest and length.
+    url, and ``whole``: whether the stored bytes have their digest, and header
+    and payload agree in digest and length.  Digests and lengths are taken of
+    the stored bytes, once a payload.
     """
     page = lambda c: F.try_to_number(F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1), F.lit("S9999999999999999999")).cast("long")
     head = F.col("head")
-    own = records(spark, path)
-    digest, size = base32(F.sha1("payload")), F.octet_length("payload").cast("long")
+    facts = _table(spark, f"{path}/payloads").select(
+        "digest", "records", base32(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"), (F.sha2("payload", 256) == F.col("digest")).alias("sound")
+    )
+    heads = _table(spark, f"{path}/heads")
+    own = lookup(heads, cut(facts, "facts"), "digest", "records", heads.count())
     kind = _field(head, "WARC-Type")
-    length = F.octet_length("record") - F.octet_length("head") - 4
+    length = F.when(kind == "revisit", F.lit(0).cast("long")).otherwise(F.col("bytes"))
+    given = F.decode(F.unbase64(_field(head, "Target-URI-Base64")), "UTF-8")
     return own.select(
         page(_field(head, "WARC-Record-ID")).alias("page_id"),
-        size.alias("payload_bytes"),
-        digest.alias("payload_digest"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("sha1").alias("payload_digest"),
         kind.alias("record_type"),
         page(_field(head, "WARC-Refers-To")).alias("refers_to"),
         _field(head, "WARC-Target-URI").alias("target_uri"),
-        ((F.concat(F.lit("sha1:"), digest) == _field(head, "WARC-Payload-Digest")) & (length.cast("string") == _field(head, "Content-Length"))).alias("whole"),
+        F.coalesce(given, F.when(F.decode(head, "UTF-8").contains("\r\nTarget-URI-Base64: "), F.lit("")), _field(head, "WARC-Target-URI")).alias("url"),
+        (F.col("sound") & (F.concat(F.lit("sha1:"), F.col("sha1")) == _field(head, "WARC-Payload-Digest")) & (length.cast("string") == _field(head, "Content-Length"))).alias("whole"),
     )
 
 

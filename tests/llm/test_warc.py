@@ -15,7 +15,7 @@ def archive(spark, tmp_path, rows, **more):
 
 def test_round_trip(spark, tmp_path):
     rows = [(i, f"http://x/{i % 3}", "<p>é%d" % (i % 4), 0, "q") for i in range(300)]
-    rows += [(900, None, None, 0, "q"), (901, "http://a b\r\nX: y", "", 0, "q"), (None, "u", "<p>é0", 0, "q"), (902, "", "z" * 300_000, 0, None)]
+    rows += [(900, None, None, 0, "q"), (901, "http://a b\r\nX: y", "", 0, "q"), (None, "u", "<p>é0", 0, "q"), (902, "", "z" * 300_000, 0, None), (903, " é\u2028\x85z", "k", 0, None)]
     path = archive(spark, tmp_path, rows)
     got = warc.read(spark, path).collect()
     assert len(got) == len(rows) and all(r.whole for r in got)
@@ -26,6 +26,7 @@ def test_round_trip(spark, tmp_path):
     for i, u, h, *_ in rows:
         raw, r = (h or "").encode(), by[i]
         assert r.payload_bytes == len(raw) and r.payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        assert r.url == u
         first = last[h or ""] == i
         assert (r.record_type, r.refers_to) == (("response", None) if first else ("revisit", last[h or ""]))
     assert spark.read.parquet(f"{path}/payloads").count() == len(last)
