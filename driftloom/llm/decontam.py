@@ -90,15 +90,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: f
     hits = seeds(own, "doc_id", "mark").join(hint(known.withColumnRenamed("place", "at")), "key")
     hits = hits.select("doc_id", "mark", "item_id", "item_mark", (F.col("place") - F.col("at")).alias("shift")).distinct()
     hits = cut(hits, "hits")
-    few = hint(items)
+    few = F.broadcast(items) if bounded(items, HITS) else items
     aligned = hits.join(few, ["item_id", "item_mark"]).withColumnRenamed("words", "item")
     same = F.col("o.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("o.mark") == F.col("a.mark"))
-    if bounded(hits, HITS):
-        found = F.broadcast(hits.select("doc_id", "mark").distinct()).alias("a")
-        held = own.alias("o").join(found, same, "left_semi")
-    else:
-        held = own
-    held = held.dropDuplicates(["doc_id", "mark"])
+    told = hits.select("doc_id", "mark").distinct()
+    told = (F.broadcast(told) if bounded(told, HITS) else told).alias("a")
+    held = own.alias("o").join(told, same, "left_semi").dropDuplicates(["doc_id", "mark"])
     both = aligned.alias("a").join(held.alias("o"), same).select("o.doc_id", "o.mark", "a.item_id", "a.item", "a.shift", "o.words")
     # Of the places of the item that lie inside the text, which agree.
     first = F.greatest(F.lit(0), -F.col("shift"))
