@@ -21,8 +21,8 @@ from .common import columns_apart, cut, held_out
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: About so many documents a language are learnt from, at most; rounds of fitting.
 TRAIN_DOCS, ROUNDS = 2000, 3
-#: Longest piece and longest word; a longer word is cut into such.
-PIECE, WORD = 12, 32
+#: Longest word; a longer one is cut into such.
+WORD = 32
 #: Words that a worker remembers; probability of a character outside the vocabulary; share of the common model.
 MEMORY, UNKNOWN, COMMON = 400_000, 1e-8, 0.02
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -35,7 +35,15 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= PIECE and p == p.lower() and p.replace(START, "", 1).isalpha())
+    return sorted(p for p in pieces if len(p) <= WORD + 1 and p == p.lower() and p.replace(START, "", 1).isalpha())
+
+
+class Index(dict):
+    """Place of each piece, and the length of the longest."""
+
+    def __init__(self, pieces: list[str]):
+        super().__init__(zip(pieces, range(len(pieces))))
+        self.longest = max(map(len, pieces), default=1)
 
 
 def words_of(text: str) -> list[str]:
@@ -51,14 +59,15 @@ def words_of(text: str) -> list[str]:
 class Lattice:
     """Pieces that end at each place of each word, for words of one length."""
 
-    def __init__(self, words: list[str], index: dict[str, int], unknown: int):
+    def __init__(self, words: list[str], index: Index, unknown: int):
         import numpy as np
 
         self.size = size = len(words[0]) + 1
-        self.ids = np.full((size, min(PIECE, size), len(words)), unknown + 1, np.int32)  # unknown + 1: no piece
+        self.longest = index.longest
+        self.ids = np.full((size, min(self.longest, size), len(words)), unknown + 1, np.int32)  # unknown + 1: no piece
         get = index.get
         for e in range(1, size + 1):
-            for n in range(1, min(PIECE, e) + 1):
+            for n in range(1, min(self.longest, e) + 1):
                 a = e - n
                 self.ids[e - 1, n - 1] = [get((START + w)[a:e], unknown + (n > 1)) for w in words] if a == 0 else [get(w[a - 1 : e - 1], unknown + (n > 1)) for w in words]
 
@@ -69,7 +78,7 @@ class Lattice:
         alpha = np.zeros((self.size + 1, self.ids.shape[2], prob.shape[1]))
         alpha[0] = 1
         for e in range(1, self.size + 1):
-            for n in range(1, min(PIECE, e) + 1):
+            for n in range(1, min(self.longest, e) + 1):
                 alpha[e] += alpha[e - n] * prob[self.ids[e - 1, n - 1]]
         return alpha
 
@@ -81,11 +90,11 @@ class Lattice:
         beta[self.size] = 1
         total, p = np.zeros(len(prob)), prob[:, 0]
         for e in range(self.size, 0, -1):
-            for n in range(1, min(PIECE, e) + 1):
+            for n in range(1, min(self.longest, e) + 1):
                 beta[e - n] += beta[e] * p[self.ids[e - 1, n - 1]]
         scale = weight / alpha[self.size]
         for e in range(1, self.size + 1):
-            for n in range(1, min(PIECE, e) + 1):
+            for n in range(1, min(self.longest, e) + 1):
                 own = self.ids[e - 1, n - 1]
                 total += np.bincount(own, alpha[e - n] * p[own] * beta[e] * scale, len(prob))
         return total
@@ -106,7 +115,7 @@ def by_length(words: list[str], step: int = 4096) -> Iterator[tuple[list[int], l
             yield places[a : a + step], [words[i] for i in places[a : a + step]]
 
 
-def word_scores(words: list[str], index: dict[str, int], prob):
+def word_scores(words: list[str], index: Index, prob):
     """log likelihood of each word in each language."""
     import numpy as np
 
@@ -136,7 +145,7 @@ def train(docs: DataFrame, path: str = VOCABULARY, docs_per_lang: int = TRAIN_DO
     import numpy as np
 
     pieces = vocabulary(path)
-    index = {p: i for i, p in enumerate(pieces)}
+    index = Index(pieces)
     rows = columns_apart(docs, "doc_id", "text", "lang").where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
@@ -197,7 +206,7 @@ class Predictor:
     def __init__(self, langs: list[str], pieces: list[str], prob):
         import numpy as np
 
-        self.langs, self.index, self.prob = langs, {p: i for i, p in enumerate(pieces)}, prob
+        self.langs, self.index, self.prob = langs, Index(pieces), prob
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(langs)))
 
@@ -249,8 +258,10 @@ def predict(docs: DataFrame, model) -> DataFrame:
 def accepted(docs: DataFrame, path: str = VOCABULARY, least: float = 0.4) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with a score of ``least``.
 
-    Learnt from the rows that are not held out.  Where no row has a language,
-    nothing is learnt and no row is accepted.
+    Learnt from the rows that are not held out.  Where none of these has a
+    language, nothing can be learnt and every text with a letter is accepted.
+    Null texts, and those without a letter, are not.  Very long texts are read
+    whole.  Repeated rows are rows of their own; no rows give none.
     """
     model = train(docs.where(~held_out(F.col("doc_id"), 4, 2)), path)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -262,8 +273,9 @@ def accepted(docs: DataFrame, path: str = VOCABULARY, least: float = 0.4) -> Dat
         ask = Predictor(*shared.value)
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, len(batch), 200)):
-                said = ask(part.column(place).to_pylist())
-                yield part.filter(pa.array([lang != "und" and score >= least for lang, score in said], pa.bool_()))
+                texts = part.column(place).to_pylist()
+                good = [lang != "und" and score >= least for lang, score in ask(texts)] if ask.langs else [bool(words_of(t or "")) for t in texts]
+                yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
