@@ -322,7 +322,8 @@ def owning(least: int):
     """Step 3: who owns each string of the contents of some anchors.
 
     Contents are the same where a 64-bit hash, length and half of the anchor's
-    hash are.  That contents of different anchors meet does no harm.
+    hash are, and then their bytes.  That contents of different anchors meet
+    does no harm.
     """
 
     def work(key, table):
@@ -341,6 +342,16 @@ def owning(least: int):
         row = np.repeat(np.arange(len(raws)), sizes)
         ends = np.concatenate([8 + n * sum(widths) + np.cumsum(h[4].astype(np.int64) + least - 1) for h, n in zip(heads, sizes)])
         _, first, inverse = np.unique(content ^ _mixed(anchor + count.astype(np.uint64)), return_index=True, return_inverse=True)
+        span = lambda i: raws[row[i]][ends[i] - count[i] - least + 1 : ends[i]]
+        again = np.flatnonzero(first[inverse] != np.arange(len(content)))
+        other = [i for i, f in zip(again.tolist(), first[inverse[again]].tolist()) if span(i) != span(f)]
+        if other:  # bytes that differ under one hash are classes of their own
+            classes: dict[bytes, int] = {}
+            for i in other:
+                at = classes.setdefault(span(i), i)
+                if at == i:
+                    first = np.append(first, i)
+                inverse[i] = np.flatnonzero(first == at)[0]
         lows = np.full(len(first), NOBODY)
         np.minimum.at(lows, inverse, low)
         order = np.argsort(anchor[first])
@@ -466,16 +477,17 @@ def deduplicate(docs: DataFrame, least: int = LEAST, keep: bool = False) -> Data
 
     A byte goes if a string of ``least`` bytes around it also starts in a
     document with a smaller doc_id; strings are those of the input.  Null
-    texts are empty.  Rows with a null doc_id come after all others, and rows
-    with one doc_id take nothing from each other.  Rows of other columns are
-    not looked at.
+    texts are empty.  Very long ones are cut where no string is lost.  Rows
+    with a null doc_id come after all others, and rows with one doc_id take
+    nothing from each other, so repeated rows stay alike.  No rows give none.
+    Other columns are not looked at, whatever their names.
     """
     if least < GRAM:
         raise ValueError(f"matches must have {GRAM} bytes or more")
     own = columns_apart(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups, buckets, spread = (max(1, -(-total // size)) for size in (GROUP, PER_ANCHORS, PER_CONTENTS))
-    own = own.withColumn("r", F.pmod(F.xxhash64(F.lit("group"), "doc_id"), F.lit(groups)))
+    own = own.withColumn("r", F.pmod(F.xxhash64(F.lit("group"), "doc_id", "text"), F.lit(groups)))
     anchors = own.groupBy("r").applyInArrow(listing(buckets, least), "p long, r long, blob binary")
     masks = anchors.groupBy("p").applyInArrow(shared(), "r long, p long, blob binary")
     contents = own.groupBy("r").cogroup(masks.groupBy("r")).applyInArrow(sending(buckets, spread, least), "q long, r long, blob binary")
