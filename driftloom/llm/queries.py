@@ -55,7 +55,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formatting of all `conversations` and conversation -1, read back from the output."""
     own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     done = chat.format_conversations(own.unionByName(extra))
     back = chat.read_conversations(done)
     loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
@@ -84,7 +84,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mix of all `documents`, sources weighing 1, 2, 3 in turn."""
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.size("draws").cast("long").alias("n_draws"))
+    found = mixing.mix(_table(spark, sf_dir, "documents"))
+    shards = F.array_join(F.sort_array(F.transform("draws", lambda d: d["shard"])), ",")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", F.size("draws").cast("long").alias("n_draws"), shards.alias("shards"))
 
 
 QUERIES = {
