@@ -1,12 +1,16 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction.
 
-Base spans come from four patterns.  They seed a graph of lexical patterns
-(the word before, the word after, or a label such as ``mail:`` in front) and
-instances (base spans, identifier-like tokens, groups of digits with blanks).  A pattern is as good as the share of its
-instances that are trusted; an instance is trusted as its patterns together
-are.  After some rounds, instances beyond the trust limit add spans wherever
-they stand in such a context.  SQL functions only; nothing but counts of
-distinct pattern-instance pairs enters the rounds.
+Base spans come from four patterns; they and long hexadecimal keys are the
+seeds.  They induce lexical patterns: the word before or after an instance, the
+two words before, or a label such as ``mail:`` in front.  Patterns and
+instances (seeds, identifier-like tokens, groups of digits with blanks) form a
+graph.  A pattern is as good for a kind as the share of its instances that are
+trusted to be of that kind; those trusted to be of another don't count, and
+those that look like it, but aren't trusted, count less; an
+instance is trusted as its best pattern on either side is, and counts for its
+patterns once it is beyond the trust limit.  After some rounds such instances
+add spans wherever they stand in such a context.  SQL functions only; nothing but counts of distinct pattern-instance
+pairs enters the rounds.
 """
 
 from __future__ import annotations
@@ -14,11 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_apart, cut, lookup
+from .common import bounded, columns_apart, cut, lookup
 
+#: Kinds with base patterns, and all that the method adds spans of.
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring, trust from which an instance counts, code points of context looked at.
+ALL = (*KINDS, "secret")
+#: Rounds of scoring, trust from which an instance counts, code points of context that patterns are taken from.
 ROUNDS, TRUST, CONTEXT = 3, 0.8, 64
+#: What an instance of a kind that is not trusted counts against a pattern for that kind.
+DOUBT = 0.25
+#: Rows up to which a table is broadcast.
+SMALL = 100_000
 SPANS = "array<struct<start:int,end:int>>"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A run of non-blanks with a digit or an at sign.
@@ -61,11 +71,13 @@ def _found(text: Column, pattern: str) -> Column:
         def one(h, i):
             block = F.floor(i / s["step"]).cast("int")
             before, after = F.get(s["parts"], i), F.get(s["parts"], i + 1)
+            ahead = F.concat(F.coalesce(F.get(s["hits"], i - 1), F.lit("")), before)
+            behind = F.concat(after, F.coalesce(F.get(s["hits"], i + 1), F.lit("")))
             start = add(F.slice(s["sums"], F.lit(1), block)) + add(F.slice(s["lengths"], block * s["step"] + 1, i - block * s["step"])) + F.length(before)
             return F.struct(
                 h.alias("text"), start.alias("start"), (start + F.length(h)).alias("end"),
-                F.substr(before, F.greatest(F.length(before) - CONTEXT + 1, F.lit(1))).alias("before"),
-                F.substr(after, F.lit(1), F.lit(CONTEXT)).alias("after"),
+                F.substr(ahead, F.greatest(F.length(ahead) - CONTEXT + 1, F.lit(1))).alias("before"),
+                F.substr(behind, F.lit(1), F.lit(CONTEXT)).alias("after"),
             )
 
         return F.transform(s["hits"], one)
@@ -121,6 +133,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 def _candidates(text: Column, base: dict[str, Column]) -> Column:
     """Base spans, identifier-like tokens and groups of digits with single blanks: value, start, end, kind, seed, patterns.
 
+    A number of a card's length is like one only if it passes its check digit.
     Tokens and groups that touch a base span are no instances beside it, nor
     are the pieces without a kind of a group that has one.
     """
@@ -129,24 +142,30 @@ def _candidates(text: Column, base: dict[str, Column]) -> Column:
     word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
     tag = lambda t, w: F.when(w != "", F.concat(F.lit(t), w))
 
-    def instance(value, start, end, kind, seed, left, right, label):
+    blank, solid = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+
+    def instance(value, start, end, kind, seed, before, after, label):
+        """``before`` ends, and ``after`` begins, where the blank-free run around the value does."""
+        left, right = word(before, rf"({solid}++){blank}*+$"), word(after, rf"^{blank}*+({solid}++)")
+        two = F.regexp_replace(word(before, rf"({solid}++{blank}++{solid}++){blank}*+$"), rf"{blank}+", " ")
+
         return F.struct(
-            F.lower(value).alias("value"), start.alias("start"), end.alias("end"), kind.alias("kind"), F.lit(seed).alias("seed"),
-            F.array_compact(F.array(tag("<", left), tag(">", right), tag("=", label))).alias("patterns"),
+            F.lower(value).alias("value"), start.alias("start"), end.alias("end"), kind.alias("kind"), seed.alias("seed"),
+            F.array_compact(F.array(tag("<", left), tag(">", right), tag("<<", two), tag("=", label))).alias("patterns"),
         )
 
     def seeds(kind):
         def one(s):
             def told(c):
-                left = word(c["before"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]*+$")
-                right = word(c["after"], r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]+)")
-                label = word(c["before"], r"(?<![^\x20\x09-\x0D])([A-Za-z_]{1,32}[=:])[^\x20\x09-\x0D]*+$")
-                return instance(c["value"], s["start"], s["end"], F.lit(kind), True, left, right, label)
+                before = F.regexp_replace(c["before"], rf"(?<!{solid}){solid}++$", "")
+                after = F.regexp_replace(c["after"], rf"^{solid}++", "")
+                label = word(c["before"], rf"(?<!{solid})([A-Za-z_]{{1,32}}[=:]){solid}*+$")
+                return instance(c["value"], s["start"], s["end"], F.lit(kind), F.lit(True), before, after, label)
 
             around = F.struct(
                 F.substr(text, s["start"] + 1, s["end"] - s["start"]).alias("value"),
-                F.substr(text, F.greatest(s["start"] - 2 * CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(2 * CONTEXT))).alias("before"),
-                F.substr(text, s["end"] + 1, F.lit(2 * CONTEXT)).alias("after"),
+                F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))).alias("before"),
+                F.substr(text, s["end"] + 1, F.lit(CONTEXT)).alias("after"),
             )
             return _let(around, told)
 
@@ -158,17 +177,16 @@ def _candidates(text: Column, base: dict[str, Column]) -> Column:
 
     def judged(c):
         v, n = c["value"], _count(c["value"], "0-9")
+        key = v.rlike(r"^(?=[^0-9]*+[0-9])(?=[^a-f]*+[a-f])[0-9a-f]{32,}$")
         like = (
             F.when(v.rlike(r"^[^@]+@[^@]+$"), F.lit("email"))
-            .when(v.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), F.lit("ip"))
-            .when((n >= 13) & v.rlike(r"^[0-9\x20-]+$"), F.lit("card"))
+            .when(v.rlike(r"^[0-9]+(?:\.[0-9]+){3}$|^(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}$"), F.lit("ip"))
+            .when(n.between(13, 19) & v.rlike(r"^[0-9\x20./-]+$") & luhn(F.regexp_replace(v, "[^0-9]", "")), F.lit("card"))
             .when(n.between(7, 12) & v.rlike(r"^\+?[0-9()\x20.-]+$"), F.lit("phone"))
+            .when(v.rlike(r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[0-9A-Za-z_+/=.-]{12,}$"), F.lit("secret"))
             .otherwise(F.lit("none"))
         )
-        left = word(c["m"]["before"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$")
-        right = word(c["m"]["after"], r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)")
-        label = word(c["m"]["text"], r"^([A-Za-z_]{1,32}[=:])")
-        return instance(v, c["start"], c["end"], like, False, left, right, label)
+        return instance(v, c["start"], c["end"], like, key, c["m"]["before"], c["m"]["after"], word(c["m"]["text"], r"^([A-Za-z_]{1,32}[=:])"))
 
     def unseen(pattern):
         over = lambda c: F.exists(F.concat(*[base[k] for k in KINDS]), lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
@@ -187,8 +205,10 @@ def trusted(candidates: DataFrame, rounds: int = ROUNDS, trust: float = TRUST) -
     """value, kind of the instances that are no seeds and are trusted.
 
     ``candidates`` has value, kind, seed and patterns.  A pattern's score for a
-    kind is the trust in its instances of that kind over the number of all its
-    instances and one more; an instance's trust is 1 - product(1 - score).
+    kind is the number of its trusted instances of that kind over that, a
+    quarter of its other instances of that kind, all its instances that are
+    not trusted to be of another kind, and one more.  An instance's trust is 1 - (1 - l) (1 - r) of its best pattern before (or a
+    label) and after it; it counts for patterns from ``trust`` on.
     """
     edges = candidates.select(F.explode("patterns").alias("pattern"), "value", "kind", "seed")
     edges = cut(edges.groupBy("pattern", "value", "kind").agg(F.max("seed").alias("seed")), "edges")
@@ -198,17 +218,23 @@ def trusted(candidates: DataFrame, rounds: int = ROUNDS, trust: float = TRUST) -
     for _ in range(rounds):
         own = edges.withColumn("trust", F.col("seed").cast("double"))
         if belief is not None:
-            more = open_edges.join(belief, ["value", "kind"]).select("pattern", "kind", "trust")
+            more = open_edges.join(belief.where(F.col("trust") >= trust), ["value", "kind"]).select("pattern", "kind", "trust")
             own = own.select("pattern", "kind", "trust", F.lit(1).alias("n")).unionByName(more.withColumn("n", F.lit(0)))
         else:
             own = own.select("pattern", "kind", "trust", F.lit(1).alias("n"))
-        sums = [F.sum(F.when(F.col("kind") == k, F.col("trust")).otherwise(0.0)).alias(k) for k in KINDS]
+        sums = [F.sum(F.when(F.col("kind") == k, F.col("trust")).otherwise(0.0)).alias(k) for k in ALL]
         waits = open_edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("waits"))
-        scores = cut(own.groupBy("pattern").agg(F.sum("n").alias("n"), *sums).join(waits, "pattern"), "scores")
+        counts = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in ALL]
+        scores = cut(own.groupBy("pattern").agg(F.sum("n").alias("n"), *sums, *counts).join(waits, "pattern"), "scores")
         told = lookup(open_edges, scores, "pattern", "waits", total)
-        score = F.coalesce(*[F.when(F.col("kind") == k, F.col(k)) for k in KINDS]) / (F.col("n") + 1)
-        belief = told.select("value", "kind", score.alias("score")).groupBy("value", "kind")
-        belief = cut(belief.agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999999)))))).alias("trust")), "belief")
+        of_kind = lambda name: F.coalesce(*[F.when(F.col("kind") == k, F.col(name.format(k))) for k in ALL])
+        sure = of_kind("{}")
+        doubted = of_kind("n_{}") - sure
+        score = sure / (sure + doubted * DOUBT + (F.col("n") - sum(F.col(k) for k in ALL) - doubted) + 1)
+        side = lambda yes: F.coalesce(F.max(F.when(yes, F.col("score"))), F.lit(0.0))
+        after = F.startswith("pattern", F.lit(">"))
+        belief = told.select("pattern", "value", "kind", score.alias("score")).groupBy("value", "kind")
+        belief = cut(belief.agg((1 - (1 - side(after)) * (1 - side(~after))).alias("trust")), "belief")
     return belief.where(F.col("trust") >= trust).select("value", "kind")
 
 
@@ -216,8 +242,12 @@ def find(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST) -> DataFra
     """doc_id, mark, base and extra spans of every row (doc_id, text).
 
     ``mark`` is a hash of the text, to tell rows with one doc_id apart; base is
-    a struct with the spans of each kind, extra an array of (kind, start, end).
-    Null texts are empty and have none.  Repeated rows are rows of their own.
+    a struct with the spans of each kind, extra an array of (kind, start, end):
+    trusted instances and the keys that were seeds.  Patterns look at the
+    ``CONTEXT`` code points on either side of an instance, a longer word there
+    counts by what lies in them.  Null and empty texts have no spans; very long
+    ones are read whole.  Repeated rows are rows of their own and found alike.
+    No rows give none.  Other columns are not looked at, whatever their names.
     """
     text = F.coalesce("text", F.lit(""))
     own = columns_apart(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark"))
@@ -227,7 +257,8 @@ def find(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST) -> DataFra
     own = cut(own, "base")
     each = own.where("candidates is not null").select("doc_id", "mark", F.inline("candidates"))
     good = trusted(each, rounds, trust)
-    extra = each.where("not seed and kind <> 'none'").join(good, ["value", "kind"])
+    extra = each.where("not seed and kind <> 'none'").join(F.broadcast(good) if bounded(good, SMALL) else good, ["value", "kind"])
+    extra = extra.select("doc_id", "mark", "kind", "start", "end").unionByName(each.where("seed and kind = 'secret'").select("doc_id", "mark", "kind", "start", "end"))
     extra = extra.select("doc_id", "mark", F.struct("kind", "start", "end").alias("x")).distinct()
     extra = cut(extra.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("x")).alias("extra")), "extra")
     same = F.col("o.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("o.mark") == F.col("e.mark"))
@@ -238,10 +269,13 @@ def find(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST) -> DataFra
 def all_spans(base: Column, extra: Column) -> Column:
     """(kind, start, end) by kind as listed, then start; what base has is not added again."""
     def of(kind: str) -> Column:
+        more = F.filter(extra, lambda s: s["kind"] == kind)
+        if kind not in KINDS:
+            return F.array_sort(more)
         tagged = F.transform(base[kind], lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-        return F.array_sort(F.array_union(tagged, F.filter(extra, lambda s: s["kind"] == kind)))
+        return F.array_sort(F.array_union(tagged, more))
 
-    return F.concat(*map(of, KINDS))
+    return F.concat(*map(of, ALL))
 
 
 def listed(spans: Column) -> Column:
