@@ -17,9 +17,11 @@ def test_folding(spark):
     assert len({got[i].fingerprint for i in range(4)}) == 1
     assert got[10].fingerprint == got[11].fingerprint != got[12].fingerprint
     assert got[13].fingerprint == got[14].fingerprint == got[15].fingerprint
-    sizes = sorted(r.rows for r in exact.groups(spark.createDataFrame(rows, KIND)).collect())
-    assert sizes == [1, 2, 3, 4]
-    assert exact.collided(spark.createDataFrame(rows, KIND)).count() == 0
+    canon = spark.createDataFrame(rows, KIND).select(exact.canonical(exact.F.col("text")).alias("canon"))
+    held = canon.select(exact.wide_hash(exact.F.col("canon")).alias("hash"), exact.F.sha2("canon", 256).alias("sha"), "canon")
+    found = exact.groups(held).collect()
+    assert sorted(r.rows for r in found) == [1, 2, 3, 4] and all(r.one for r in found)
+    assert exact.collided(held, held.select("hash")).count() == 0
 
 
 def test_edits_equal_brute_force(spark, monkeypatch):
@@ -46,6 +48,7 @@ def test_bytes_are_compared_inside_a_bucket(spark, monkeypatch):
     got = by_id(exact.fingerprints(docs).collect())
     assert got[1].fingerprint == got[3].fingerprint != got[2].fingerprint
     assert got[1].near_next == 0.0
+    assert {got[i].edited_fingerprint for i in (1, 2)} == {got[i].fingerprint for i in (1, 2)}
 
 
 def test_small_tables_and_null_ids(spark, tmp_path):
@@ -58,3 +61,23 @@ def test_small_tables_and_null_ids(spark, tmp_path):
     assert {r.edited_sha256 for r in got if r.doc_id is None} == {hashlib.sha256(b"first ose").hexdigest()}
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert op4_fingerprints(spark, str(tmp_path)).count() == 3
+
+
+def test_many_rows_of_one_id(spark, monkeypatch):
+    """Null and repeated ids, far more than a part holds, and cells that are cut evenly."""
+    monkeypatch.setattr(exact, "ROWS", 20)
+    monkeypatch.setattr(exact, "CELLS", 3)
+    rows = [(None, f"null text {i}" + "y" * (i % 9), 0) for i in range(300)] + [(7, f"seven {i} é" * (i % 4 + 1), 0) for i in range(300)]
+    rows += [(i * i, f"own {i}", 0) for i in range(8, 900)] + [(-5, None, 0), (9, "more", 0), (9, "more", 0)]
+    docs = spark.createDataFrame(rows, KIND).repartition(3)
+    marks = [tuple(r) for r in docs.select("doc_id", "text", exact.F.xxhash64("text").alias("m")).collect()]
+    line = sorted(marks, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    want = []
+    for i, (d, t, _) in enumerate(line):
+        t, n = t or "", line[(i + 1) % len(line)][1] or ""
+        k = len(t) // 4
+        want.append((str(d), len(t), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()))
+    got = exact.fingerprints(docs).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    sizes = exact._slots(docs.select("doc_id", "text")).groupBy("part", "turn", "sub").count().collect()
+    assert max(r["count"] for r in sizes) < 150
