@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -39,6 +40,72 @@ def test_gradients_equal_differences():
             assert abs((up - down) / 2e-5 - own[i]) < 1e-6, k
 
 
+def test_scores_equal_plain_loops():
+    """Inputs, both recurrent layers, attention and the highest window, word by word in plain Python."""
+    rng = random.Random(6)
+    net = toxicity.Network({"aa": 0, "bb": 1}, {"aa": 1.0}, {b"^cc": 0.5, b"ccc": 0.25})
+    p, h = {k: v.tolist() for k, v in net.p.items()}, toxicity.STATE
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def described(word):
+        marked = b"^" + word.encode()
+        grams = [marked[i : i + 4] for i in range(max(1, len(marked) - 3))] + [marked[:n] for n in (5, 6, 7) if n < len(marked)]
+        mean = [sum(p["gram"][zlib.crc32(g) % toxicity.BUCKETS][j] for g in grams) / len(grams) for j in range(toxicity.VECTOR)]
+        best = sorted((net.lean_gram.get(g, 0.0) for g in grams), reverse=True)[:2]
+        return p["word"][net.words.get(word, 2)] + mean + [net.lean_word.get(word, 0.0), sum(best) / 2]
+
+    def layer(xs, d):
+        s, out = [0.0] * h, []
+        for x in xs:
+            xw = [sum(x[i] * p["W" + d][i][j] for i in range(len(x))) + p["B" + d][j] for j in range(3 * h)]
+            su = [sum(s[i] * p["U" + d][i][j] for i in range(h)) for j in range(3 * h)]
+            z = [sigmoid(xw[j] + su[j]) for j in range(h)]
+            r = [sigmoid(xw[h + j] + su[h + j]) for j in range(h)]
+            c = [math.tanh(xw[2 * h + j] + r[j] * su[2 * h + j]) for j in range(h)]
+            s = [s[j] + z[j] * (c[j] - s[j]) for j in range(h)]
+            out.append(s)
+        return out
+
+    def window(words):
+        xs = [described(w) for w in words]
+        states = [a + b for a, b in zip(layer(xs, "f"), layer(xs[::-1], "b")[::-1])]
+        e = [math.exp(sum(x * y for x, y in zip(s, p["att"]))) for s in states]
+        pooled = [sum(w * s[j] for w, s in zip(e, states)) / sum(e) for j in range(2 * h)]
+        return sigmoid(sum(x * y for x, y in zip(pooled, p["out"])) + p["bias"][0])
+
+    def plain(text):
+        words = text.lower().split()
+        starts = sorted({min(a, max(0, len(words) - 32)) for a in range(0, max(1, len(words) - 16), 16)}) if words else []
+        return max((window(words[a : a + 32]) for a in starts), default=0.0)
+
+    texts = [" ".join(rng.choice(["aa", "bb", "ccc", "dd", "é" * 120, "longerword"]) for _ in range(n)) for n in (0, 1, 5, 31, 32, 33, 48, 49, 70, 130)]
+    got = toxicity.Scorer(net).score(texts)
+    assert all(abs(a - plain(t)) < 1e-4 for a, t in zip(got, texts))
+
+
+def test_leanings_leave_out_a_fold():
+    docs, labels = [["vile", "x"]] * 10 + [["x", "y"]] * 30, [1] * 10 + [0] * 30
+    lean = toxicity.Leanings(docs, labels, folds=5)
+    assert sorted(lean.fold_of[:10]) == sorted(list(range(5)) * 2)
+    words, grams = lean.told()
+    assert words["vile"] > 0 and "x" not in words and grams[b"vile"] > 0
+    docs[0] = ["only", "here"]
+    lean = toxicity.Leanings([["rare"] if i in (0, 5, 1) else d for i, d in enumerate(docs)], labels, folds=5)
+    assert "rare" in lean.told()[0] and "rare" not in lean.told(lean.fold_of[0])[0]
+
+
+def test_conflicting_labels_are_decided(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    was, toxicity.train = toxicity.train, lambda texts, marks: seen.append((texts, marks))
+    try:
+        toxicity.learn(docs, labels)
+    finally:
+        toxicity.train = was
+    assert seen == [(["a", "c"], [1, 0])]
+
+
 def test_all_windows_are_scored():
     net = toxicity.Network({}, {}, {})
     scorer = toxicity.Scorer(net)
