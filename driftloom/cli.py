@@ -44,11 +44,15 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def _profile(args: argparse.Namespace) -> Profile:
+    """The thresholds asked for: of a file or the defaults, with those given one by one."""
+    given = {"drift_threshold": args.threshold} if args.threshold is not None else {}
+    return dataclasses.replace(Profile.load(args.profile) if args.profile else Profile(), **given)
+
+
 def _analyze(spark: SparkSession, args: argparse.Namespace) -> int:
     try:
-        profile = Profile.load(args.profile) if args.profile else Profile()
-        if args.threshold is not None:
-            profile = dataclasses.replace(profile, drift_threshold=args.threshold)
+        profile = _profile(args)
         steps, notes = read_files(spark, args.file)
         runs = spark.read.text(args.file, wholetext=True).select(F.col("_metadata.file_path").alias("run_id"))
         anchors = runs.select("run_id", F.lit("text").alias("kind"), F.array(F.lit(args.anchor)).alias("texts")) if args.anchor else None
@@ -60,6 +64,7 @@ def _analyze(spark: SparkSession, args: argparse.Namespace) -> int:
     if report is None:
         print("no steps: no cascade detected")
         return 0
+    print("CASCADE" if report.verdict else "no cascade")
     print(report_text(report))
     if args.json_out:
         with open(args.json_out, "w", encoding="utf-8") as f:

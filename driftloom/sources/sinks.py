@@ -27,21 +27,25 @@ def export_splits(path: str, **splits: DataFrame) -> None:
         rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
 
 
+def _value(v) -> str:
+    """A value on one line: numbers to three places, nothing as a dash."""
+    if v is None or v == []:
+        return "-"
+    if isinstance(v, float):
+        return f"{v:.3f}"
+    if isinstance(v, list):
+        return "; ".join(map(_value, v))
+    if isinstance(v, dict):
+        return ", ".join(f"{k}={_value(x)}" for k, x in v.items() if x is not None)
+    return str(v)
+
+
 def report_text(report: Row) -> str:
-    """A report for people: the verdict, a table of steps, types, origins and notes."""
-    cell = lambda v, wide: f"{'-' if v is None else f'{v:.3f}':>{wide}}"
-    out = [f"run {report.run_id}: {'CASCADE DETECTED' if report.verdict else 'no cascade detected'}{' [degraded]' if report.degraded else ''}"]
-    out += [f"  because: {r}" for r in report.verdict_reasons]
-    columns = (("drift_prev", 10), ("drift_anchor", 12), ("entailment", 10), ("coverage", 8), ("omission", 8), ("aggregate", 9))
-    out += ["", f"{'step':>8}  {'agent':<12}" + "".join(f" {c:>{w}}" for c, w in columns) + "  flags"]
-    for s in report.steps:
-        out.append(f"{s.step_id!s:>8}  {s.agent_name or '-':<12}" + "".join(f" {cell(s[c], w)}" for c, w in columns) + "  " + "; ".join(s.flag_reasons))
-    if report.classification:
-        out += ["", "types:", *[f"  - {t.cascade_type} ({t.confidence:.2f}): {t.rationale}" for t in report.classification]]
-    if report.attribution:
-        out += ["", "origin candidates (by thresholds, no causal proof):", *[f"  - step {c.origin_step} ({c.origin_agent or '-'}), confidence {c.confidence:.2f}" for c in report.attribution]]
-    if report.notes:
-        out += ["", "notes:", *[f"  - {n}" for n in report.notes]]
-    if report.monitoring_failure:
-        out += ["", f"monitoring failure: {report.monitoring_failure}"]
-    return "\n".join([*out, "", f"thresholds: {report.thresholds.asDict()}", f"models: {report.models.asDict()}"])
+    """A report for people: its fields in the order of the schema, lists of records item by item."""
+    out = []
+    for name, value in report.asDict(recursive=True).items():
+        if isinstance(value, list) and value and isinstance(value[0], dict):
+            out += [f"{name}:", *[f"  {n}. {_value({k: v for k, v in item.items() if v not in ([], None)})}" for n, item in enumerate(value, 1)]]
+        else:
+            out.append(f"{name}: {_value(value)}")
+    return "\n".join(out)
