@@ -34,8 +34,8 @@ def squeezed(text: Column) -> Column:
 
 
 def truncated(text: Column) -> Column:
-    """Whether a text seems cut off: its last character ends no sentence."""
-    return ~F.rtrim(text).rlike(r"[.!?\")%]$")
+    """Whether a text seems cut off: its last character, blanks aside, ends no sentence."""
+    return ~text.rlike(r"[.!?\")%][\s\p{Z}]*\z")
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -94,15 +94,22 @@ def sentences(text: Column) -> Column:
 
 
 def facts(text: Column, max_facts: int, min_chars: int) -> Column:
-    """The sentences of an anchor; one shorter than ``min_chars`` joins the one before."""
+    """The sentences of an anchor; one shorter than ``min_chars`` joins the one before.
 
-    def step(found: Column, part: Column) -> Column:
-        n = F.size(found)
-        joined = F.concat(F.slice(found, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(found, -1), part)))
-        return F.when((n > 0) & (F.length(part) < min_chars), joined).otherwise(F.concat(found, F.array(part)))
+    A fact is a run of sentences from one that is long enough (or the first) to
+    the next, so each is put together once.
+    """
+
+    def runs(parts: Column) -> Column:
+        begins = F.filter(F.transform(parts, lambda p, i: F.when((i == 0) | (F.length(p) >= min_chars), i)), lambda i: i.isNotNull())
+
+        def fact(b: Column) -> Column:
+            upto = lambda i: F.coalesce(F.get(b, i + 1), F.size(parts))
+            return F.transform(F.slice(b, 1, max_facts), lambda at, i: F.concat_ws(" ", F.slice(parts, at + 1, upto(i) - at)))
+
+        return let(begins, fact)
 
-    none = F.array().cast("array<string>")
-    return F.slice(F.aggregate(sentences(text), none, step), 1, max_facts)
+    return let(sentences(text), runs)
 
 
 def listed_facts(texts: Column, max_facts: int) -> Column:

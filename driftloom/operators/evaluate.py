@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.text import reason_signal
 from ..functions.vectors import ratio
 from .inject import draw
+from .places import values_at
 from .steps import by_run
 
+#: Parts of a stratum that are ranked apart.
+PARTS = 64
+
 
 def first_flagged(signals: DataFrame, flag: str = "flagged") -> DataFrame:
     """run_id, predicted: the earliest flagged ordinal, null where there is none."""
@@ -34,9 +38,8 @@ def rates(runs: DataFrame, fired: str, truth: str, *by: str) -> DataFrame:
 
 def index_quantiles(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Least, first quarter, middle and largest value, each one that occurs."""
-    at = lambda share: F.element_at("v", (F.floor(F.size("v") * share) + 1).cast("int"))
-    rows = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    return rows.select(*by, F.get("v", 0).alias("low"), at(0.25).alias("p25"), at(0.5).alias("middle"), F.element_at("v", -1).alias("high"))
+    at = {"low": lambda n: F.lit(0), "p25": lambda n: F.floor(n * 0.25), "middle": lambda n: F.floor(n * 0.5), "high": lambda n: n - 1}
+    return values_at(df, value, by, at).drop("n")
 
 
 def distribution(df: DataFrame, category: str, *subsets: str) -> DataFrame:
@@ -74,6 +77,11 @@ def signal_counts(signals: DataFrame) -> DataFrame:
     return each.groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
 
 
+def most_common(counts: DataFrame, category: str, n: str = "n") -> DataFrame:
+    """``counts`` with ``place``: 1 for the most frequent category, equals by name; the categories are few."""
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc(n), category)))
+
+
 def consecutive_flags(signals: DataFrame) -> DataFrame:
     """run_id, consecutive: whether two steps in a row are flagged."""
     pairs = signals.withColumn("pair", F.col("flagged") & F.coalesce(F.lead("flagged").over(by_run()), F.lit(False)))
@@ -101,17 +109,60 @@ EXPECTED = {
 
 
 def detection_table(runs: DataFrame) -> DataFrame:
-    """By kind: detection, and of the detected runs the shares with the right step, type or nearly.
+    """By kind and for all: how often each variant detects, and of the detected runs the shares with the right step, type or nearly.
 
-    ``runs`` has kind, detected, predicted, actual, top_type.
+    ``runs`` has kind, dual_nli (detected), prev, anchor, dual, naive,
+    predicted, actual and types (array).
     """
     expected = F.element_at(F.create_map(*[F.lit(x) for kv in EXPECTED.items() for x in kv]), F.col("kind"))
-    share = lambda c: F.avg(F.when(F.col("detected"), F.coalesce(c, F.lit(False)).cast("double")))
-    return runs.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("detected").cast("double")).alias("detection"),
+    rows = runs.withColumn("right", F.array_contains("types", expected))
+    share = lambda c: F.avg(F.when(F.col("dual_nli"), F.coalesce(c, F.lit(False)).cast("double")))
+    found = rows.groupingSets([[F.col("kind")], []], "kind").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(F.col(v).cast("double")).alias(v) for v in ("dual_nli", "dual", "prev", "anchor", "naive")],
         share(F.col("predicted") == F.col("actual")).alias("exact"), share(F.abs(F.col("predicted") - F.col("actual")) <= 1).alias("within1"),
-        share(F.col("top_type") == expected).alias("right_type"),
+        share(F.col("right")).alias("right_type"),
     )
+    return found.withColumn("kind", F.coalesce("kind", F.lit("total")))
+
+
+def omission_effect(signals: DataFrame, truth: DataFrame) -> DataFrame:
+    """What the omission signal changes: first flags without and with it, against (run_id, truth, origin).
+
+    One row: how many true runs, in how many of them each has a flag, the
+    right step or nearly; clean runs that fire; runs whose only flag is an
+    omission; runs where it moves the first flag closer to the origin.
+    """
+    plain = F.size(F.filter("flag_codes", lambda c: c != "omission")) > 0
+    firsts = signals.groupBy("run_id").agg(F.min(F.when(plain, F.col("ordinal"))).alias("without"), F.min(F.when(F.col("flagged"), F.col("ordinal"))).alias("with"))
+    rows = firsts.join(truth, "run_id")
+    true, off = F.col("truth"), lambda c: F.abs(F.col(c) - F.col("origin"))
+    each = []
+    for c in ("without", "with"):
+        each += [
+            F.count_if(true & F.col(c).isNotNull()).alias(f"found_{c}"), F.count_if(true & (off(c) == 0)).alias(f"exact_{c}"),
+            F.count_if(true & (off(c) <= 1)).alias(f"within1_{c}"), F.count_if(~true & F.col(c).isNotNull()).alias(f"clean_{c}"),
+        ]
+    return rows.agg(
+        F.count_if(true).alias("n"), F.count_if(~true).alias("n_clean"), *each,
+        F.count_if(true & F.col("without").isNull() & F.col("with").isNotNull()).alias("gained"), F.count_if(true & (off("with") < off("without"))).alias("improved"),
+    )
+
+
+def rescored(runs: DataFrame, truths: DataFrame, cover: float, omit: float) -> DataFrame:
+    """First flags from stored scores, without and with omission, against several sets of labels.
+
+    ``runs`` is as for ``threshold_sweep``, without truth; ``truths`` is
+    (run_id, basis, truth, origin).  Rows: basis, omission, n, exact, within1;
+    runs that are not true don't count.
+    """
+    covered = F.transform("matrix", lambda r: F.when(F.size(r) > 0, F.size(F.filter(r, lambda x: x >= cover)) / F.size(r)).otherwise(0.0))
+    rows = runs.withColumn("covered", covered)
+    lost = F.transform("covered", lambda c, i: F.greatest(F.lit(0.0), F.when(i == 0, F.lit(1.0)).otherwise(F.get("covered", i - 1)) - c))
+    both = F.zip_with("flagged", lost, lambda f, x: f | (x > omit))
+    first = lambda on: F.when(F.array_contains(on, True), F.get("step_ids", (F.array_position(on, True) - 1).cast("int")))
+    told = F.array(F.struct(F.lit(False).alias("omission"), first(F.col("flagged")).alias("predicted")), F.struct(F.lit(True).alias("omission"), first(both).alias("predicted")))
+    rows = rows.select("run_id", F.inline(told)).join(truths.where("truth").select("run_id", "basis", F.col("origin").alias("actual")), "run_id")
+    return accuracy(rows, "basis", "omission")
 
 
 def threshold_sweep(runs: DataFrame, coverages: list[float], omissions: list[float], skip_roles: tuple[str, ...] = ()) -> DataFrame:
@@ -185,24 +236,31 @@ def stratified_sample(items: DataFrame, key: str, strata: list[str], size: int,
     order = Window.orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), *strata)
     spare = F.lit(size) - F.sum("base").over(Window.partitionBy())
     quota = quota.withColumn("take", F.col("base") + (F.row_number().over(order) <= spare).cast("int"))
-    ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)))
-    same = reduce(lambda a, b: a & b, [items[s].eqNullSafe(quota[s]) for s in strata])
-    return ranked.join(F.broadcast(quota), same).where(F.col("_rank") <= F.col("take")).select(*[ranked[c] for c in items.columns])
+    quota = quota.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], "take")
+    rows = items.withColumn("_lot", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))))
+    same = reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(f"_s{i}")) for i, s in enumerate(strata)])
+    # The first of each of many parts of a stratum, then the first of those: no task ranks a whole stratum.
+    rows = rows.join(quota, same).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    for within in ([*strata, "_part"], strata):
+        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*within).orderBy("_lot", key))).where(F.col("_rank") <= F.col("take"))
+    return rows.select(*items.columns)
 
 
 def balanced_split(items: DataFrame, taken: DataFrame, key: str, strata: list[str], parts: int = 2, seed: int = 1) -> DataFrame:
     """The items not ``taken`` with ``part``: dealt in turn, stratum after stratum.
 
-    A running number needs no global sort of the items: each stratum starts
+    A running number needs no global sort of the items: in the order of their
+    lots a stratum is cut by the first digits of the lot, and each piece starts
     where those before it end.
     """
-    rest = items.join(taken.select(key), key, "left_anti")
-    sizes = rest.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy(*strata)) - F.col("n")).drop("n")
-    shuffled = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)
-    rows = rest.withColumn("_at", F.row_number().over(shuffled) - 1)
-    same = reduce(lambda a, b: a & b, [rest[s].eqNullSafe(starts[s]) for s in strata])
-    return rows.join(F.broadcast(starts), same).select(*[rows[c] for c in items.columns], ((F.col("start") + F.col("_at")) % parts).alias("part"))
+    lot = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    rest = items.join(taken.select(key), key, "left_anti").withColumn("_lot", lot).withColumn("_piece", F.substring("_lot", 1, 2))
+    sizes = rest.groupBy(*strata, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy(*strata, "_piece")) - F.col("_n"))
+    starts = starts.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_piece").alias("_of"), "_start")
+    rows = rest.withColumn("_at", F.row_number().over(Window.partitionBy(*strata, "_piece").orderBy("_lot", key)) - 1)
+    same = reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(f"_s{i}")) for i, s in enumerate(strata)]) & (F.col("_piece") == F.col("_of"))
+    return rows.join(starts, same).select(*items.columns, ((F.col("_start") + F.col("_at")) % parts).alias("part"))
 
 
 def upsert_forms(ids: DataFrame, forms: DataFrame, key: str) -> DataFrame:

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.config import Profile
-from driftloom.operators import calibrate, drift, evaluate, inject
+from driftloom.operators import calibrate, drift, evaluate, inject, places
 from driftloom.operators.steps import densified
+from driftloom.sources import datasets
 from tests.operators.test_signals import steps
 
 
@@ -134,3 +135,84 @@ def test_index_quantiles_and_counts(spark):
     flags = spark.createDataFrame([("r", 0, True, ["drift_prev 1", "drift_anchor 2", "omission 1"]), ("r", 1, True, ["drift_prev 1"]), ("r", 2, False, [])], "run_id string, ordinal int, flagged boolean, flag_reasons array<string>")
     assert {r.signal: r.n for r in evaluate.signal_counts(flags).collect()} == {"drift": 2, "omission": 1}
     assert evaluate.consecutive_flags(flags).first().consecutive
+
+
+def test_places_and_percentiles_equal_numpy(spark):
+    rng = random.Random(3)
+    rows = [(k, v) for k in ("a", "b", None) for v in [rng.choice([rng.gauss(0, 1), 0.5, -2.0, 1e6]) for _ in range(rng.randint(1, 300))]] + [("a", None), ("empty", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {r.k: r for r in places.percentile(frame, "v", 0.95, "p", "k").collect()}
+    assert got.keys() == {"a", "b", None}
+    for k, r in got.items():
+        values = [v for x, v in rows if x == k and v is not None]
+        assert r.n == len(values) and r.p == pytest.approx(np.percentile(values, 95), rel=1e-12)
+    all_ = [v for _, v in rows if v is not None]
+    assert places.percentile(frame, "v", 0.05, "p").first().p == pytest.approx(np.percentile(all_, 5), rel=1e-12)
+    assert places.percentile(frame.where("v is null"), "v", 0.5).collect() == []
+
+
+def test_omission_effect(spark):
+    rows = [
+        ("a", 0, True, ["omission"]), ("a", 1, True, ["drift_prev"]), ("b", 0, False, []), ("b", 1, True, ["omission"]), ("c", 0, False, []), ("c", 1, True, ["entailment", "omission"]),
+        ("d", 0, True, ["omission"]), ("e", 0, False, []),
+    ]
+    truth = [("a", True, 0), ("b", True, 0), ("c", True, 1), ("d", False, None), ("e", False, None)]
+    got = evaluate.omission_effect(spark.createDataFrame(rows, "run_id string, ordinal int, flagged boolean, flag_codes array<string>"), spark.createDataFrame(truth, "run_id string, truth boolean, origin int")).first()
+    assert (got.n, got.n_clean, got.found_without, got.found_with, got.exact_without, got.exact_with) == (3, 2, 2, 3, 1, 2)
+    assert (got.within1_without, got.within1_with, got.clean_without, got.clean_with, got.gained, got.improved) == (2, 3, 0, 1, 1, 1)
+
+
+def test_detection_by_kind_counts_detected_runs_only(spark):
+    kind = "kind string, dual_nli boolean, dual boolean, prev boolean, anchor boolean, naive boolean, predicted int, actual int, types array<string>"
+    rows = [
+        ("causal_leap", True, True, True, False, False, 1, 1, ["retrieval", "inference"]), ("causal_leap", True, False, False, False, False, 3, 1, None),
+        ("causal_leap", False, False, False, False, True, 1, 1, ["inference"]), ("context_swap", False, False, False, False, False, None, 2, None),
+    ]
+    got = {r.kind: r for r in evaluate.detection_table(spark.createDataFrame(rows, kind)).collect()}
+    assert (got["causal_leap"].n, got["causal_leap"].exact, got["causal_leap"].within1, got["causal_leap"].right_type) == (3, 0.5, 0.5, 0.5)
+    assert got["context_swap"].exact is None and got["total"].n == 4 and got["total"].dual_nli == 0.5 and got["total"].naive == 0.25
+
+
+def test_levels_of_some_runs_are_applied_to_others(spark):
+    rows = [("a", 0.2, 0.3, 0.4), ("a", 0.4, 0.1, None), ("b", 0.6, 0.2, 0.1)]
+    own = spark.createDataFrame(rows, "run_id string, drift_prev double, drift_anchor double, aggregate double").withColumn("entailment", F.lit(0.5))
+    levels = calibrate.signal_percentiles(own.where("run_id = 'a'"), 100.0)
+    got = calibrate.applied(own.where("run_id = 'b'"), levels).first()
+    assert (got.prev, got.anchor, got.dual, got.dual_nli) == (True, False, True, False)
+    parts = {r.run_id: r.part for r in calibrate.holdout(own.select("run_id").distinct().withColumn("at", F.ascii("run_id")), "at", 1).collect()}
+    assert parts == {"a": "calibrate", "b": "holdout"}
+
+
+def test_data_set_splits(spark):
+    own = steps(spark, ["a b", "c d", "e f", "g h"]).unionByName(steps(spark, ["x", "y"], run="s"))
+    domains = spark.createDataFrame([("r", "news")], "run_id string, domain string")
+    clean = {r.id: r for r in datasets.clean_split(own, domains).collect()}
+    assert clean["r"].n_steps == 4 and clean["r"].domain == "news" and clean["s"].domain is None and [s.text for s in clean["s"].steps] == ["x", "y"]
+    bad = datasets.injected_split(own, domains, lambda run: F.lit(8)).collect()
+    assert len(bad) == 5 and {r.source_id for r in bad} == {"r"} and {r.seed for r in bad} == {8}
+    for r in bad:
+        assert r.id == f"r--{r.injection_kind}" and [s.text for s in r.steps][r.origin_step_index] == r.injected_text and r.original_text == ["a b", "c d", "e f", "g h"][r.origin_step_index]
+    chains = spark.createDataFrame([("r", "q", "src", "m", 0.5), ("s", "q", "src", None, None)], "run_id string, question string, source string, model string, temperature double")
+    labels = spark.createDataFrame([("r", True, 1, "omission", None, "n", "consensus")], "run_id string, cascade_occurred boolean, origin_step int, error_type string, evidence string, notes string, label_agreement string")
+    passes = spark.createDataFrame([("r", "bob", True, 1, "omission"), ("r", "ann", True, 2, "misread"), ("s", "ann", True, 1, "x"), ("s", "bob", None, None, None)], "run_id string, rater string, cascade_occurred boolean, origin_step int, error_type string")
+    got = {r.id: r for r in datasets.labelled_split(own, chains, labels, passes).collect()}
+    assert [p.rater for p in got["r"].annotator_labels] == ["ann", "bob"] and got["r"].evidence == "" and got["r"].label_agreement == "consensus"
+    assert got["s"].annotator_labels is None and got["s"].label_agreement == "machine_only" and len(got["s"].steps) == 2
+
+
+def test_facts_join_short_sentences(spark):
+    from driftloom.functions.text import facts
+
+    def plain(parts, least):
+        out = []
+        for p in parts:
+            if out and len(p) < least:
+                out[-1] += " " + p
+            else:
+                out.append(p)
+        return out
+
+    for text in ("Yes. This sentence is long enough to stand. No. Nor. Another one that is long enough here. End.", "", " ", "One.", "Short. Tiny. Small."):
+        parts = [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if p]
+        got = spark.range(1).select(facts(F.lit(text), 12, 25).alias("a"), facts(F.lit(text), 2, 0).alias("b")).first()
+        assert got.a == plain(parts, 25) and got.b == parts[:2]

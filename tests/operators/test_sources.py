@@ -46,7 +46,8 @@ def test_reports_are_written(spark, tmp_path):
     _, reports = report.analyze(steps, notes=notes)
     one = reports.first()
     text = sinks.report_text(one)
-    assert "CASCADE DETECTED" in text and "drift_anchor" in text and "skipped" in text and "thresholds" in text
+    assert "verdict: True" in text and "drift_anchor=" in text and "skipped" in text and "thresholds: profile=" in text
+    assert "attribution:\n  1. " in text and "monitoring_failure: -" in text
     assert json.loads(sinks.report_json(one))["verdict"] is True
     assert json.loads(sinks.as_json(reports).first().report)["steps"][0]["drift_prev"] is None
     sinks.write_json(reports, f"{tmp_path}/out")
