@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators.inject import ASSURANCE, CERTAIN, LEAPS, SWAPS
+from ..operators.evaluate import EXPECTED
+from ..operators.inject import ASSURANCE, CERTAIN, ENTITIES, FIGURE, LEAPS, REPORTED, SWAPS
+from . import wider
 
 STEPS = """steps as (
   select cast(conv_id as varchar) as run_id, conv_id, turn, role, text, cast(turn as varchar) as step_id,
@@ -119,6 +121,165 @@ def _certain() -> str:
     return f"case when {hedged} then {text} else '{ASSURANCE}' || lower(substr(t, 1, 1)) || substr(t, 2) end"
 
 
+def signals(source: str = "conversations", anchored: bool = False, nli: bool = True) -> str:
+    """The common tables up to ``flg`` with other settings: steps of another table, an anchor of its own and omission, or no entailment."""
+    out = SIGNALS.replace("from conversations where", f"from {source} where")
+    if source != "conversations":
+        out = out.replace("select cast(conv_id as varchar) as run_id, conv_id", "select run_id, conv_id").replace("partition by conv_id order by turn", "partition by run_id order by turn")
+    if not nli:
+        out = out.replace("case when p is not null then least(0.95, greatest(0.05, len(list_intersect(p, h))::double / greatest(len(h), 1))) end as entailment", "null::double as entailment")
+    if anchored:
+        out = out.replace("case when s.ordinal > 0 then 1 - coalesce(a.d, 0) / (n.norm * z.norm) end as drift_anchor", "1 - coalesce(a.d, 0) / (n.norm * z.norm) as drift_anchor")
+        out = out.replace("case when aggregate > 0.6007 then 'aggregate' end)", "case when aggregate > 0.6007 then 'aggregate' end, case when omission > 0.2503 then 'omission' end)")
+        out = out.replace("join crt c using (run_id, ordinal)),\nsig as", "join crt c using (run_id, ordinal)),\n" + OMISSION + ",\nsig as").replace("as codes from agg)", "as codes from (select * from agg left join omi using (run_id, ordinal)))")
+    return out
+
+
+#: Facts of a run's first text, short sentences joined to the one before, and how many each step holds.
+OMISSION = """prt as (select run_id, unnest(range(len(p))) as i, unnest(p) as f from (select run_id, @FACTS@ as p from steps where ordinal = 0)),
+rns as (select *, sum(case when i = 0 or length(f) >= 25 then 1 else 0 end) over (partition by run_id order by i) as k from prt),
+mrg as (select run_id, k, string_agg(f, ' ' order by i) as fact from rns group by run_id, k),
+fcs as (select run_id, list(list_distinct(regexp_extract_all(lower(fact), '\\S+')) order by k) as facts from mrg where k <= 12 group by run_id),
+cvg as (select w.run_id, w.ordinal, len(list_filter(t.facts, lambda f: least(0.95, greatest(0.05, len(list_intersect(w.h, f))::double / greatest(len(f), 1))) >= 0.2003))::double / len(t.facts) as coverage from wrd w join fcs t using (run_id)),
+omi as (select *, greatest(0.0::double, lag(coverage, 1, 1.0) over (partition by run_id order by ordinal) - coverage) as omission from cvg)""".replace("@FACTS@", FACTS)
+
+#: All kinds of injected runs; the name of an entity is the first that doesn't open a sentence.
+_NAME = r"\b[A-Z][a-z]{2,}\b"
+_OPEN = "regexp_replace(t, '(^|[.!?]\\s)[A-Z]', '\\1x', 'g')"
+
+
+def _entity(key: str, seed: str = "0") -> str:
+    names = "[" + ", ".join(f"'{e}'" for e in ENTITIES) + "]"
+    found, at = f"regexp_extract({_OPEN}, '{_NAME}')", f"length(regexp_extract({_OPEN}, '^((?s:.*?)){_NAME}', 1))"
+    others = f"list_filter({names}, lambda e: e <> {found})"
+    pick = f"{others}[{_roll(f'len({others})', seed, key, 'entity_distortion', 'entity')} + 1]"
+    return f"case when {found} <> '' then substr(t, 1, {at}) || {pick} || substr(t, {at} + length({found}) + 1) else t || '{REPORTED[0]}' || {names}[{_roll(str(len(ENTITIES)), seed, key, 'entity_distortion', 'entity')} + 1] || '{REPORTED[1]}' end"
+
+
+def _roll(n: str, seed: str, key: str, *parts: str) -> str:
+    tail = "".join(f"|{p}" for p in parts)
+    return f"(('0x' || substr(md5(({seed}) || '|' || {key} || '{tail}'), 1, 8))::bigint % ({n}))"
+
+
+def _numeric(key: str, seed: str = "0") -> str:
+    f = "regexp_extract(t, '(\\d+(?:[.,]\\d+)?)', 1)"
+    roll = lambda n, part: _roll(n, seed, key, "numeric_fabrication", part)
+    forged = f"cast(floor(replace({f}, ',', '.')::double)::decimal(38,0)::hugeint * ({roll('6', 'factor')} + 3) + {roll('90', 'offset')} + 7 as varchar)"
+    return f"case when {f} <> '' then substr(t, 1, strpos(t, {f}) - 1) || {forged} || substr(t, strpos(t, {f}) + length({f})) else t || '{FIGURE[0]}' || ({roll('8999', 'figure')} + 1000) || '{FIGURE[1]}' end"
+
+
+def changed(seed: str = "0") -> str:
+    """Common tables ``base`` and ``inj``: conversations of three or more turns with an error, of each kind."""
+    key = "cast(conv_id as varchar)"
+    texts = {
+        "numeric_fabrication": _numeric(key, seed), "entity_distortion": _entity(key, seed), "certainty_inflation": _certain(),
+        "causal_leap": "t || ' ' || " + _pick(LEAPS, _roll("4", seed, key, "causal_leap", "leap")), "context_swap": _pick(SWAPS, _roll("4", seed, key, "context_swap", "swap")),
+    }
+    each = [
+        f"select {key} || '--{k}' as run_id, {key} as source_id, '{k}' as kind, conv_id, turn, role, n, t as original, ({hit}) as hit, case when {hit} then {x} else t end as text from base"
+        for k, x in texts.items() for hit in [f"n >= 3 and nr = {_roll('greatest(n - 2, 1)', seed, key, k, 'index')} + 1"]
+    ]
+    return f"base as (select conv_id, turn, role, text as t, row_number() over (partition by conv_id order by turn) - 1 as nr, count(*) over (partition by conv_id) as n from conversations),\ninj as ({' union all '.join(each)})"
+
+
+def _wider(sig: str, chosen: str, origin: str, matrix: str, cross: str, margin: str, consecutive: str, facts: str, held: str) -> dict[str, str]:
+    wide = f"with {signals(anchored=True)}"
+    six = ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in ("drift_prev", "drift_anchor", "entailment", "aggregate", "omission", "coverage"))
+    rnd = f"rnd as (select run_id, ordinal, turn, step_id, {six} from flg)"
+    three = lambda c, n=3: f"printf('%.{n}f', round({c}, {n}))"
+    over = lambda c, t: f"case when {c} > {t} then '{c} ' || {three(c)} || ' > threshold {t}' end"
+    reasons = "concat_ws('; ', " + ", ".join([
+        over("drift_prev", 0.8011), over("drift_anchor", 0.8011), f"case when entailment < 0.3003 then 'entailment ' || {three('entailment')} || ' < threshold 0.3003' end", over("aggregate", 0.6007),
+        f"case when omission > 0.2503 then 'omission ' || {three('omission')} || ' > threshold 0.2503 (anchor-fact coverage ' || {three('coverage', 2)} || ')' end",
+    ]) + ")"
+    ext = """ext as (select run_id, max(struct_pack(v := aggregate, s := turn)) filter (aggregate is not null) as a, min(struct_pack(v := entailment, s := turn)) filter (entailment is not null) as e,
+  max(struct_pack(v := omission, s := turn)) filter (omission is not null) as o, max(struct_pack(v := drift_anchor, s := turn)) filter (drift_anchor is not null) as d from rnd group by run_id)"""
+    levels = (("a", "aggregate", "aggregate", ">", 0.6007), ("e", "entailment", "entailment collapse", "<", 0.0601), ("o", "omission", "omission", ">", 0.9007), ("d", "drift_anchor", "anchor drift", ">", 0.9513))
+    codes = "concat_ws(',', " + ", ".join(f"case when {x}.v {s} {t} then '{c}' end" for x, c, _, s, t in levels) + ")"
+    told = "concat_ws('; ', " + ", ".join(f"case when {x}.v {s} {t} then '{n} ' || {three(x + '.v')} || ' {s} {t} at step ' || {x}.s end" for x, _, n, s, t in levels) + ")"
+    plain = f"with {signals(nli=False)}"
+    quiet = classified().replace("greatest(0.0::double, least(1.0::double, 0.7::double * coalesce(bad, 0) + 0.3::double * case when n > 1 then rises::double / (n - 1) else 0 end)) as inference",
+                                 "greatest(0.0::double, least(1.0::double, (case when n > 1 then rises::double / (n - 1) else 0 end) * case when anyc then 0.7::double else 0.4::double end)) as inference").replace("bool_or(flagged) as flagged from jmp", "bool_or(flagged) as flagged, bool_or(conclusive) as anyc from jmp")
+    # CRC-32 of a word's bytes, eight shifts a byte.
+    crc = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(hex(w)) // 2), lambda i: ('0x' || substr(hex(w), cast(2 * i + 1 as int), 2))::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::bigint))), 4294967295::bigint)"
+    bucketed = f"with {STEPS}, {BAG}".replace("tok as (select run_id, ordinal, unnest(regexp_extract_all(lower(text), '\\S+')) as w from steps)", "raw as (select run_id, ordinal, unnest(regexp_extract_all(lower(text), '\\S+')) as w from steps), wds as (select w, " + crc + " % 128 as h from (select distinct w from raw)), tok as (select run_id, ordinal, h as w from raw join wds using (w))")
+    blank = "(turn % 3 = 1 or conv_id % 10 = 0)"
+    gaps = f"gap as (select conv_id, turn, role, case when {blank} then null else text end as text from conversations)"
+    notes = f"""nts as (select cast(conv_id as varchar) as run_id, 1 as stage, turn as pos, 'skipped' as code, 'step ' || turn || ' skipped: empty or non-text content' as message from gap where text is null
+  union all select cast(conv_id as varchar), 2, null, 'empty', 'no measurable steps in run' from gap group by conv_id having count(text) = 0)"""
+    gapped = signals("gap2").replace("steps as (", f"{gaps},\ngap2 as (select cast(conv_id as varchar) as run_id, * from gap where text is not null),\nsteps as (", 1)
+    truth = "tru as (select run_id, conv_id, count(*) as n, conv_id % 3 <> 0 as truth, conv_id % count(*) as origin from flg group by run_id, conv_id)"
+    first = "fst as (select run_id, min(case when regexp_replace(codes, ',?omission', '') <> '' then ordinal end) as a, min(case when flagged then ordinal end) as b from flg group by run_id)"
+    rules = ", ".join("(" + ", ".join(["'" + r[0] + "'", *["null::double" if x is None else f"{x}::double" for x in r[1:5]], "true" if r[5] else "false"]) + ")" for r in wider.RULES)
+    expected = "case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in EXPECTED.items()) + " end"
+    injected = f"with {changed()},\n{signals('inj').replace('where regexp_matches', 'where n >= 3 and regexp_matches')}"
+    share = lambda c: f"round(avg(case when dual_nli then coalesce({c}, false)::int end), 6) + 0.0"
+    count = lambda c: f"round(avg({c}::int), 6) + 0.0 as {c}"
+    detection = f"""{injected}, {VERDICT}, {classified()}, {chosen}, {origin},
+abl as (select run_id, coalesce(bool_or(drift_prev > 0.8011), false) as prev, coalesce(bool_or(drift_anchor > 0.8011), false) as anchor, coalesce(bool_or(aggregate > 0.6007), false) as dual_nli, coalesce(arg_max(drift_anchor, ordinal) > 0.8011, false) as naive from flg group by run_id),
+prd as (select run_id, min(ordinal) as predicted from att where run_id in (select run_id from ver where codes <> '') group by run_id),
+typ as (select run_id, list_transform(c, lambda x: x.t) as types from chs where run_id in (select run_id from ver where codes <> '')),
+rec as (select run_id, kind, turn as actual from inj where hit),
+det as (select *, prev or anchor as dual, list_contains(types, {expected}) as fits from rec join abl using (run_id) left join prd using (run_id) left join typ using (run_id))
+select coalesce(kind, 'total') as kind, count(*) as n, {count('dual_nli')}, {count('dual')}, {count('prev')}, {count('anchor')}, {count('naive')}, {share('predicted = actual')} as exact, {share('abs(predicted - actual) <= 1')} as within1, {share('fits')} as right_type
+from det group by grouping sets ((kind), ())"""
+    steps_md5 = "md5(string_agg(turn || '|' || text, chr(10) order by turn))"
+    dom = "dom as (select cast(conv_id as varchar) as source_id, arg_min(role, turn) as domain from conversations group by conv_id)"
+    rescoring = f"""{sig}, {facts},
+cov as (select w.run_id, w.ordinal, len(list_filter(t.facts, lambda f: {held} >= 0.2003))::double / len(t.facts) as coverage from wrd w join fct t using (run_id)),
+los as (select *, greatest(0.0::double, lag(coverage, 1, 1.0) over (partition by run_id order by ordinal) - coverage) as lost from cov),
+per as (select l.run_id, f.conv_id, count(*) as n, min(case when f.flagged then l.ordinal end) as a, min(case when f.flagged or l.lost > 0.2503 then l.ordinal end) as b from los l join flg f using (run_id, ordinal) group by l.run_id, f.conv_id),
+lab as (select *, conv_id % n as m, (conv_id * 3) % n as ann, case when conv_id % 2 = 0 then (conv_id * 3) % n else conv_id % n end as bob from per where conv_id % 3 <> 0),
+tru as (select run_id, a, b, 'machine' as basis, m as origin from lab union all select run_id, a, b, 'resolved', case when ann = bob then ann else m end from lab),
+prd as (select basis, false as omission, a as predicted, origin from tru union all select basis, true, b, origin from tru)
+select basis, omission, count(*) as n, round(avg(coalesce(predicted = origin, false)::int), 6) + 0.0 as exact, round(avg(coalesce(abs(predicted - origin) <= 1, false)::int), 6) + 0.0 as within1 from prd group by basis, omission"""
+    return {
+        "omission_signals": f"{wide} select run_id, ordinal, {_r6('drift_anchor', 'coverage', 'omission', 'aggregate')}, codes from flg",
+        "flag_reasons": f"{wide}, {rnd}, r as (select run_id, ordinal, {reasons} as reasons from rnd) select run_id, ordinal, reasons, reasons <> '' as flagged from r",
+        "verdict_reasons": f"{wide}, {rnd}, {ext}, v as (select run_id, {codes} as codes, {told} as reasons from ext) select run_id, codes <> '' as verdict, codes, reasons from v",
+        "drift_only_signals": f"{plain} select run_id, ordinal, {_r6('aggregate')}, codes from flg",
+        "drift_only_scores": f"{plain}, {quiet} select run_id, {_r6('retrieval', 'inference', 'context_poisoning', 'confidence_inflation')} from cls",
+        "drift_buckets": f"{bucketed} select run_id, ordinal, {_r6('drift_prev', 'drift_anchor')} from drift where ordinal > 0",
+        "softmax_labels": f"""with l as (select vec_id, embedding[1]::double as e, embedding[2]::double as n, embedding[3]::double as c from embeddings), s as (select vec_id, exp(e - greatest(e, n, c)) as e, exp(n - greatest(e, n, c)) as n, exp(c - greatest(e, n, c)) as c from l)
+select vec_id, round(e / (e + n + c), 6) + 0.0 as entailment, round(n / (e + n + c), 6) + 0.0 as neutral, round(c / (e + n + c), 6) + 0.0 as contradiction, case when e >= n and e >= c then 'entailment' when n >= c then 'neutral' else 'contradiction' end as label from s""",
+        "truncated_steps": "select doc_id from documents where not regexp_matches(text, '[.!?\")%][\\s\\x0b\\p{Z}]*$')",
+        "squeezed_texts": "select doc_id, md5(trim(regexp_replace(text, '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]+', ' ', 'g'))) as squeezed_md5 from documents",
+        "text_predicates": "select doc_id, cast(doc_id % 13 as bigint) as batch, contains(lower(text), ' der ') or contains(lower(text), ' und ') as second_language from documents",
+        "skip_notes": f"with {gaps}, {notes} select run_id, code, cast(pos as bigint) as pos, message from nts",
+        "report_notes": f"""with {gapped}, {VERDICT}, {notes}, n as (select run_id, string_agg(message, '; ' order by stage, pos) as notes from nts group by run_id), s as (select run_id, count(*) as n_steps, bool_or(entailment is not null) as judged from flg group by run_id)
+select r.run_id, coalesce(n_steps, 0) as n_steps, coalesce(notes, '') as notes, coalesce(ver.codes <> '', false) as verdict, not coalesce(judged, false) as degraded, true as monitored
+from (select distinct cast(conv_id as varchar) as run_id from conversations) r left join s using (run_id) left join n using (run_id) left join ver using (run_id)""",
+        "report_reasons": f"""{sig}, {VERDICT}, bad as (select f.* from flg f join ver using (run_id) where ver.codes <> ''), {classified("bad")}, {chosen.replace("round(", "(").replace(", 6)", ")")}, {origin.replace("from flg", "from bad")},
+o as (select run_id, string_agg(step_id || ':' || printf('%.3f', round(case when k = 1 then least(1.0::double, plain + 0.1) else plain end, 3)), ',' order by ordinal) as origins from att group by run_id)
+select ver.run_id, ver.codes <> '' as verdict, coalesce(array_to_string(list_transform(chs.c, lambda x: x.t), ','), '') as types, coalesce(origins, '') as origins, (select count(*) from flg f where f.run_id = ver.run_id and f.flagged) as n_flagged, 0.8011::double as drift_threshold,
+  case when (select bool_or(entailment is not null) from flg f where f.run_id = ver.run_id) then 'word overlap' end as nli from ver left join chs using (run_id) left join o using (run_id)""",
+        "signal_ranking": f"""{wide}, s as (select distinct run_id, ordinal, unnest(list_transform(string_split(codes, ','), lambda c: case when c like 'drift%' then 'drift' else c end)) as signal from flg where flagged), c as (select signal, count(*) as n from s group by signal)
+select signal, n, row_number() over (order by n desc, signal) as place from c""",
+        "holdout_calibrated": f"""{sig}, p as (select run_id, row_number() over (order by conv_id) <= 15 as early from (select distinct run_id, conv_id from flg)),
+q as (select quantile_cont(drift_prev, 0.95) as p, quantile_cont(drift_anchor, 0.95) as a, quantile_cont(aggregate, 0.95) as g from flg join p using (run_id) where early),
+v as (select run_id, coalesce(bool_or(drift_prev > q.p), false) as prev, coalesce(bool_or(drift_anchor > q.a), false) as anchor, coalesce(bool_or(aggregate > q.g), false) as dual_nli from flg join p using (run_id), q where not early group by run_id)
+select count(*) as n, count(*) filter (where prev) as prev, count(*) filter (where anchor) as anchor, count(*) filter (where prev or anchor) as dual, count(*) filter (where dual_nli) as dual_nli from v""",
+        "omission_before_after": f"""{wide}, {truth}, {first}, j as (select *, abs(a - origin) as da, abs(b - origin) as db from fst join tru using (run_id))
+select count(*) filter (where truth) as n, count(*) filter (where not truth) as n_clean, count(*) filter (where truth and a is not null) as found_without, count(*) filter (where truth and da = 0) as exact_without, count(*) filter (where truth and da <= 1) as within1_without, count(*) filter (where not truth and a is not null) as clean_without,
+count(*) filter (where truth and b is not null) as found_with, count(*) filter (where truth and db = 0) as exact_with, count(*) filter (where truth and db <= 1) as within1_with, count(*) filter (where not truth and b is not null) as clean_with,
+count(*) filter (where truth and a is null and b is not null) as gained, count(*) filter (where truth and db < da) as improved from j""",
+        "attribution_rescoring": rescoring,
+        "rule_sweep": f"""{wide}, {consecutive}, x as (select run_id, max(aggregate) as a, min(entailment) as e, max(drift_anchor) as d, max(omission) as o from flg group by run_id), r(rule, ra, re, rd, ro, rc) as (values {rules}),
+f as (select rule, run_id::bigint % 3 = 0 as truth, coalesce(a > ra, false) or coalesce(e < re, false) or coalesce(d > rd, false) or coalesce(o > ro, false) or (consecutive and rc) as fired from x join con using (run_id), r)
+select rule, count(*) filter (where truth) as n_true, count(*) filter (where truth and fired) as recall, count(*) filter (where not truth) as n_clean, count(*) filter (where not truth and fired) as false_alarms from f group by rule""",
+        "threshold_sweep_roles": matrix.replace("f.flagged or l.lost > l.omit as hit", "f.flagged or (l.lost > l.omit and coalesce(lower(f.role) <> 'assistant', true)) as hit") + f" select cover, omit, {_r6('exact', 'within1', 'fp_steps')}, fp_runs from swp",
+        "detection_by_kind": detection,
+        "inject_entity_step": _injected("entity_distortion", _entity("run_id")),
+        "dataset_clean": f"with {dom} select source_id as id, domain, count(*) as n_steps, {steps_md5} as steps_md5 from conversations join dom on source_id = cast(conv_id as varchar) group by source_id, domain",
+        "dataset_injected": f"""with {changed('conv_id * 7 + 1')}, {dom}, m as (select run_id, {steps_md5} as steps_md5 from inj group by run_id)
+select i.run_id as id, i.source_id, domain, kind as injection_kind, cast(turn as varchar) as origin_step_id, cast(turn as bigint) as origin_step_index, original as original_text, text as injected_text, steps_md5, conv_id * 7 + 1 as seed from inj i join m using (run_id) join dom on dom.source_id = i.source_id where hit""",
+        "dataset_labelled": """with c as (select conv_id, cast(conv_id as varchar) as id, arg_min(text, turn) as q, arg_max(text, turn) as s, count(*) as n from conversations group by conv_id)
+select id, md5(q) as question_md5, md5(s) as source_md5, 'm' as model, 0.7::double as temperature, n as n_steps, case when conv_id % 5 <> 4 then conv_id % 3 <> 0 end as cascade_occurred, case when conv_id % 5 <> 4 then conv_id % n end as origin_step,
+case when conv_id % 5 <> 4 then 'said so' else '' end as evidence, '' as annotation_notes, case when conv_id % 5 <> 4 then 'consensus' else 'machine_only' end as label_agreement,
+case when conv_id % 2 = 0 then 'ann:' || (conv_id % n) || ',bob:' || (conv_id % n + (conv_id % 4 = 0)::int) end as annotator_labels from c""",
+    }
+
+
 def build() -> dict[str, str]:
     bag = f"with {STEPS}, {BAG}"
     sig = f"with {SIGNALS}"
@@ -133,7 +294,7 @@ def build() -> dict[str, str]:
     held = "least(0.95, greatest(0.05, len(list_intersect(w.h, f))::double / greatest(len(f), 1)))"
     consecutive = "con as (select run_id, bool_or(pair) as consecutive from (select run_id, flagged and coalesce(lead(flagged) over (partition by run_id order by ordinal), false) as pair from flg) group by run_id)"
     matrix = f"""{sig}, {facts},
-grid as (select c as cover, o as omit from (values (0.1001::double), (0.2003), (0.3003)) a(c), (values (0.1501::double), (0.2503), (0.5007)) b(o)),
+grid as (select c as cover, o as omit from (select unnest([0.0701, 0.1001, 0.1503, 0.2003, 0.2507, 0.3003, 0.4007]::double[]) as c), (select unnest([0.0503, 0.1501, 0.2003, 0.2503, 0.3401, 0.5007, 0.6703]::double[]) as o)),
 cov as (select w.run_id, w.ordinal, g.cover, g.omit, len(list_filter(t.facts, lambda f: {held} >= g.cover))::double / len(t.facts) as coverage from wrd w join fct t using (run_id), grid g),
 los as (select *, greatest(0.0::double, lag(coverage, 1, 1.0) over (partition by run_id, cover, omit order by ordinal) - coverage) as lost from cov),
 onn as (select l.*, f.flagged or l.lost > l.omit as hit, f.conv_id from los l join flg f using (run_id, ordinal)),
@@ -146,7 +307,7 @@ bas as (select *, floor(exact)::int as base from qta),
 tak as (select *, base + (row_number() over (order by round(exact - base, 9) desc, lang, source) <= 40 - (select sum(base) from bas))::int as take from bas),
 rnk as (select doc_id, lang, source, row_number() over (partition by lang, source order by md5('0|' || doc_id), doc_id) as k from documents),
 smp as (select r.doc_id, r.lang, r.source from rnk r join tak t using (lang, source) where k <= take)"""
-    passes = """hum as (select doc_id as item_id, 'ann' as rater, cast(quality as bigint) as label from labels where doc_id % 5 <> 0 union all select doc_id, 'bob', cast(toxic as bigint) from labels where doc_id % 7 <> 0)"""
+    passes = """hum as (select doc_id as item_id, 'ann' as rater, cast(quality as bigint) as label from labels union all select doc_id, 'bob', cast(toxic as bigint) from labels)"""
     out = {
         "measurable_steps": f"with {STEPS} select run_id, cast(ordinal as int) as ordinal, cast(turn as int) as pos, step_id, role from steps",
         "drift_prev_bow": f"{bag} select run_id, ordinal, {_r6('drift_prev')} from drift where ordinal > 0",
@@ -189,9 +350,6 @@ from stp join ver using (run_id) left join chs using (run_id) left join o using
         "naive_baseline": f"{bag}, l as (select run_id, arg_max_null(drift_anchor, ordinal) as distance from drift group by run_id) select run_id, {_r6('distance')}, coalesce(distance > 0.8011, false) as naive from l",
         "consecutive_flags": f"{sig}, {consecutive} select run_id, consecutive from con",
         "signal_counts": f"{sig}, s as (select distinct run_id, ordinal, unnest(list_transform(string_split(codes, ','), lambda c: case when c like 'drift%' then 'drift' else c end)) as signal from flg where flagged) select signal, count(*) as n from s group by signal",
-        "rule_sweep": f"""{runs}, {consecutive}, r as (select * from (values ('aggregate', 0.6007::double, null::double, null::double, false), ('entailment', null, 0.1001, null, false), ('drift', null, null, 0.9013, false), ('consecutive', null, null, null, true), ('any', 0.6007, 0.0601, 0.9513, false), ('none', null, null, null, false)) t(rule, a, e, d, c)),
-f as (select rule, run_id::bigint % 3 = 0 as truth, coalesce(max_aggregate > a, false) or coalesce(min_entailment < e, false) or coalesce(max_drift > d, false) or (consecutive and c) as fired from ver join con using (run_id), r)
-select rule, count(*) filter (where truth) as n_true, count(*) filter (where truth and fired) as recall, count(*) filter (where not truth) as n_clean, count(*) filter (where not truth and fired) as false_alarms from f group by rule""",
         "threshold_sweep": f"{matrix} select cover, omit, {_r6('exact', 'within1', 'fp_steps')}, fp_runs from swp",
         "best_setting": f"{matrix}, r as (select cover, omit, {_r6('exact', 'within1', 'fp_steps')}, fp_runs from swp) select * from r order by within1 desc, fp_steps, cover desc, omit desc limit 1",
         "first_flag_accuracy": f"""{sig}, n as (select run_id, count(*) as n from steps group by run_id having count(*) >= 3), p as (select run_id, min(case when flagged then ordinal end) as predicted from flg group by run_id),
@@ -206,7 +364,7 @@ select quality, lang, source, n, round(n / sum(n) over (partition by g, lang, so
 j as (select m.item_id, m, a.label as a, b.label as b from m left join a using (item_id) left join b using (item_id))
 select item_id, case when a is null and b is null then m when a is null then b when b is null then a when a = b then a else m end as label,
 case when a is null and b is null then 'machine_only' when a is null then 'single:bob' when b is null then 'single:ann' when a = b then 'consensus' when a = m or b = m then 'disputed:majority' else 'disputed:unresolved' end as agreement from j""",
-        "rater_agreement": f"""with {passes}, e as (select h.* from hum h where item_id in (select doc_id from documents where lang = 'en'))
+        "rater_agreement": f"""with {passes}, e as (select h.* from hum h where item_id in (select doc_id from documents))
 select a.rater as rater_a, b.rater as rater_b, count(*) as n, count(*) filter (where coalesce(abs(a.label - b.label) <= 1, a.label is null and b.label is null)) as near, count(*) filter (where a.label = b.label) as same
 from e a join e b on a.item_id = b.item_id and a.rater < b.rater group by all""",
         "stratified_sample": f"with {sample} select doc_id, lang, source from smp",
@@ -218,12 +376,13 @@ select doc_id, md5(case when f <> '' then substr(t, 1, strpos(t, f) - 1) || cast
 else t || ' The measured figure is exactly ' || ({_draw("8999", 0, "k", "numeric_fabrication", "figure")} + 1000) || ' units.' end) as injected_md5 from d""",
         "index_quantiles": """with v as (select label, list_sort(list(embedding[1]::double)) as v from embeddings group by label)
 select cast(label as bigint) as label, round(v[1], 6) + 0.0 as low, round(v[len(v) // 4 + 1], 6) + 0.0 as p25, round(v[len(v) // 2 + 1], 6) + 0.0 as middle, round(v[-1], 6) + 0.0 as high from v""",
-        "truncated_steps": f"with {STEPS} select run_id, ordinal from steps where not regexp_matches(rtrim(text), '[.!?\")%]$')",
         "inject_causal_step": _injected("causal_leap", "t || ' ' || " + _pick(LEAPS, _draw("4", 0, "run_id", "causal_leap", "leap"))),
         "inject_swap_step": _injected("context_swap", _pick(SWAPS, _draw("4", 0, "run_id", "context_swap", "swap"))),
         "inject_certainty_step": _injected("certainty_inflation", _certain()),
     }
-    out["stream_drift_replay"] = out["drift_prev_bow"]
+    out["stream_drift_replay"] = f"""{bag}, f as (select run_id, ordinal, drift_prev, drift_anchor, coalesce(drift_prev > 0.8011 or drift_anchor > 0.8011, false) as flagged from drift)
+select run_id, ordinal, cast(turn as varchar) as step_id, {_r6('drift_prev', 'drift_anchor')}, flagged, flagged as fresh, '' as note from f join (select run_id, ordinal, turn from steps) using (run_id, ordinal)"""
+    out |= _wider(sig, chosen, origin, matrix, cross, margin, consecutive, facts, held)
     return out
 
 

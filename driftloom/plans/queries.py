@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import attribute, calibrate, classify, drift, evaluate, inject, report, signals, verdict
-from ..operators.steps import as_steps, densified
+from ..operators.steps import as_steps
 from ..streaming.observer import replay
+from . import wider
 from .demo import LEXICON, PROFILE, SETTINGS, all_steps, r6, steps, table, vectors
 
 TRUTH = 3
@@ -168,24 +169,7 @@ def signal_counts(spark, sf_dir):
     return evaluate.signal_counts(_signals(spark, sf_dir))
 
 
-def _run_extremes(spark, sf_dir):
-    own = _signals(spark, sf_dir)
-    runs = own.groupBy("run_id").agg(F.max("aggregate").alias("max_aggregate"), F.min("entailment").alias("min_entailment"), F.max("drift_anchor").alias("max_drift"), F.max("omission").alias("max_omission"))
-    runs = runs.join(evaluate.consecutive_flags(own), "run_id")
-    return runs.withColumn("truth", F.col("run_id").cast("long") % TRUTH == 0)
-
-
-RULES = [
-    ("aggregate", 0.6007, None, None, None, None), ("entailment", None, 0.1001, None, None, None), ("drift", None, None, 0.9013, None, None),
-    ("consecutive", None, None, None, None, True), ("any", 0.6007, 0.0601, 0.9513, 0.25, None), ("none", None, None, None, None, None),
-]
-
-
-def rule_sweep(spark, sf_dir):
-    return evaluate.rule_sweep(_run_extremes(spark, sf_dir), RULES)
-
-
-COVERS, OMITS = [0.1001, 0.2003, 0.3003], [0.1501, 0.2503, 0.5007]
+COVERS, OMITS = [0.0701, 0.1001, 0.1503, 0.2003, 0.2507, 0.3003, 0.4007], [0.0503, 0.1501, 0.2003, 0.2503, 0.3401, 0.5007, 0.6703]
 
 
 def _matrix(spark, sf_dir):
@@ -236,8 +220,8 @@ def label_distribution(spark, sf_dir):
 
 def _passes(spark, sf_dir):
     own = table(spark, sf_dir, "labels")
-    humans = own.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("item_id"), F.lit("ann").alias("rater"), "quality")
-    humans = humans.unionByName(own.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("item_id"), F.lit("bob").alias("rater"), F.col("toxic").alias("quality")))
+    humans = own.select(F.col("doc_id").alias("item_id"), F.lit("ann").alias("rater"), "quality")
+    humans = humans.unionByName(own.select(F.col("doc_id").alias("item_id"), F.lit("bob").alias("rater"), F.col("toxic").alias("quality")))
     machine = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), (F.col("doc_id") % 2).alias("label"))
     return humans.select("item_id", "rater", F.col("quality").cast("long").alias("label")), machine
 
@@ -248,7 +232,7 @@ def label_resolution(spark, sf_dir):
 
 def rater_agreement(spark, sf_dir):
     humans, _ = _passes(spark, sf_dir)
-    pairs = evaluate.rater_pairs(humans, table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("item_id")))
+    pairs = evaluate.rater_pairs(humans, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id")))
     return pairs.groupBy("rater_a", "rater_b").agg(F.count(F.lit(1)).alias("n"), F.count_if(evaluate.within_one(F.col("label_a"), F.col("label_b"))).alias("near"), F.count_if(F.col("label_a") == F.col("label_b")).alias("same"))
 
 
@@ -277,34 +261,17 @@ def inject_numeric(spark, sf_dir):
     return rows.select("doc_id", F.md5("injected").alias("injected_md5"))
 
 
-def detection_by_kind(spark, sf_dir):
-    """Steps with errors of two kinds, and how they are told."""
-    found = []
-    for kind in ("context_swap", "causal_leap"):
-        changed, records = inject.inject(all_steps(spark, sf_dir), kind)
-        own = signals.signals(densified(changed), SETTINGS, buckets=None)
-        told = verdict.verdicts(own, PROFILE).select("run_id", F.col("verdict").alias("detected"))
-        kinds = classify.classification(classify.rule_scores(own, SETTINGS), SETTINGS.class_cutoff).select("run_id", F.get("classification", 0)["cascade_type"].alias("top_type"))
-        rows = records.select("run_id", "kind", F.col("step_index").alias("actual")).join(told, "run_id").join(evaluate.first_flagged(own), "run_id").join(kinds, "run_id", "left")
-        found.append(rows)
-    rows = evaluate.detection_table(found[0].unionByName(found[1]))
-    return rows.select("kind", "n", *[r6(c).alias(c) for c in ("detection", "exact", "within1", "right_type")])
-
-
 def index_quantiles(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", F.get("embedding", 0).cast("double").alias("x"))
     return evaluate.index_quantiles(rows, "x", "label").select(F.col("label").cast("long").alias("label"), *[r6(c).alias(c) for c in ("low", "p25", "middle", "high")])
 
 
-def truncated_steps(spark, sf_dir):
-    return steps(spark, sf_dir).where(T.truncated(F.col("text"))).select(*_keys())
-
-
 def stream_drift_replay(spark, sf_dir):
     kind = "conv_id long, turn long, role string, text string"
     events = as_steps(spark.readStream.schema(kind).parquet(f"{sf_dir}/conversations.parquet*"), "conv_id", "turn", role="role")
     rows = replay(spark, events.select("run_id", "pos", "step_id", "text"), PROFILE.drift_threshold)
-    return rows.where("ordinal > 0").select(*_keys(), r6("drift_prev").alias("drift_prev"))
+    rows = rows.where("ordinal is not null")
+    return rows.select(*_keys(), "step_id", r6("drift_prev").alias("drift_prev"), r6("drift_anchor").alias("drift_anchor"), "flagged", "fresh", F.coalesce("note", F.lit("")).alias("note"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -313,10 +280,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         measurable_steps, drift_prev_bow, drift_anchor_bow, drift_given_anchor, drift_dual_dense, drift_consensus_anchor, max_drift_step, drift_flags,
         entailment_overlap, certainty_signal, certainty_delta, facts_split, coverage_omission, aggregate_score, verdicts, verdict_extremes,
         classify_scores, classification, attribution, report_summary, calibrate_percentile, signal_percentiles, holdout_rates, ablation_variants, naive_baseline,
-        consecutive_flags, signal_counts, rule_sweep, threshold_sweep, best_setting, first_flag_accuracy, kappa_quality_toxic, label_distribution,
-        label_resolution, rater_agreement, stratified_sample, balanced_split, form_upsert, inject_numeric, detection_by_kind, index_quantiles, truncated_steps, stream_drift_replay,
+        consecutive_flags, signal_counts, threshold_sweep, best_setting, first_flag_accuracy, kappa_quality_toxic, label_distribution,
+        label_resolution, rater_agreement, stratified_sample, balanced_split, form_upsert, inject_numeric, index_quantiles, stream_drift_replay,
     )
 }
+QUERIES |= wider.QUERIES
 QUERIES |= {f"inject_{k.split('_', 1)[0] if k != 'context_swap' else 'swap'}_step": partial(_injected, k) for k in ("causal_leap", "context_swap", "certainty_inflation", "entity_distortion")}
 
 
