@@ -1,7 +1,8 @@
 """Live drift of runs whose steps arrive one at a time.
 
-A run's state is its last step's word counts, its anchor's, and which step ids
-were flagged; a step costs the same however long the run is.  The stream
+A run's state is its last step's word counts, its anchor's, and the ids of the
+steps that were flagged, which grow by one id for each; all else is constant,
+however long the run is.  The stream
 computes drift only; everything else is the batch analysis of the steps.
 """
 
@@ -18,7 +19,8 @@ from ..sources.ingest import from_payloads
 
 OUT = "run_id string, pos int, step_id string, ordinal int, drift_prev double, drift_anchor double, flagged boolean, fresh boolean, note string"
 STATE = "state string"
-EVENT = "run_id string, pos int, step_id string, text string"
+#: A file of the observer: a payload, and what the stream needs of it if it is a step.
+SEEN = "run_id string, idx int, payload string, pos int, step_id string, text string"
 
 
 def _cosine(a: dict, b: dict) -> float:
@@ -86,8 +88,34 @@ def live_drift(events: DataFrame, threshold: float) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors share; a temporary one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="streams_")
+    """The folder that executors share: ``spark.checkpoint.dir``, or what setCheckpointDir was given; a temporary one only for a local session."""
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="streams_")
+    return path
+
+
+class SharedFolder:
+    """Files in a folder that Spark's own file systems reach, each there as a whole or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.path = path
+        self._files.mkdirs(self._path(path))
+
+    def write(self, name: str, text: str) -> None:
+        hidden = self._path(f"{self.path}/.{name}")
+        out = self._files.create(hidden, True)
+        try:
+            out.write(bytearray(text, "utf-8"))
+        finally:
+            out.close()
+        self._files.rename(hidden, self._path(f"{self.path}/{name}"))
 
 
 def replay(spark: SparkSession, events: DataFrame, threshold: float) -> DataFrame:
@@ -101,16 +129,17 @@ def replay(spark: SparkSession, events: DataFrame, threshold: float) -> DataFram
 class LiveObserver:
     """Watches one run: ``observe`` takes a payload, flags go to ``on_flag``, ``report`` analyses all steps.
 
-    Payloads are files in a folder that a stream reads, so observing doesn't
-    wait for the analysis.  Errors of the callback become notes.
+    Payloads are files in a folder that executors share and a stream reads, so
+    observing doesn't wait for the analysis, and the driver keeps none of
+    them.  Errors of the callback become notes.
     """
 
     def __init__(self, spark: SparkSession, threshold: float, on_flag: Callable[[dict], None] | None = None, run_id: str = "live", folder: str | None = None):
         self.spark, self.run_id, self.notes = spark, run_id, []
-        self._n, self._pos, self._payloads = 0, 0, []
-        self.folder = folder or tempfile.mkdtemp(prefix="observed_")
+        self._n, self._pos = 0, 0
+        self._files = SharedFolder(spark, folder or f"{shared_dir(spark)}/observed-{uuid.uuid4().hex}")
         self._on_flag = on_flag or (lambda flag: print(f"step {flag['step_id']} drifted"))
-        events = spark.readStream.schema(EVENT).json(self.folder)
+        events = spark.readStream.schema(SEEN).json(self._files.path).where("pos is not null").select("run_id", "pos", "step_id", "text")
         base = f"{shared_dir(spark)}/observer-{uuid.uuid4().hex}"
         self._query = live_drift(events, threshold).writeStream.foreachBatch(self._batch).option("checkpointLocation", base).start()
 
@@ -122,19 +151,13 @@ class LiveObserver:
                 self.notes.append(f"on_flag failed at step {r['step_id']}: {type(e).__name__}: {e}")
 
     def observe(self, payload) -> None:
-        self._payloads.append((self.run_id, self._n, json.dumps(payload, ensure_ascii=False, default=str)))
+        event = {"run_id": self.run_id, "idx": self._n, "payload": json.dumps(payload, ensure_ascii=False, default=str)}
+        if isinstance(payload, dict):  # anything else is no step, but is noted in the report
+            text = payload.get("text")
+            event |= {"pos": self._pos, "step_id": str(payload.get("step_id", self._pos)), "text": text if isinstance(text, str) else ""}
+            self._pos += 1
+        self._files.write(f"{self._n:09d}.json", json.dumps(event) + "\n")
         self._n += 1
-        if not isinstance(payload, dict):
-            return
-        text = payload.get("text")
-        event = {"run_id": self.run_id, "pos": self._pos, "step_id": str(payload.get("step_id", self._pos)), "text": text if isinstance(text, str) else ""}
-        self._pos += 1
-        name = f"{self.folder}/{self._n:09d}.json"
-        with open(f"{self.folder}/.{self._n:09d}", "w", encoding="utf-8") as f:
-            f.write(json.dumps(event) + "\n")
-        import os
-
-        os.rename(f.name, name)
 
     def drain(self) -> None:
         self._query.processAllAvailable()
@@ -144,7 +167,7 @@ class LiveObserver:
         from ..operators.report import analyze
 
         self.drain()
-        steps, notes = from_payloads(self.spark.createDataFrame(self._payloads, "run_id string, idx int, payload string"))
+        steps, notes = from_payloads(self.spark.read.schema(SEEN).json(self._files.path).select("run_id", "idx", "payload"))
         own = self.spark.createDataFrame([(self.run_id, 9, i, "observer", n) for i, n in enumerate(self.notes)], notes.schema)
         return analyze(steps, notes=notes.unionByName(own), **options)
 
