@@ -277,7 +277,8 @@ def accepted(docs: DataFrame, path: str = VOCABULARY, least: float = 0.4) -> Dat
                 good = [lang != "und" and score >= least for lang, score in ask(texts)] if ask.langs else [bool(words_of(t or "")) for t in texts]
                 yield part.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # a dot in a name would be read as a field
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
 
 
 def _grown(table, used: int, rows):

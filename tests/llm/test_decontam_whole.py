@@ -43,3 +43,19 @@ def test_clean_drops_texts_with_a_short_item(spark):
     docs = spark.createDataFrame([(1, "it says What is, the answer? here", "x", 0), (2, "what was the answer", "x", 0), (3, "one two sub four five", "x", 0)], KIND)
     items = spark.createDataFrame([(1, "what is the answer", 0), (2, "one two three four five", 0)], ITEM)
     assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [2]
+
+
+def test_seeds_meet_all_allowed_substitutions():
+    """Every choice of the words that may differ leaves a seed whole, in runs of 8 words and more; shorter ones need none."""
+    from itertools import combinations
+
+    counted = [[i for i, c in enumerate(m) if c == "1"] for m in decontam.MASKS]
+    for n in range(decontam.SPAN, decontam.LEAST + 1):
+        most = n - math.ceil(decontam.SHARE * n - 1e-9)
+        for k in range(most + 1):
+            for gone in combinations(range(n), k):
+                assert any(not any(p + i in gone for i in w) for w in counted for p in range(n - decontam.SPAN + 1)), (n, gone)
+
+
+def test_runs_of_fifteen_words_and_more(spark):
+    held(spark, [15, 16, 18, 22, 30] * 2, 200)
