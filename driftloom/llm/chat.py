@@ -29,6 +29,26 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&#91;"), F.lit("[")), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def starts(lengths: str) -> Column:
+    """Where each piece begins: the sum of the lengths before it.
+
+    Sums of blocks, about as many as each has members, keep a long
+    conversation from adding up all that is before for each piece.
+    """
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    wide = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths))).cast("int"))
+    sums = F.transform(F.sequence(F.lit(0), wide - 1), lambda j: add(F.slice(lengths, j * wide + 1, wide)))
+
+    def placed(s):
+        def one(_, i):
+            block = F.floor(i / wide).cast("int")
+            return add(F.slice(s, F.lit(1), block)) + add(F.slice(lengths, block * wide + 1, i - block * wide))
+
+        return F.transform(lengths, one)
+
+    return F.get(F.transform(F.array(sums), placed), 0)
+
+
 def format_conversations(turns: DataFrame, learnt: str = LEARNT) -> DataFrame:
     """conv_id, formatted, loss_spans of each conversation of (conv_id, turn, role, text).
 
@@ -57,14 +77,10 @@ def format_conversations(turns: DataFrame, learnt: str = LEARNT) -> DataFrame:
         return F.concat(F.array(piece(F.concat(F.lit(OPEN), escape(b["role"])), no)), texts, F.array(piece(F.lit(CLOSE), no)))
 
     flat = parts.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("pieces"))
+    flat = flat.withColumn("lengths", F.transform("pieces", lambda p: F.length(p["text"]))).withColumn("starts", starts("lengths"))
     text = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def walk(a, p):
-        end = a["at"] + F.length(p["text"])
-        return F.struct(end.alias("at"), F.when(p["loss"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), end.alias("end"))))).otherwise(a["spans"]).alias("spans"))
-
-    return flat.select("conv_id", text.alias("formatted"), F.aggregate("pieces", zero, walk, lambda a: a["spans"]).alias("loss_spans"))
+    placed = F.zip_with("pieces", "starts", lambda p, at: F.when(p["loss"], F.struct(at.alias("start"), (at + F.length(p["text"])).alias("end"))))
+    return flat.select("conv_id", text.alias("formatted"), F.array_compact(placed).cast("array<struct<start:int,end:int>>").alias("loss_spans"))
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:

@@ -26,6 +26,16 @@ def test_round_trip_and_loss(spark):
     assert run(spark, []) == {}
 
 
+def test_a_long_conversation(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(1, i, rng.choice(["user", "assistant"]), "<x" * rng.randrange(5) + str(i), 0) for i in range(700)]
+    r = run(spark, rows)[1]
+    assert [(t.role, t.text) for t in r.turns] == [x[2:4] for x in rows]
+    assert [r.formatted[s.start : s.end].replace("&lt;", "<") for s in r.loss_spans] == [x[3] for x in rows if x[2] == "assistant"]
+
+
 def test_query_digests(spark, tmp_path):
     from driftloom.llm.queries import op7_chat
 
