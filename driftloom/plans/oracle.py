@@ -268,6 +268,13 @@ count(*) filter (where truth and a is null and b is not null) as gained, count(*
 f as (select rule, run_id::bigint % 3 = 0 as truth, coalesce(a > ra, false) or coalesce(e < re, false) or coalesce(d > rd, false) or coalesce(o > ro, false) or (consecutive and rc) as fired from x join con using (run_id), r)
 select rule, count(*) filter (where truth) as n_true, count(*) filter (where truth and fired) as recall, count(*) filter (where not truth) as n_clean, count(*) filter (where not truth and fired) as false_alarms from f group by rule""",
         "threshold_sweep_roles": matrix.replace("f.flagged or l.lost > l.omit as hit", "f.flagged or (l.lost > l.omit and coalesce(lower(f.role) <> 'assistant', true)) as hit") + f" select cover, omit, {_r6('exact', 'within1', 'fp_steps')}, fp_runs from swp",
+        "ingested_steps": f"""{PAYLOADS} select run_id, pos, case k when 1 then cast(pos as varchar) when 2 then 's' || turn else cast(turn as varchar) end as step_id, case when k < 2 then role end as role, case when k = 5 then 'audio' else 'text' end as modality,
+  case k when 1 then 'a,tool' when 5 then 'metadata' else '' end as metadata_keys, case when k in (0, 1, 5) then text else '' end as text from p where k <> 3""",
+        "ingest_notes": f"""{PAYLOADS} select run_id, pos, case k when 1 then 'no_step_id' when 2 then 'text_not_string' when 3 then 'not_an_object' when 4 then 'no_text' else 'odd_metadata' end as code,
+  case k when 1 then 'step at position ' || pos || ': missing step_id, assigned ' || pos when 2 then 'step s' || turn || ': text is not a string, treated as empty' when 3 then 'payload at position ' || pos || ' ignored: not an object'
+  when 4 then 'step ' || turn || ': missing text (will be skipped in measurement)' else 'step ' || turn || ': metadata is not an object, kept under its name' end as message from p where k > 0""",
+        "payload_files": "select conv_id || case when conv_id % 2 = 0 then '.jsonl' else '.json' end as run_id, row_number() over (partition by conv_id order by turn) - 1 as pos, cast(turn as varchar) as step_id, role, text from conversations",
+        "report_documents": f"{sig}, {VERDICT}, s as (select run_id, count(*) as n_steps, bool_or(entailment is not null) as judged, arg_min(step_id, ordinal) as first_step from flg group by run_id) select run_id, codes <> '' as verdict, n_steps, case when judged then 'word overlap' end as nli, first_step from ver join s using (run_id)",
         "detection_by_kind": detection,
         "inject_entity_step": _injected("entity_distortion", _entity("run_id")),
         "dataset_clean": f"with {dom} select source_id as id, domain, count(*) as n_steps, {steps_md5} as steps_md5 from conversations join dom on source_id = cast(conv_id as varchar) group by source_id, domain",
@@ -280,6 +287,10 @@ case when conv_id % 2 = 0 then 'ann:' || (conv_id % n) || ',bob:' || (conv_id %
     }
 
 
+#: Payloads by the kind that their turn's number gives them; the third kind is no object and takes no position.
+PAYLOADS = """with p as (select cast(conv_id as varchar) as run_id, turn, role, text, turn % 6 as k, coalesce(sum((turn % 6 <> 3)::int) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as pos from conversations)"""
+
+
 def build() -> dict[str, str]:
     bag = f"with {STEPS}, {BAG}"
     sig = f"with {SIGNALS}"

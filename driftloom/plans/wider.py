@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.vectors import entailment_label, softmax
 from ..operators import attribute, calibrate, classify, drift, evaluate, inject, report, signals, verdict
 from ..operators.steps import densified, skip_notes
-from ..sources import datasets
+from ..sources import datasets, ingest, sinks
 from .demo import PROFILE, SETTINGS, all_steps, r6, steps, table
 
 #: Anchors are split into facts of 25 letters or more, and omission counts for flags and verdicts.
@@ -248,11 +248,55 @@ def dataset_labelled(spark, sf_dir):
     return rows.select("id", F.md5("question").alias("question_md5"), F.md5("source").alias("source_md5"), "model", "temperature", F.size("steps").cast("long").alias("n_steps"), "cascade_occurred", F.col("origin_step").cast("long").alias("origin_step"), "evidence", "annotation_notes", "label_agreement", by.alias("annotator_labels"))
 
 
+def _payloads(spark, sf_dir):
+    """Turns as JSON payloads: whole ones, some that lack a key or have one too many, some that are no object."""
+    own = table(spark, sf_dir, "conversations")
+    named = lambda **parts: F.to_json(F.struct(*[c.alias(k) for k, c in parts.items()]))
+    turn, said, role = F.col("turn"), F.col("text"), F.col("role")
+    kinds = [
+        named(step_id=turn, text=said, role=role), named(text=said, role=role, tool=F.lit("x"), metadata=F.struct(F.lit(1).alias("a"))), named(step_id=F.concat(F.lit("s"), turn.cast("string")), text=F.lit(5)),
+        F.lit('"garbage"'), named(step_id=turn), named(step_id=turn, text=said, metadata=F.lit(7), modality=F.lit("audio")),
+    ]
+    payload = F.element_at(F.array(*kinds), (turn % len(kinds) + 1).cast("int"))
+    return own.select(F.col("conv_id").cast("string").alias("run_id"), turn.cast("int").alias("idx"), payload.alias("payload"))
+
+
+def ingested_steps(spark, sf_dir):
+    rows, _ = ingest.from_payloads(_payloads(spark, sf_dir))
+    extras = F.array_join(F.array_sort(F.map_keys("metadata")), ",")
+    return rows.select("run_id", F.col("pos").cast("long").alias("pos"), "step_id", "role", "modality", extras.alias("metadata_keys"), "text")
+
+
+def ingest_notes(spark, sf_dir):
+    _, notes = ingest.from_payloads(_payloads(spark, sf_dir))
+    return notes.select("run_id", F.col("pos").cast("long").alias("pos"), "code", "message")
+
+
+def payload_files(spark, sf_dir):
+    """Runs as the contents of files, JSON lines for even numbers and arrays for odd ones, and the steps read from them."""
+    own = table(spark, sf_dir, "conversations")
+    one = F.struct("turn", F.to_json(F.struct(F.col("turn").alias("step_id"), "text", "role")).alias("j"))
+    files = own.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["j"]).alias("j"))
+    lines, array = F.array_join("j", "\r\n"), F.concat(F.lit("["), F.array_join("j", ", "), F.lit("]"))
+    even = F.col("conv_id") % 2 == 0
+    files = files.select(F.concat(F.col("conv_id").cast("string"), F.when(even, ".jsonl").otherwise(".json")).alias("run_id"), F.when(even, lines).otherwise(array).alias("value"))
+    rows, _ = ingest.from_payloads(ingest.payloads_of(files))
+    return rows.select("run_id", F.col("pos").cast("long").alias("pos"), "step_id", "role", "text")
+
+
+def report_documents(spark, sf_dir):
+    """Reports as JSON, read back."""
+    _, reports = report.analyze(all_steps(spark, sf_dir), SETTINGS, buckets=None)
+    told = lambda path: F.get_json_object("report", path)
+    rows = sinks.as_json(reports)
+    return rows.select("run_id", (told("$.verdict") == "true").alias("verdict"), F.json_array_length(told("$.steps")).cast("long").alias("n_steps"), told("$.models.nli").alias("nli"), told("$.steps[0].step_id").alias("first_step"))
+
+
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (
         omission_signals, flag_reasons, verdict_reasons, drift_only_signals, drift_only_scores, drift_buckets, softmax_labels, truncated_steps, squeezed_texts, text_predicates,
         skip_notes_query, report_notes, report_reasons, signal_ranking, holdout_calibrated, omission_before_after, attribution_rescoring, rule_sweep, threshold_sweep_roles,
-        detection_by_kind, dataset_clean, dataset_injected, dataset_labelled,
+        ingested_steps, ingest_notes, payload_files, report_documents, detection_by_kind, dataset_clean, dataset_injected, dataset_labelled,
     )
 }
