@@ -11,7 +11,7 @@ KIND = "doc_id long, text string, lang string, score int"
 
 def test_forward_sums_all_segmentations():
     pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba"]
-    index = {p: i for i, p in enumerate(pieces)}
+    index = langid.Index(pieces)
     rng = np.random.default_rng(3)
     prob = np.vstack([rng.random((len(pieces), 2)), np.full((1, 2), langid.UNKNOWN), np.zeros((1, 2))])
     words = ["ab", "aab", "xab", "b", "baba"]
@@ -30,7 +30,7 @@ def test_forward_sums_all_segmentations():
 
 def test_expected_counts_raise_the_likelihood():
     pieces = ["▁", "a", "b", "ab", "▁a", "abb"]
-    index = {p: i for i, p in enumerate(pieces)}
+    index = langid.Index(pieces)
     words, weight = ["abab", "abba", "aabb"], np.array([5.0, 2.0, 1.0])
     lattice = langid.Lattice(words, index, len(index))
     prob = langid._smoothed(lattice.matches(weight, len(index) + 2)[:, None], 0)
@@ -39,6 +39,18 @@ def test_expected_counts_raise_the_likelihood():
     assert (np.log(lattice.forward(after)[-1][:, 0]) * weight).sum() > before
 
 
+def test_long_pieces_count():
+    import pickle
+
+    pieces = ["▁characteristics", "a", "c", "e", "h", "i", "r", "s", "t", "▁"]
+    index = pickle.loads(pickle.dumps(langid.Index(pieces)))
+    assert index.longest == 16 and index["▁"] == 9
+    prob = np.vstack([np.full((10, 1), 0.1), [[langid.UNKNOWN]], [[0.0]]])
+    got = langid.word_scores(["characteristics"], index, prob)[0, 0]
+    assert math.isclose(math.exp(got), 0.1 + 0.1**16, rel_tol=1e-9)
+    assert max(map(len, langid.vocabulary())) > 12
+
+
 def test_words():
     assert langid.words_of("Ab1c ²³ _x\n" + "y" * 70) == ["ab", "c", "²³", "x", "y" * 32, "y" * 32, "y" * 6]
     assert langid.words_of("² 12 _ !") == [] and langid.words_of("") == []
