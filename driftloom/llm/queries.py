@@ -127,7 +127,39 @@ select page_id, cast(strlen(t) as bigint) as payload_bytes,
   case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, true as whole
 from p"""
 
+#: Rows of op5: all strings of 50 bytes with the smallest document each starts in, and the runs that a larger one loses.
+OP5_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as x from documents),
+w as (select doc_id, unnest(range(1, greatest(octet_length(x) - 48, 1))) as i, x from d),
+h as (select doc_id, i, hash(x[i:i + 49]) as h from w),
+o as (select h, min(doc_id) as owner from h group by h),
+l as (select doc_id, i from h join o using (h) where owner < doc_id),
+s as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 50, true) as opens from l),
+g as (select doc_id, i, sum(opens::int) over (partition by doc_id order by i) as k from s),
+r as (select doc_id, k, min(i) as a, max(i) + 49 as b from g group by doc_id, k),
+f as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as before from r),
+p as (select f.doc_id, a, x[before + 1:a - 1] as part from f join d using (doc_id) union all
+  select d.doc_id, 9223372036854775807, x[coalesce(m.b, 0) + 1:octet_length(x)] from d left join (select doc_id, max(b) as b from r group by doc_id) m using (doc_id)),
+k as (select doc_id, sha256(unhex(string_agg(hex(part), '' order by a))) as kept_sha256 from p group by doc_id),
+n as (select doc_id, sum(b - a + 1) as n_removed, count(*) as n_spans from r group by doc_id)
+select d.doc_id, cast(octet_length(x) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, kept_sha256 from d join k using (doc_id) left join n using (doc_id)"""
+
+#: Rows of op6 by all alignments of which enough words agree, without seeds: of the best runs of words the first.
+OP6_SQL = """
+with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as w from documents),
+b as (select distinct item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as w from benchmark where item_id is not null),
+i as (select item_id, len(w) as n, least(15, len(w)) as c, w from b),
+dw as (select doc_id, len(w) as len, unnest(range(len(w))) as p, unnest(w) as word from d),
+iw as (select item_id, n, c, unnest(range(n)) as q, unnest(w) as word from i),
+m as (select doc_id, item_id, p - q as shift, any_value(n) as n, any_value(c) as c, any_value(len) as len, list(q) as qs from dw join iw using (word) group by doc_id, item_id, p - q having count(*) >= ceil(0.8 * any_value(c) - 1e-9)),
+s as (select *, unnest(range(greatest(0, -shift), least(n, len - shift) - c + 1)) as b0 from m),
+a as (select doc_id, item_id, b0 + shift as place, c as compared, len(list_filter(qs, lambda x: x >= b0 and x < b0 + c)) as agree from s),
+r as (select *, row_number() over (partition by doc_id, item_id order by agree desc, place) as k from a where agree >= ceil(0.8 * compared - 1e-9))
+select doc_id, item_id, cast(place as bigint) as place, cast(compared as bigint) as compared, cast(agree as bigint) as agree from r where k = 1"""
+
 ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
+    "op5_suffix": OP5_SQL,
+    "op6_decontam": OP6_SQL,
     "op7_chat": OP7_SQL,
 }
