@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, langid, mixing, pii, simhash, suffix, toxicity, warc
+from . import chat, collocations, decontam, exact, langid, mixing, pii, simhash, suffix, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", F.size("draws").cast("long").alias("n_draws"), shards.alias("shards"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two and three words of `documents`, the first 2000 of each language."""
+    return collocations.mine(_table(spark, sf_dir, "documents"), longest=3, least=10, cover=50, top=2000)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_langid": op2_langid,
@@ -100,6 +105,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_collocations": op11_collocations,
 }
 
 #: Rows of op7: the turns as they are, and the length that the template gives them.
@@ -157,9 +163,27 @@ a as (select doc_id, item_id, b0 + shift as place, c as compared, len(list_filte
 r as (select *, row_number() over (partition by doc_id, item_id order by agree desc, place) as k from a where agree >= ceil(0.8 * compared - 1e-9))
 select doc_id, item_id, cast(place as bigint) as place, cast(compared as bigint) as compared, cast(agree as bigint) as agree from r where k = 1"""
 
+#: Rows of op11 by counting all phrases.
+OP11_SQL = """
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from p),
+g as (select lang, k, unnest(list_transform(range(len(ws) - k + 1), lambda i: array_to_string(ws[i + 1:i + k], ' '))) as phrase from w, (select unnest(range(1, 4)) as k) where len(ws) >= k),
+f as (select lang, k, phrase, count(*) as f from g group by all),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k > 1 and f >= 10),
+v as (select lang, array_to_string(ws[1:2], ' ') as phrase, a from c where k = 3 union all select lang, array_to_string(ws[2:3], ' '), a from c where k = 3),
+d as (select c.* from c where k = 3 or not exists (select 1 from v where v.lang = c.lang and v.phrase = c.phrase and 100 * v.a >= 50 * c.a)),
+s as (select d.*, unnest(range(1, k)) as cut from d),
+x as (select s.lang, s.phrase, s.a, s.cut, l.f as l, r.f as r, (1000000::hugeint * s.a * s.a // (l.f::hugeint * r.f))::bigint as score from s
+  join f l on l.lang = s.lang and l.phrase = array_to_string(ws[1:cut], ' ') and l.k = cut join f r on r.lang = s.lang and r.phrase = array_to_string(ws[cut + 1:s.k], ' ') and r.k = s.k - cut),
+m as (select * from x qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from m)
+select lang, rank, phrase, a, l, r, n, score from o join n using (lang) where rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op5_suffix": OP5_SQL,
     "op6_decontam": OP6_SQL,
     "op7_chat": OP7_SQL,
+    "op11_collocations": OP11_SQL,
 }
