@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontam, exact, langid, mixing, pii, simhash, suffix, toxicity, warc
+from . import chat, collocations, decontam, exact, langid, mixing, pii, repair, simhash, suffix, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"), longest=3, least=10, cover=50, top=2000)
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all `conversations` after damage."""
+    return repair.audits(repair.damage(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_langid": op2_langid,
@@ -106,6 +111,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
     "op11_collocations": op11_collocations,
+    "op13_repair": op13_repair,
 }
 
 #: Rows of op7: the turns as they are, and the length that the template gives them.
@@ -180,10 +186,45 @@ m as (select * from x qualify row_number() over (partition by lang, phrase order
 o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from m)
 select lang, rank, phrase, a, l, r, n, score from o join n using (lang) where rank <= 2000"""
 
+
+
+def _op13_sql() -> str:
+    """Rows of op13 by keeping, for each state, the least of all edit strings behind their costs."""
+    edit = lambda x, cost, letter: f"(lpad((left({x}, 6)::int + {cost})::varchar, 6, '0') || substr({x}, 7) || '{letter}')"
+    inserted = "least(u, {z}, {s}, {a}) as u, least(a, {u}) as a".format(**{x: edit(x, 5, "I") for x in "zsua"})
+    anyone = "least(z, s, a)"
+    return f"""
+with recursive o as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+h as (select *, xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(key, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda x, y: case when y >= 0 then xor(x, y) else xor(x >> 1, 3988292384 * (x & 1)) end)) % 20 as lot from o),
+d as (select conv_id, turn, case when lot = 4 then 'user' else role end as role, case lot when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case lot when 0 then 0 when 3 then 2 else 1 end)) as copy from h),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from d),
+q as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again, left(role, 1) as x, lag(left(role, 1)) over (partition by conv_id order by i) as before from n),
+r as (select *, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank' when again then 'duplicate' when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') then 'truncated' else '' end as fault from q),
+k as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum((fault = 'blank')::int) as blank, sum((fault = 'duplicate')::int) as duplicate, sum((fault = 'truncated')::int) as truncated,
+  sum((before is not null and before || x not in ('su', 'ua', 'au'))::int) as illegal, max(i) as rows from r group by conv_id),
+step(conv_id, i, z, s, u, a) as (select conv_id, 0::bigint, '000000', null::varchar, null::varchar, null::varchar from k union all
+  select conv_id, i, {edit("z", 2, "D")},
+    least({edit("s", 2, "D")}, case when stays and x = 's' then {edit("z", "t", "K")} end),
+    least({edit("u", 2, "D")}, case when stays and x = 'u' then {edit(anyone, "t", "K")} end, case when stays then {edit(anyone, "(t + 1)", "R")} end),
+    least({edit("a", 2, "D")}, case when stays and x = 'a' then {edit("u", "t", "K")} end, case when stays then {edit("u", "(t + 1)", "R")} end)
+  from (select conv_id, i, x, stays, t, z, s, {inserted} from (select step.conv_id, r.i, r.x, r.fault not in ('blank', 'duplicate') as stays, case r.fault when 'truncated' then 5 else 0 end as t, z, s, {inserted} from step join r on r.conv_id = step.conv_id and r.i = step.i + 1))),
+e as (select conv_id, least(z, a) as best from (select conv_id, z, s, {inserted} from (select conv_id, z, s, {inserted} from step join k using (conv_id) where i = rows))),
+walk(conv_id, audit, p, i, last, said) as (select conv_id, substr(best, 7), 0::bigint, 0::bigint, '', []::varchar[] from e union all
+  select w.conv_id, audit, p + 1, w.i + (c <> 'I')::bigint, case when c = 'D' then last when c = 'K' then r.x when last = 'u' then 'a' else 'u' end,
+    case when c = 'D' then said else list_append(said, case when c = 'K' then r.role when last = 'u' then 'assistant' else 'user' end || ':' || case when c = 'I' then '' else r.text end) end
+  from (select *, substr(audit, p + 1, 1) as c from walk where p < length(audit)) w join r on r.conv_id = w.conv_id and r.i = least(w.i + 1, (select max(rows) from k where k.conv_id = w.conv_id))),
+f as (select conv_id, audit, sha256(array_to_string(said, chr(10))) as repaired_sha256 from walk where p = length(audit)),
+c as (select distinct conv_id from conversations)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(left(best, 6)::bigint, 0) as cost, coalesce(audit, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from c left join k using (conv_id) left join e using (conv_id) left join f using (conv_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op5_suffix": OP5_SQL,
     "op6_decontam": OP6_SQL,
     "op7_chat": OP7_SQL,
     "op11_collocations": OP11_SQL,
+    "op13_repair": _op13_sql(),
 }
