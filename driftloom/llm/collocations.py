@@ -30,7 +30,7 @@ WORDS, PREFIXES = 1_000_000, 2_000_000
 #: A prefix with more occurrences is dealt by the next word to so many tasks.
 SPLIT, PARTS = 1_000_000, 16
 #: Bytes of text that are split into words at once, and words that are tallied at once.
-CHUNK, TALLY = 1 << 21, 4_000_000
+CHUNK, TALLY = 1 << 21, 1_500_000
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 
 
@@ -90,8 +90,10 @@ def _sorted_by_lang(rows: DataFrame, name: str) -> dict:
     """A bounded table (lang, value) as a sorted array for each lang."""
     import numpy as np
 
-    frame = rows.toPandas()
-    return {lang: np.sort(part[name].to_numpy(np.int64)) for lang, part in frame.groupby("lang")}
+    table = rows.select("lang", name).toArrow()
+    langs, values = table.column("lang").combine_chunks().dictionary_encode(), table.column(name).to_numpy()
+    codes = langs.indices.to_numpy()
+    return {lang: np.sort(values[codes == i]) for i, lang in enumerate(langs.dictionary.to_pylist())}
 
 
 def _places(ids, known):
