@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontam, exact, langid, mixing, pii, repair, simhash, suffix, toxicity, warc
+from . import chat, collocations, decontam, exact, langid, mixing, pagetext, pii, repair, simhash, suffix, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"), longest=3, least=10, cover=50, top=2000)
 
 
+def op12_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every one of `pages`."""
+    found = pagetext.main_texts(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of all `conversations` after damage."""
     return repair.audits(repair.damage(_table(spark, sf_dir, "conversations")))
@@ -111,6 +117,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
     "op11_collocations": op11_collocations,
+    "op12_pagetext": op12_pagetext,
     "op13_repair": op13_repair,
 }
 
@@ -187,6 +194,14 @@ o as (select *, row_number() over (partition by lang order by score desc, a desc
 select lang, rank, phrase, a, l, r, n, score from o join n using (lang) where rank <= 2000"""
 
 
+#: Rows of op12 on pages that have one article each, with the references that these tables have; no other markup within takes text away.
+OP12_SQL = """
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') as x from pages),
+b as (select page_id, url, regexp_replace(regexp_replace(x, '<(?:/?(?:p|h[1-6]|div|ul|li)|br)\\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') as x from a),
+c as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&#(?:x27|39);', chr(39), 'g'), '&amp;?', '&', 'g') as x from b),
+t as (select page_id, url, trim(regexp_replace(x, '[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) as text from c)
+select page_id, url, text, length(text) as n_chars from t"""
+
 
 def _op13_sql() -> str:
     """Rows of op13 by keeping, for each state, the least of all edit strings behind their costs."""
@@ -226,5 +241,6 @@ ORACLES: dict[str, str] = {
     "op6_decontam": OP6_SQL,
     "op7_chat": OP7_SQL,
     "op11_collocations": OP11_SQL,
+    "op12_pagetext": OP12_SQL,
     "op13_repair": _op13_sql(),
 }
