@@ -393,6 +393,15 @@ select cast(label as bigint) as label, round(v[1], 6) + 0.0 as low, round(v[len(
     }
     out["stream_drift_replay"] = f"""{bag}, f as (select run_id, ordinal, drift_prev, drift_anchor, coalesce(drift_prev > 0.8011 or drift_anchor > 0.8011, false) as flagged from drift)
 select run_id, ordinal, cast(turn as varchar) as step_id, {_r6('drift_prev', 'drift_anchor')}, flagged, flagged as fresh, '' as note from f join (select run_id, ordinal, turn from steps) using (run_id, ordinal)"""
+    out["push_log_replay"] = f"""with ev as (select cast(conv_id as varchar) as run_id, ((conv_id * 7 + turn * 5) % 3 * 3 + turn) * 100 + turn as idx, turn as pos, 's' || cast(turn // 2 as varchar) as step_id, case when role = 'system' then ' ' else text end as text from conversations),
+far as (select *, coalesce(pos <= max(pos) over (partition by run_id order by idx rows between unbounded preceding and 1 preceding), false) as late, not regexp_matches(text, '\\S') as blank from ev),
+steps as (select *, row_number() over (partition by run_id order by idx) - 1 as ordinal from far where not late and not blank),
+{BAG},
+f as (select s.run_id, idx, s.ordinal, step_id, drift_prev, drift_anchor, coalesce(drift_prev > 0.8011 or drift_anchor > 0.8011, false) as flagged from steps s join drift using (run_id, ordinal)),
+g as (select *, flagged and row_number() over (partition by run_id, step_id, flagged order by idx) = 1 as fresh from f)
+select e.run_id, e.idx, e.pos, e.step_id, ordinal, {_r6('drift_prev', 'drift_anchor')}, coalesce(flagged, false) as flagged, coalesce(fresh, false) as fresh,
+  case when late then 'step ' || e.step_id || ' at position ' || e.pos || ' came late' when blank then 'step ' || e.step_id || ' skipped: empty or non-text content' else '' end as note
+from far e left join g on g.run_id = e.run_id and g.idx = e.idx"""
     out |= _wider(sig, chosen, origin, matrix, cross, margin, consecutive, facts, held)
     return out
 

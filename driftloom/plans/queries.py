@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import attribute, calibrate, classify, drift, evaluate, inject, report, signals, verdict
 from ..operators.steps import as_steps
-from ..streaming.observer import replay
+from ..streaming.observer import logged, replay, shared_dir
 from . import wider
 from .demo import LEXICON, PROFILE, SETTINGS, all_steps, r6, steps, table, vectors
 
@@ -269,11 +270,24 @@ def index_quantiles(spark, sf_dir):
 def stream_drift_replay(spark, sf_dir):
     kind = "conv_id long, turn long, role string, text string"
     events = as_steps(spark.readStream.schema(kind).parquet(f"{sf_dir}/conversations.parquet*"), "conv_id", "turn", role="role")
-    rows = replay(spark, events.select("run_id", "pos", "step_id", "text"), PROFILE.drift_threshold)
-    rows = rows.where("ordinal is not null")
+    rows = replay(spark, events.select("run_id", F.col("pos").alias("idx"), "pos", "step_id", "text"), PROFILE.drift_threshold)
     return rows.select(*_keys(), "step_id", r6("drift_prev").alias("drift_prev"), r6("drift_anchor").alias("drift_anchor"), "flagged", "fresh", F.coalesce("note", F.lit("")).alias("note"))
 
 
+def push_log_replay(spark, sf_dir):
+    """Steps that arrive out of order, some without text, through the segments of a log: every row of the stream, with its note."""
+    rows = table(spark, sf_dir, "conversations")
+    arrival = (F.col("conv_id") * 7 + F.col("turn") * 5) % 3 * 3 + F.col("turn")
+    text = F.when(F.col("role") != "system", F.col("text")).otherwise(F.lit(" "))
+    run = F.col("conv_id").cast("string")
+    step = F.concat(F.lit("s"), F.floor(F.col("turn") / 2).cast("string"))  # two turns share an id: the second flag of one is not fresh
+    seen = rows.select(run.alias("run_id"), (arrival * 100 + F.col("turn")).alias("idx"), F.to_json(F.struct(text.alias("text"))).alias("payload"), F.col("turn").cast("int").alias("pos"), step.alias("step_id"), text.alias("text"))
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    seen.write.json(path)
+    found = replay(spark, logged(spark, path), PROFILE.drift_threshold)
+    return found.select("run_id", "idx", F.col("pos").cast("long").alias("pos"), "step_id", F.col("ordinal").cast("long").alias("ordinal"), r6("drift_prev").alias("drift_prev"), r6("drift_anchor").alias("drift_anchor"), "flagged", "fresh", F.coalesce("note", F.lit("")).alias("note"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -281,7 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         entailment_overlap, certainty_signal, certainty_delta, facts_split, coverage_omission, aggregate_score, verdicts, verdict_extremes,
         classify_scores, classification, attribution, report_summary, calibrate_percentile, signal_percentiles, holdout_rates, ablation_variants, naive_baseline,
         consecutive_flags, signal_counts, threshold_sweep, best_setting, first_flag_accuracy, kappa_quality_toxic, label_distribution,
-        label_resolution, rater_agreement, stratified_sample, balanced_split, form_upsert, inject_numeric, index_quantiles, stream_drift_replay,
+        label_resolution, rater_agreement, stratified_sample, balanced_split, form_upsert, inject_numeric, index_quantiles, stream_drift_replay, push_log_replay,
     )
 }
 QUERIES |= wider.QUERIES

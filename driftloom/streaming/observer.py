@@ -1,90 +1,27 @@
-"""Live drift of runs whose steps arrive one at a time.
-
-A run's state is its last step's word counts, its anchor's, and the ids of the
-steps that were flagged, which grow by one id for each; all else is constant,
-however long the run is.  The stream
-computes drift only; everything else is the batch analysis of the steps.
-"""
+"""Watching runs while they go on, and replaying finite streams of steps."""
 
 from __future__ import annotations
 
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..sources.ingest import from_payloads
+from .log import Ledger, SharedFolder, StepLog
+from .state import IDLE_MS, OUT, live_drift
 
-OUT = "run_id string, pos int, step_id string, ordinal int, drift_prev double, drift_anchor double, flagged boolean, fresh boolean, note string"
-STATE = "state string"
-#: A file of the observer: a payload, and what the stream needs of it if it is a step.
-SEEN = "run_id string, idx int, payload string, pos int, step_id string, text string"
-
-
-def _cosine(a: dict, b: dict) -> float:
-    norms = sum(x * x for x in a.values()) ** 0.5 * sum(x * x for x in b.values()) ** 0.5
-    return sum(n * b.get(w, 0) for w, n in a.items()) / norms if norms else 0.0
-
-
-def _counts(text: str) -> dict:
-    import re
-
-    out: dict[str, int] = {}
-    for w in re.findall(r"[^ \t\n\x0b\f\r]+", text.lower()):
-        out[w] = out.get(w, 0) + 1
-    return out
-
-
-def step_through(known: dict | None, rows: list[tuple], threshold: float) -> tuple[dict, list[tuple]]:
-    """The state after some steps (pos, step_id, text), sorted by pos, and a row for each.
-
-    A step whose pos is not beyond the last is late: it is noted, not measured.
-    """
-    import re
-
-    state = known or {"pos": -1, "ordinal": -1, "prev": None, "anchor": None, "flagged": []}
-    blank = re.compile(r"\s*\Z")
-    out = []
-    for pos, step_id, text in rows:
-        if pos <= state["pos"]:
-            out.append((pos, step_id, None, None, None, False, False, f"step {step_id} at position {pos} came late"))
-            continue
-        state["pos"] = pos
-        if not isinstance(text, str) or blank.match(text):
-            out.append((pos, step_id, None, None, None, False, False, f"step {step_id} skipped: empty or non-text content"))
-            continue
-        own = _counts(text)
-        state["ordinal"] += 1
-        if state["anchor"] is None:
-            prev = anchor = None
-            state["anchor"] = own
-        else:
-            prev, anchor = 1 - _cosine(own, state["prev"]), 1 - _cosine(own, state["anchor"])
-        state["prev"] = own
-        flagged = anchor is not None and (prev > threshold or anchor > threshold)
-        fresh = flagged and step_id not in state["flagged"]
-        if fresh:
-            state["flagged"].append(step_id)
-        out.append((pos, step_id, state["ordinal"], prev, anchor, flagged, fresh, None))
-    return state, out
-
-
-def live_drift(events: DataFrame, threshold: float) -> DataFrame:
-    """A row for each event (run_id, pos, step_id, text) of a stream."""
-
-    def work(key, frames: Iterator, state):
-        import pandas as pd
-
-        rows = sorted((int(p), s, t) for f in frames for p, s, t in zip(f["pos"], f["step_id"], f["text"]))
-        known = json.loads(state.get[0]) if state.exists else None
-        known, out = step_through(known, rows, threshold)
-        state.update((json.dumps(known),))
-        frame = pd.DataFrame([(key[0], *r) for r in out], columns=["run_id", "pos", "step_id", "ordinal", "drift_prev", "drift_anchor", "flagged", "fresh", "note"])
-        yield frame.astype({"ordinal": "Int32", "drift_prev": "Float64", "drift_anchor": "Float64"})
-
-    return events.groupBy("run_id").applyInPandasWithState(work, OUT, STATE, "append", "NoTimeout")
+#: A line of the log: a payload, and what the stream needs of it if it is a step.
+SEEN = "run_id string, idx long, payload string, pos int, step_id string, text string"
+#: What streams with keyed state need; a run that idles makes no batches.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,67 +36,77 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-class SharedFolder:
-    """Files in a folder that Spark's own file systems reach, each there as a whole or not at all."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.path = path
-        self._files.mkdirs(self._path(path))
-
-    def write(self, name: str, text: str) -> None:
-        hidden = self._path(f"{self.path}/.{name}")
-        out = self._files.create(hidden, True)
-        try:
-            out.write(bytearray(text, "utf-8"))
-        finally:
-            out.close()
-        self._files.rename(hidden, self._path(f"{self.path}/{name}"))
+def started(spark: SparkSession, stream: DataStreamWriter) -> StreamingQuery:
+    """Start a stream with ``SETTINGS``, which it keeps; the session gets its own back."""
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        return stream.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def replay(spark: SparkSession, events: DataFrame, threshold: float) -> DataFrame:
-    """The rows of a finite stream, run to its end."""
+    """The rows of a finite stream (run_id, idx, pos, step_id, text), run to its end."""
     base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
-    query = live_drift(events, threshold).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = live_drift(events, threshold).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    started(spark, writer).awaitTermination()
     return spark.read.schema(OUT).parquet(f"{base}/out")
 
 
+def logged(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the steps in the segments of a log."""
+    return spark.readStream.schema(SEEN).json(path).where("pos is not null").select("run_id", "idx", "pos", "step_id", "text")
+
+
 class LiveObserver:
     """Watches one run: ``observe`` takes a payload, flags go to ``on_flag``, ``report`` analyses all steps.
 
-    Payloads are files in a folder that executors share and a stream reads, so
-    observing doesn't wait for the analysis, and the driver keeps none of
-    them.  Errors of the callback become notes.
+    Payloads go to an append log that a stream reads, so observing waits for
+    nothing, and the driver keeps none of them.  ``observe`` never raises:
+    what goes wrong in it, or in the callback, becomes a note.  Without a
+    callback a flag is a warning.  With the same ``folder``, a new observer
+    goes on where the last one ended: no step is measured and no flag is
+    handed on again.  What was observed in the last hundredths of a second
+    before a process died is not in the log; ``drain`` waits until all is.
     """
 
-    def __init__(self, spark: SparkSession, threshold: float, on_flag: Callable[[dict], None] | None = None, run_id: str = "live", folder: str | None = None):
+    def __init__(self, spark: SparkSession, threshold: float, on_flag: Callable[[dict], None] | None = None, run_id: str = "live", folder: str | None = None, idle_ms: int = IDLE_MS):
         self.spark, self.run_id, self.notes = spark, run_id, []
-        self._n, self._pos = 0, 0
-        self._files = SharedFolder(spark, folder or f"{shared_dir(spark)}/observed-{uuid.uuid4().hex}")
-        self._on_flag = on_flag or (lambda flag: print(f"step {flag['step_id']} drifted"))
-        events = spark.readStream.schema(SEEN).json(self._files.path).where("pos is not null").select("run_id", "pos", "step_id", "text")
-        base = f"{shared_dir(spark)}/observer-{uuid.uuid4().hex}"
-        self._query = live_drift(events, threshold).writeStream.foreachBatch(self._batch).option("checkpointLocation", base).start()
-
-    def _batch(self, rows: DataFrame, _: int) -> None:
-        for r in rows.where("fresh").orderBy("run_id", "pos").toLocalIterator():
-            try:
-                self._on_flag(r.asDict())
-            except Exception as e:
-                self.notes.append(f"on_flag failed at step {r['step_id']}: {type(e).__name__}: {e}")
+        self.folder = folder or f"{shared_dir(spark)}/observed-{uuid.uuid4().hex}"
+        self._steps = SharedFolder(spark, f"{self.folder}/steps")
+        self._log = StepLog(self._steps)
+        self._ledger = Ledger(SharedFolder(spark, f"{self.folder}/flags"))
+        self._on_flag = on_flag or (lambda flag: warnings.warn(f"step {flag['step_id']} crossed the drift threshold", stacklevel=2))
+        rows = live_drift(logged(spark, self._steps.path), threshold, idle_ms)
+        self._query = started(spark, rows.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.folder}/state"))
+
+    def _batch(self, rows: DataFrame, batch: int) -> None:
+        self._ledger.hand_on(batch, rows.where("fresh").orderBy("run_id", "idx").toLocalIterator(), self._flag)
+
+    def _flag(self, row) -> None:
+        try:
+            self._on_flag(row.asDict())
+        except Exception as e:
+            self.notes.append(f"on_flag failed at step {row['step_id']}: {type(e).__name__}: {e}")
 
     def observe(self, payload) -> None:
-        event = {"run_id": self.run_id, "idx": self._n, "payload": json.dumps(payload, ensure_ascii=False, default=str)}
-        if isinstance(payload, dict):  # anything else is no step, but is noted in the report
-            text = payload.get("text")
-            event |= {"pos": self._pos, "step_id": str(payload.get("step_id", self._pos)), "text": text if isinstance(text, str) else ""}
-            self._pos += 1
-        self._files.write(f"{self._n:09d}.json", json.dumps(event) + "\n")
-        self._n += 1
+        try:
+            pos = self._log.mark
+            event = {"run_id": self.run_id, "idx": self._log.offset, "payload": json.dumps(payload, ensure_ascii=False, default=str)}
+            if isinstance(payload, dict):  # anything else is no step, but is noted in the report
+                text = payload.get("text")
+                event |= {"pos": pos, "step_id": str(payload.get("step_id", pos)), "text": text if isinstance(text, str) else ""}
+                pos += 1
+            self._log.append(json.dumps(event) + "\n", pos)
+        except Exception as e:
+            self.notes.append(f"observe failed: {type(e).__name__}: {e}")
 
     def drain(self) -> None:
+        """Wait until all that was observed is in the log and has been measured."""
+        self._log.flush()
         self._query.processAllAvailable()
 
     def report(self, **options):
@@ -167,12 +114,20 @@ class LiveObserver:
         from ..operators.report import analyze
 
         self.drain()
-        steps, notes = from_payloads(self.spark.read.schema(SEEN).json(self._files.path).select("run_id", "idx", "payload"))
+        rows = self.spark.read.schema(SEEN).json(self._steps.path)
+        steps, notes = from_payloads(rows.selectExpr("run_id", "cast(idx as int) idx", "payload"))
         own = self.spark.createDataFrame([(self.run_id, 9, i, "observer", n) for i, n in enumerate(self.notes)], notes.schema)
         return analyze(steps, notes=notes.unionByName(own), **options)
 
     def close(self) -> None:
-        self._query.stop()
+        try:
+            self._log.close()
+        finally:
+            self._query.stop()
+
+    def remove(self) -> None:
+        """Delete the log, the state and the ledger of a closed observer."""
+        SharedFolder(self.spark, self.folder).remove()
 
     def __enter__(self):
         return self

@@ -1,17 +1,14 @@
 """Reading, writing, live observation and the command line."""
 
 import json
-import random
 from types import SimpleNamespace
 
 import pytest
 
 from driftloom import cli
-from driftloom.operators import drift, report
-from driftloom.operators.steps import densified
+from driftloom.operators import report
 from driftloom.sources import ingest, sinks
 from driftloom.sources.callbacks import ChainRecorder
-from driftloom.streaming import observer
 
 
 def test_permissive_reading(spark):
@@ -68,40 +65,6 @@ def test_recorder_never_breaks_the_chain():
     assert [(s["step_id"], s["text"], s["role"]) for s in seen] == [(1, "a b", "llm"), (2, "c d", "chain"), (3, "42", "tool")]
 
 
-def test_stream_equals_batch_however_it_is_cut(spark):
-    rng = random.Random(3)
-    rows = [(f"r{r}", p, str(p % 3), rng.choice(["a b c", "a b", "", "x y", "b c d"])) for r in range(4) for p in range(8)]
-    batch = {(r.run_id, r.ordinal): (r.drift_prev, r.drift_anchor) for r in drift.bag_drift(densified(spark.createDataFrame([(*r, None, None) for r in rows], "run_id string, pos int, step_id string, text string, agent_name string, role string"))).collect()}
-    for step in (1, 3, 8):
-        got = {}
-        for run in {r[0] for r in rows}:
-            own, state = [r[1:] for r in rows if r[0] == run], None
-            for a in range(0, len(own), step):
-                state, out = observer.step_through(json.loads(json.dumps(state)), own[a : a + step], 0.3)
-                got |= {(run, o[2]): (o[3], o[4]) for o in out if o[2] is not None}
-        assert got.keys() == batch.keys()
-        for k, v in got.items():
-            assert v == pytest.approx(batch[k])
-    _, out = observer.step_through(None, [(0, "a", "x"), (1, "a", "y"), (2, "a", "z"), (2, "b", "late")], 0.3)
-    assert [o[6] for o in out] == [False, True, False, False] and "late" in out[3][7]
-
-
-def test_live_observer(spark, tmp_path):
-    seen = []
-
-    def on_flag(flag):
-        seen.append(flag["step_id"])
-        raise RuntimeError("callback broke")
-
-    with observer.LiveObserver(spark, 0.5, on_flag, folder=str(tmp_path)) as live:
-        for payload in ({"step_id": 1, "text": "a b"}, {"step_id": 2, "text": "a b"}, "garbage", {"step_id": 3, "text": "q r"}):
-            live.observe(payload)
-        _, reports = live.report()
-        one = reports.first()
-    assert seen == ["3"] and one.verdict and len(one.steps) == 3
-    assert any("callback broke" in n for n in one.notes) and any("not an object" in n for n in one.notes)
-
-
 def test_command_line(spark, tmp_path, capsys):
     calm, wild = tmp_path / "calm.json", tmp_path / "wild.jsonl"
     calm.write_text(json.dumps([{"step_id": i, "text": "the same text again"} for i in range(3)]))
