@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import attribute, calibrate, classify, drift, evaluate, inject, report, signals, verdict
 from ..operators.steps import as_steps
-from ..streaming.observer import logged, replay, shared_dir
+from ..sources.shared import shared_dir
+from ..streaming.observer import logged, replay
 from . import wider
 from .demo import LEXICON, PROFILE, SETTINGS, all_steps, r6, steps, table, vectors
 

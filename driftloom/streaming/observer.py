@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 import warnings
 from collections.abc import Callable
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..sources.ingest import from_payloads
+from ..sources.shared import shared_dir
 from .log import Ledger, SharedFolder, StepLog
 from .state import IDLE_MS, OUT, live_drift
 
@@ -24,18 +24,6 @@ SETTINGS = {
 }
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors share: ``spark.checkpoint.dir``, or what setCheckpointDir was given; a temporary one only for a local session."""
-    given = spark.sparkContext._jsc.sc().getCheckpointDir()
-    path = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
-    if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="streams_")
-    return path
-
-
 def started(spark: SparkSession, stream: DataStreamWriter) -> StreamingQuery:
     """Start a stream with ``SETTINGS``, which it keeps; the session gets its own back."""
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
