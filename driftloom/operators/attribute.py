@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.vectors import ratio
 
 
-def candidate_columns(signals: DataFrame, settings: Settings = Settings(), nli: bool = True) -> DataFrame:
+def candidate_columns(signals: DataFrame, settings: Settings = Settings(), nli: bool = True, first: Column | None = None) -> DataFrame:
     """``signals`` with crossed, how many of drift and entailment a step crosses, and its confidence.
 
     Confidence is 0.6 by the share of signals crossed and 0.4 by the largest
     margin in units of its threshold, and a tenth more for a run's first.
-    It is null for steps that cross nothing or a threshold of 0.
+    It is null for steps that cross nothing or a threshold of 0.  ``first``
+    tells a run's first candidate; otherwise a window by run does.
     """
     t, tau = settings.profile.drift_threshold, settings.profile.entail_threshold
     fires = {c: F.coalesce(F.col(c) > t, F.lit(False)) for c in ("drift_prev", "drift_anchor")}
@@ -26,7 +27,8 @@ def candidate_columns(signals: DataFrame, settings: Settings = Settings(), nli:
     for c, f in fires.items():
         number, unitless = number + f.cast("int"), unitless | (f & margins[c].isNull())
     rows = signals.withColumn("crossed", number)
-    first = F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("crossed") == 0, "ordinal")) == 1
+    if first is None:
+        first = F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("crossed") == 0, "ordinal")) == 1
     plain = 0.6 * F.col("crossed") / len(fires) + 0.4 * F.least(F.lit(1.0), F.greatest(*margins.values()))
     boosted = F.when(first, F.least(F.lit(1.0), plain + 0.1)).otherwise(plain)
     return rows.withColumn("confidence", F.when((F.col("crossed") > 0) & ~unitless, F.round(boosted, 3)))

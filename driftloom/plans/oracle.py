@@ -393,6 +393,11 @@ select cast(label as bigint) as label, round(v[1], 6) + 0.0 as low, round(v[len(
     }
     out["stream_drift_replay"] = f"""{bag}, f as (select run_id, ordinal, drift_prev, drift_anchor, coalesce(drift_prev > 0.8011 or drift_anchor > 0.8011, false) as flagged from drift)
 select run_id, ordinal, cast(turn as varchar) as step_id, {_r6('drift_prev', 'drift_anchor')}, flagged, flagged as fresh, '' as note from f join (select run_id, ordinal, turn from steps) using (run_id, ordinal)"""
+    whole = sig.replace(STEPS, """steps as (select 'all' as run_id, conv_id, turn, role, text, concat_ws('.', conv_id, turn) as step_id, row_number() over (order by conv_id, turn) - 1 as ordinal from conversations where regexp_matches(text, '\\S'))""")
+    out["long_run_signals"] = f"{whole} select run_id, ordinal, step_id, {_r6('drift_prev', 'drift_anchor', 'entailment', 'certainty_delta', 'aggregate')}, flagged, codes from flg"
+    out["long_run_scores"] = f"""{whole}, {VERDICT}, {classified()}, {origin}, {consecutive},
+ogs as (select run_id, count(*) as n_origins, arg_min(step_id, ordinal) as first_origin, max(round(case when k = 1 then least(1.0::double, plain + 0.1) else plain end, 3)) as top_confidence from att group by run_id)
+select run_id, {_r6('retrieval', 'inference', 'context_poisoning', 'confidence_inflation')}, n_origins, first_origin, top_confidence, codes, consecutive from cls join ogs using (run_id) join ver using (run_id) join con using (run_id)"""
     out["push_log_replay"] = f"""with ev as (select cast(conv_id as varchar) as run_id, ((conv_id * 7 + turn * 5) % 3 * 3 + turn) * 100 + turn as idx, turn as pos, 's' || cast(turn // 2 as varchar) as step_id, case when role = 'system' then ' ' else text end as text from conversations),
 far as (select *, coalesce(pos <= max(pos) over (partition by run_id order by idx rows between unbounded preceding and 1 preceding), false) as late, not regexp_matches(text, '\\S') as blank from ev),
 steps as (select *, row_number() over (partition by run_id order by idx) - 1 as ordinal from far where not late and not blank),

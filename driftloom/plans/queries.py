@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import attribute, calibrate, classify, drift, evaluate, inject, report, signals, verdict
+from ..operators import attribute, calibrate, classify, drift, evaluate, inject, report, signals, stretches, verdict
 from ..operators.steps import as_steps
 from ..sources.shared import shared_dir
 from ..streaming.observer import logged, replay
@@ -289,6 +289,26 @@ def push_log_replay(spark, sf_dir):
     return found.select("run_id", "idx", F.col("pos").cast("long").alias("pos"), "step_id", F.col("ordinal").cast("long").alias("ordinal"), r6("drift_prev").alias("drift_prev"), r6("drift_anchor").alias("drift_anchor"), "flagged", "fresh", F.coalesce("note", F.lit("")).alias("note"))
 
 
+def _one_run(spark, sf_dir):
+    """All conversations as the steps of one long run, cut into stretches of 100."""
+    rows = table(spark, sf_dir, "conversations")
+    own = rows.select(F.lit("all").alias("run_id"), (F.col("conv_id") * 100 + F.col("turn")).cast("int").alias("pos"), F.concat_ws(".", "conv_id", "turn").alias("step_id"), F.col("role").alias("agent_name"), "role", "text")
+    return stretches.long_signals(stretches.numbered(own), SETTINGS, buckets=None, size=100)
+
+
+def long_run_signals(spark, sf_dir):
+    numbers = [r6(c).alias(c) for c in ("drift_prev", "drift_anchor", "entailment", "certainty_delta", "aggregate")]
+    return _one_run(spark, sf_dir).select(*_keys(), "step_id", *numbers, "flagged", F.array_join("flag_codes", ",").alias("codes"))
+
+
+def long_run_scores(spark, sf_dir):
+    own = stretches.written(_one_run(spark, sf_dir), "signals")
+    scores = stretches.long_rule_scores(own, SETTINGS, size=100).select("run_id", *[r6(c).alias(c) for c in ("retrieval", "inference", "context_poisoning", "confidence_inflation")])
+    origins = stretches.long_candidates(own, SETTINGS).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_origins"), F.min_by("step_id", "ordinal").alias("first_origin"), F.max("confidence").alias("top_confidence"))
+    told = verdict.verdicts(own, PROFILE).select("run_id", F.array_join("verdict_codes", ",").alias("codes"))
+    return scores.join(origins, "run_id").join(told, "run_id").join(stretches.long_consecutive(own, 100), "run_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -296,7 +316,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         entailment_overlap, certainty_signal, certainty_delta, facts_split, coverage_omission, aggregate_score, verdicts, verdict_extremes,
         classify_scores, classification, attribution, report_summary, calibrate_percentile, signal_percentiles, holdout_rates, ablation_variants, naive_baseline,
         consecutive_flags, signal_counts, threshold_sweep, best_setting, first_flag_accuracy, kappa_quality_toxic, label_distribution,
-        label_resolution, rater_agreement, stratified_sample, balanced_split, form_upsert, inject_numeric, index_quantiles, stream_drift_replay, push_log_replay,
+        label_resolution, rater_agreement, stratified_sample, balanced_split, form_upsert, inject_numeric, index_quantiles, stream_drift_replay, push_log_replay, long_run_signals, long_run_scores,
     )
 }
 QUERIES |= wider.QUERIES
