@@ -81,10 +81,52 @@ def dense_drift(steps: DataFrame, vector: str, anchors: DataFrame | None = None)
 
 
 def consensus(vectors: DataFrame, run: str, vector: str) -> DataFrame:
-    """run_id, anchor: the element-wise mean of each run's vectors."""
-    each = vectors.select(F.col(run).cast("string").alias("run_id"), F.posexplode(vector).alias("i", "x"))
-    means = each.groupBy("run_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("anchor"))
+    """run_id, anchor: the element-wise mean of each run's vectors.
+
+    Each task adds up the vectors of a run that it meets, so one row for each
+    run and task is shuffled, and the tasks' sums are added by run.  Null
+    vectors and elements don't count; of vectors of different lengths each
+    place has the mean of those that have it.  A run without vectors has no row.
+    """
+    own = vectors.select(F.col(run).cast("string").alias("run_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    parts = own.select("run_id", "v", F.transform("v", lambda x: x.isNotNull().cast("double")).alias("n")).mapInArrow(_added, "run_id string, v array<double>, n array<double>")
+    whole = parts.repartition("run_id").mapInArrow(_added, "run_id string, v array<double>, n array<double>")
+    return whole.select("run_id", F.zip_with("v", "n", lambda s, n: F.try_divide(s, n)).alias("anchor"))
+
+
+def _added(batches, most: int = 20_000):
+    """(run_id, sums, counts) of rows of the same: all of a run that this task meets, as long as ``most`` runs are at hand."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: dict = {}
+
+    def done():
+        runs = list(held)
+        return pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), *[pa.array([held[r][i] for r in runs], pa.list_(pa.float64())) for i in (0, 1)]], ["run_id", "v", "n"])
+
+    for batch in batches:
+        for run, v, n in zip(batch.column(0).to_pylist(), *[_rows(batch.column(i)) for i in (1, 2)]):
+            v = np.where(n > 0, v, 0.0)
+            if run in held and len(held[run][0]) == len(v):
+                held[run][0] += v
+                held[run][1] += n
+            elif run in held:
+                wide = max(len(v), len(held[run][0]))
+                held[run] = [np.pad(a, (0, wide - len(a))) + np.pad(b, (0, wide - len(b))) for a, b in zip(held[run], (v, n))]
+            else:
+                held[run] = [v, n.copy()]
+        if len(held) > most:  # a run may come again: its sums are added by whoever reads them
+            yield done()
+            held = {}
+    if held:
+        yield done()
+
+
+def _rows(lists):
+    """The arrays of a list column, nulls as NaN."""
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def most_drifted(drift: DataFrame) -> DataFrame:

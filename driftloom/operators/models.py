@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from .drift import dense_drift
-from .scorers import embed_with, judge_with
+from .drift import consensus, dense_drift
+from .scorers import ScoreTable, embed_with, judge_with
 from .signals import anchor_facts
 from .steps import by_run, densified
 
@@ -28,32 +28,31 @@ def _notes(broken: DataFrame, stage: int, code: str, text: str) -> DataFrame:
     return broken.select("run_id", F.lit(stage).alias("stage"), F.lit(None).cast("int").alias("pos"), F.lit(code).alias("code"), F.concat(F.lit(text), "message").alias("message"))
 
 
-def model_drift(steps: DataFrame, load: Callable, anchors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def model_drift(steps: DataFrame, load: Callable, anchors: DataFrame | None = None, kept: ScoreTable | None = None) -> tuple[DataFrame, DataFrame]:
     """(drift, failures: run_id and message) of densified steps by an embedder; ``anchors`` is (run_id, texts)."""
-    rows = embed_with(steps.select("run_id", "ordinal", "text"), "text", load)
+    rows = embed_with(steps.select("run_id", "ordinal", "text"), "text", load, kept)
     failures, given = _broken(rows), None
     if anchors is not None:
-        texts = embed_with(anchors.select("run_id", F.explode("texts").alias("text")), "text", load)
+        texts = embed_with(anchors.select("run_id", F.explode("texts").alias("text")), "text", load, kept)
         failures = failures.unionByName(_broken(texts)).groupBy("run_id").agg(F.min("message").alias("message"))
-        each = texts.where("vector is not null").select("run_id", F.posexplode("vector").alias("i", "x")).groupBy("run_id", "i").agg(F.avg("x").alias("m"))
-        given = each.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("anchor"))
+        given = consensus(texts.where("vector is not null"), "run_id", "vector")
     ok = rows.join(failures.select("run_id"), "run_id", "left_anti")
     return dense_drift(ok, "vector", given), failures
 
 
-def model_entailment(steps: DataFrame, load: Callable) -> tuple[DataFrame, DataFrame]:
+def model_entailment(steps: DataFrame, load: Callable, kept: ScoreTable | None = None) -> tuple[DataFrame, DataFrame]:
     """(judged, notes) of densified steps by a judge of pairs; a run with an error has no entailment at all."""
     pairs = steps.select("run_id", "ordinal", F.lag("text").over(by_run()).alias("premise"), "text")
-    rows = judge_with(pairs, "premise", "text", load)
+    rows = judge_with(pairs, "premise", "text", load, kept)
     broken = _broken(rows)
     judged = rows.join(broken.select("run_id"), "run_id", "left_anti").select("run_id", "ordinal", "entailment", "neutral", "contradiction")
     return judged, _notes(broken, 3, "entailment_failed", "entailment failed, drift only: ")
 
 
-def model_coverage(steps: DataFrame, anchors: DataFrame, load: Callable, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+def model_coverage(steps: DataFrame, anchors: DataFrame, load: Callable, settings: Settings = Settings(), kept: ScoreTable | None = None) -> tuple[DataFrame, DataFrame]:
     """(covered, notes): coverage and omission of densified steps by a judge; ``anchors`` is (run_id, kind, texts)."""
     pairs = steps.select("run_id", "ordinal", "text").join(anchor_facts(anchors, settings), "run_id").select("run_id", "ordinal", "text", F.posexplode("facts").alias("fact_idx", "fact"))
-    rows = judge_with(pairs, "text", "fact", load)
+    rows = judge_with(pairs, "text", "fact", load, kept)
     broken = _broken(rows)
     held = F.coalesce(F.col("entailment") >= settings.profile.coverage_threshold, F.lit(False)).cast("double")
     covered = rows.join(broken.select("run_id"), "run_id", "left_anti").groupBy("run_id", "ordinal").agg(F.avg(held).alias("coverage"))
@@ -61,16 +60,19 @@ def model_coverage(steps: DataFrame, anchors: DataFrame, load: Callable, setting
     return covered, _notes(broken, 4, "coverage_failed", "coverage failed: ")
 
 
-def scores(steps: DataFrame, embed: Callable | None = None, judge: Callable | None = None, anchors: DataFrame | None = None, settings: Settings = Settings()) -> dict:
-    """Options for ``report.analyze`` of the same steps: what the given models' loaders score."""
+def scores(steps: DataFrame, embed: Callable | None = None, judge: Callable | None = None, anchors: DataFrame | None = None, settings: Settings = Settings(), embedded: ScoreTable | None = None, judgements: ScoreTable | None = None) -> dict:
+    """Options for ``report.analyze`` of the same steps: what the given models' loaders score.
+
+    ``embedded`` and ``judgements`` are tables of earlier scores of these models.
+    """
     own, out, notes = densified(steps), {}, []
     if embed is not None:
-        out["drift"], out["failures"] = model_drift(own, embed, None if anchors is None else anchors.select("run_id", "texts"))
+        out["drift"], out["failures"] = model_drift(own, embed, None if anchors is None else anchors.select("run_id", "texts"), embedded)
     if judge is not None:
-        out["judged"], said = model_entailment(own, judge)
+        out["judged"], said = model_entailment(own, judge, judgements)
         notes.append(said)
         if anchors is not None:
-            out["covered"], said = model_coverage(own, anchors, judge, settings)
+            out["covered"], said = model_coverage(own, anchors, judge, settings, judgements)
             notes.append(said)
     if notes:
         out["notes"] = notes[0] if len(notes) == 1 else notes[0].unionByName(notes[1])

@@ -7,12 +7,15 @@ again row by row, and rows that fail carry the message.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let, word_set, words
+from ..sources.shared import written
 
 EMBEDDED = "vector array<double>, error string"
 JUDGED = "entailment double, neutral double, contradiction double, error string"
@@ -52,10 +55,52 @@ def _guarded(call: Callable, rows: list, empty):
         return out, errors
 
 
-def embed_with(df: DataFrame, text: str, load: Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]]) -> DataFrame:
-    """``df`` with vector and error; each distinct text is embedded once.
+class ScoreTable:
+    """Scores of a model by the digest of what it scored, in a folder that executors share.
 
-    ``load`` makes the embedder, once a worker.
+    Only what the table lacks is scored, and added to it as a part of its own;
+    a part counts once it is whole.  What failed is not kept, so it is tried
+    again.  Each model has a folder of its own; a row that two analyses added
+    at the same time counts once.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, model: str):
+        self.spark, self.path = spark, f"{folder}/model={sha256(model.encode()).hexdigest()}"
+
+    def filled(self, rows: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``score(rows)`` for distinct ``rows``, which ``score`` returns with what it adds and an error."""
+        keys = rows.columns
+        part = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c))
+        digest = F.sha2(F.concat(*[part(c) for c in keys]), 256).alias("_digest")
+        asked = written(rows.select(*keys, digest), "asked")
+        known = self.known()
+        fresh = asked if known is None else asked.join(known.select("_digest"), "_digest", "left_anti")
+        fresh = written(score(fresh.select(*keys)).select("*", digest), "scores")
+        added = [c for c in fresh.columns if c not in (*keys, "_digest")]
+        good = fresh.where("error is null").select("_digest", *added)
+        if good.limit(1).count():
+            good.write.parquet(f"{self.path}/{uuid.uuid4().hex}")
+        failed = fresh.where("error is not null").select(*keys, *added)
+        known = self.known()
+        if known is None:
+            return failed
+        return asked.join(known.dropDuplicates(["_digest"]), "_digest").select(*keys, *added).unionByName(failed)
+
+    def known(self) -> DataFrame | None:
+        """All parts that are whole, each by its name: plans with different parts must not pass for the same scan."""
+        files = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        at = lambda *p: self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *p)))
+        if not files.exists(at()):
+            return None
+        names = sorted(s.getPath().getName() for s in files.listStatus(at()))
+        whole = [f"{self.path}/{n}" for n in names if files.exists(at(n, "_SUCCESS"))]
+        return self.spark.read.option("basePath", self.path).parquet(*whole) if whole else None
+
+
+def embed_with(df: DataFrame, text: str, load: Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]], kept: ScoreTable | None = None) -> DataFrame:
+    """``df`` with vector and error; each distinct text is embedded once, and never again if it is in ``kept``.
+
+    ``load`` makes the embedder, once a worker, where there is something to embed.
     """
 
     def work(batches):
@@ -74,15 +119,16 @@ def embed_with(df: DataFrame, text: str, load: Callable[[], Callable[[Sequence[s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64())), pa.array(errors, pa.string())], ["_text", "vector", "error"])
 
     texts = df.select(F.col(text).alias("_text")).where("_text is not null").distinct()
-    done = texts.mapInArrow(work, f"_text string, {EMBEDDED}")
+    score = lambda rows: rows.mapInArrow(work, f"_text string, {EMBEDDED}")
+    done = score(texts) if kept is None else kept.filled(texts, score)
     return df.join(done, df[text] == done["_text"], "left").drop("_text")
 
 
-def judge_with(df: DataFrame, premise: str, hypothesis: str, load: Callable[[], Callable[[Sequence[tuple[str, str]]], Sequence[Sequence[float]]]]) -> DataFrame:
+def judge_with(df: DataFrame, premise: str, hypothesis: str, load: Callable[[], Callable[[Sequence[tuple[str, str]]], Sequence[Sequence[float]]]], kept: ScoreTable | None = None) -> DataFrame:
     """``df`` with entailment, neutral, contradiction and error from a model of logits or shares.
 
     ``load`` makes a function from pairs to (entailment, neutral, contradiction).
-    Each distinct pair is judged once.
+    Each distinct pair is judged once, and never again if it is in ``kept``.
     """
 
     def work(batches):
@@ -101,7 +147,8 @@ def judge_with(df: DataFrame, premise: str, hypothesis: str, load: Callable[[],
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([x[i] for x in found], pa.float64()) for i in range(3)], pa.array(errors, pa.string())], ["_p", "_h", "entailment", "neutral", "contradiction", "error"])
 
     pairs = df.select(F.col(premise).alias("_p"), F.col(hypothesis).alias("_h")).where("_p is not null and _h is not null").distinct()
-    done = pairs.mapInArrow(work, f"_p string, _h string, {JUDGED}")
+    score = lambda rows: rows.mapInArrow(work, f"_p string, _h string, {JUDGED}")
+    done = score(pairs) if kept is None else kept.filled(pairs, score)
     return df.join(done, (df[premise] == done["_p"]) & (df[hypothesis] == done["_h"]), "left").drop("_p", "_h")
 
 

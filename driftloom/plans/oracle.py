@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators.evaluate import EXPECTED
 from ..operators.inject import ASSURANCE, CERTAIN, ENTITIES, FIGURE, LEAPS, REPORTED, SWAPS
-from . import wider
+from . import scoring, wider
 
 STEPS = """steps as (
   select cast(conv_id as varchar) as run_id, conv_id, turn, role, text, cast(turn as varchar) as step_id,
@@ -398,6 +398,21 @@ select run_id, ordinal, cast(turn as varchar) as step_id, {_r6('drift_prev', 'dr
     out["long_run_scores"] = f"""{whole}, {VERDICT}, {classified()}, {origin}, {consecutive},
 ogs as (select run_id, count(*) as n_origins, arg_min(step_id, ordinal) as first_origin, max(round(case when k = 1 then least(1.0::double, plain + 0.1) else plain end, 3)) as top_confidence from att group by run_id)
 select run_id, {_r6('retrieval', 'inference', 'context_poisoning', 'confidence_inflation')}, n_origins, first_origin, top_confidence, codes, consecutive from cls join ogs using (run_id) join ver using (run_id) join con using (run_id)"""
+    counts = ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::double" for c in scoring.LETTERS)
+    out["model_scores_kept"] = f"""with {STEPS},
+v as (select run_id, ordinal, text, [{counts}, 1.0::double] as v from steps),
+p as (select *, lag(v) over w as pv, first(v) over w as av, lag(text) over w as pt from v window w as (partition by run_id order by ordinal)),
+s as (select run_id, ordinal, 1 - list_cosine_similarity(v, pv) as drift_prev, case when ordinal > 0 then 1 - list_cosine_similarity(v, av) end as drift_anchor, least(length(pt), length(text))::double / greatest(length(pt), length(text)) as entailment from p)
+select run_id, ordinal, {_r6('drift_prev', 'drift_anchor')}, case when ordinal > 0 then round(entailment, 6) + 0.0 end as entailment, true as scored, 0::bigint as scored_again from s"""
+    unjudged = lambda p, h: f"(length({p}) % {scoring.ODD} = 0 or length({p}) % {scoring.ROUND} = 0 and length({h}) < 200)"
+    out["failure_scopes"] = f"""with {STEPS},
+p as (select *, lag(text) over (partition by run_id order by ordinal) as pt from steps),
+fact as (select run_id, unnest({FACTS}[:12]) as f from steps where ordinal = 0),
+a as (select run_id, count(*) as n, bool_or(length(text) > {scoring.TOO_LONG}) as failed, coalesce(bool_or(pt is not null and {unjudged('pt', 'text')}), false) as unjudged, bool_or(pt is not null) as pairs from p group by run_id),
+c as (select s.run_id, bool_or({unjudged('s.text', 'f.f')}) as uncovered from steps s join fact f using (run_id) group by s.run_id)
+select run_id, failed, case when failed then 'ValueError: text too long' else '' end as why, failed or unjudged or not pairs as degraded, case when failed then 0 else n end as n_steps,
+  not failed and uncovered is not null and not uncovered as covered, unjudged, coalesce(uncovered, false) as uncovered, case when not unjudged and pairs then 'model' else '' end as nli
+from a left join c using (run_id)"""
     out["push_log_replay"] = f"""with ev as (select cast(conv_id as varchar) as run_id, ((conv_id * 7 + turn * 5) % 3 * 3 + turn) * 100 + turn as idx, turn as pos, 's' || cast(turn // 2 as varchar) as step_id, case when role = 'system' then ' ' else text end as text from conversations),
 far as (select *, coalesce(pos <= max(pos) over (partition by run_id order by idx rows between unbounded preceding and 1 preceding), false) as late, not regexp_matches(text, '\\S') as blank from ev),
 steps as (select *, row_number() over (partition by run_id order by idx) - 1 as ordinal from far where not late and not blank),

@@ -15,7 +15,7 @@ from ..operators import attribute, calibrate, classify, drift, evaluate, inject,
 from ..operators.steps import as_steps
 from ..sources.shared import shared_dir
 from ..streaming.observer import logged, replay
-from . import wider
+from . import scoring, wider
 from .demo import LEXICON, PROFILE, SETTINGS, all_steps, r6, steps, table, vectors
 
 TRUTH = 3
@@ -320,6 +320,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 QUERIES |= wider.QUERIES
+QUERIES |= scoring.QUERIES
 QUERIES |= {f"inject_{k.split('_', 1)[0] if k != 'context_swap' else 'swap'}_step": partial(_injected, k) for k in ("causal_leap", "context_swap", "certainty_inflation", "entity_distortion")}
 
 
