@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The thirteen operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 

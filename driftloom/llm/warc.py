@@ -2,10 +2,11 @@
 
 Two tables make the archive: ``payloads`` holds each payload's bytes once under
 its SHA-256, and ``heads`` holds the exact header bytes of every record with
-that digest.  ``records`` joins them to the original records; a revisit has no
-body, so only responses fetch payloads.  What is known of a payload besides its
-bytes has a fixed width and is joined to records apart, so neither writing nor
-reading moves the bytes of a payload once for each of its records.
+that digest.  ``records`` joins them to the original records, and ``read``
+parses what it gives; a revisit has no body, so only responses fetch payloads.
+What is known of a payload besides its bytes has a fixed width and is joined to
+revisits apart, so neither writing nor reading moves the bytes of a payload
+once for each of its records.
 """
 
 from __future__ import annotations
@@ -78,13 +79,13 @@ def _table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """head, record of each archived record: the WARC record as it was."""
+    """head, digest, record of each archived record: the WARC record as it was."""
     heads = _table(spark, f"{path}/heads")
     revisit = F.coalesce(_field(F.col("head"), "WARC-Type") == "revisit", F.lit(False))
     store = _table(spark, f"{path}/payloads").select("digest", "payload")
     end = F.lit(b"\r\n\r\n")
-    whole = heads.where(~revisit).join(store, "digest").select("head", F.concat("head", "payload", end).alias("record"))
-    return whole.unionByName(heads.where(revisit).select("head", F.concat("head", end).alias("record")))
+    whole = heads.where(~revisit).join(store, "digest").select("head", "digest", F.concat("head", "payload", end).alias("record"))
+    return whole.unionByName(heads.where(revisit).select("head", "digest", F.concat("head", end).alias("record")))
 
 
 def _field(head: Column, name: str) -> Column:
@@ -94,33 +95,46 @@ def _field(head: Column, name: str) -> Column:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record, from the archive alone.
+    """One row for each record, from the records as ``records`` rebuilds them.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri,
-    url, and ``whole``: whether the stored bytes have their digest, and header
-    and payload agree in digest and length.  Digests and lengths are taken of
-    the stored bytes, once a payload.
+    url, and ``whole``: whether a record has its end, its header and its body
+    agree in length and digest, and the body has the digest that it is stored
+    under; of a revisit, whether header and the response's body agree.  An
+    empty archive has no rows.
     """
     page = lambda c: F.try_to_number(F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1), F.lit("S9999999999999999999")).cast("long")
-    head = F.col("head")
-    facts = _table(spark, f"{path}/payloads").select(
-        "digest", "records", base32(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"), (F.sha2("payload", 256) == F.col("digest")).alias("sound")
-    )
-    heads = _table(spark, f"{path}/heads")
-    own = lookup(heads, cut(facts, "facts"), "digest", "records", heads.count())
-    kind = _field(head, "WARC-Type")
-    length = F.when(kind == "revisit", F.lit(0).cast("long")).otherwise(F.col("bytes"))
-    given = F.decode(F.unbase64(_field(head, "Target-URI-Base64")), "UTF-8")
-    return own.select(
-        page(_field(head, "WARC-Record-ID")).alias("page_id"),
-        F.col("bytes").alias("payload_bytes"),
-        F.col("sha1").alias("payload_digest"),
-        kind.alias("record_type"),
-        page(_field(head, "WARC-Refers-To")).alias("refers_to"),
-        _field(head, "WARC-Target-URI").alias("target_uri"),
-        F.coalesce(given, F.when(F.decode(head, "UTF-8").contains("\r\nTarget-URI-Base64: "), F.lit("")), _field(head, "WARC-Target-URI")).alias("url"),
-        (F.col("sound") & (F.concat(F.lit("sha1:"), F.col("sha1")) == _field(head, "WARC-Payload-Digest")) & (length.cast("string") == _field(head, "Content-Length"))).alias("whole"),
+    record = F.col("record")
+    # The first empty line ends the header: no value in it has a line end.
+    header = F.substring_index(F.decode(record, "UTF-8"), END * 2, 1)
+    split = F.octet_length(F.encode(header, "UTF-8")) + len(END * 2)
+    body = F.substr(record, split + 1, F.octet_length(record) - split - len(END * 2))
+    ended = F.substr(record, F.octet_length(record) - 3, F.lit(4)) == F.lit(b"\r\n\r\n")
+    head = F.substr(record, F.lit(1), split)
+    parsed = records(spark, path).select("digest", head.alias("head"), ended.alias("ended"), F.octet_length(body).cast("long").alias("length"), base32(F.sha1(body)).alias("own"), F.sha2(body, 256).alias("sha256"))
+    given, escaped = _field(F.col("head"), "WARC-Target-URI"), _field(F.col("head"), "Target-URI-Base64")
+    empty = F.decode("head", "UTF-8").contains(END + "Target-URI-Base64: ")
+    parsed = parsed.select(
+        "digest",
+        page(_field(F.col("head"), "WARC-Record-ID")).alias("page_id"),
+        _field(F.col("head"), "WARC-Type").alias("record_type"),
+        page(_field(F.col("head"), "WARC-Refers-To")).alias("refers_to"),
+        given.alias("target_uri"),
+        F.coalesce(F.decode(F.unbase64(escaped), "UTF-8"), F.when(empty, F.lit("")), given).alias("url"),
+        F.regexp_extract(_field(F.col("head"), "WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("told"),
+        (F.col("ended") & (F.col("length").cast("string") == _field(F.col("head"), "Content-Length"))).alias("sound"),
+        "length", "own", (F.col("sha256") == F.col("digest")).alias("stored"),
     )
+    parsed = cut(parsed, "parsed")
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "url", "whole"]
+    responses = parsed.where(~revisit).withColumns({"payload_bytes": F.col("length"), "payload_digest": F.col("own"), "whole": F.col("sound") & F.col("stored") & (F.col("told") == F.col("own"))})
+    # What is known of a payload, with the number of its revisits.
+    again = parsed.where(revisit).drop("length", "own", "stored")
+    facts = parsed.groupBy("digest").agg(F.max(F.when(~revisit, F.struct("length", "own", "stored"))).alias("f"), F.count_if(revisit).alias("many")).where("many > 0")
+    revisits = lookup(again, cut(facts, "facts"), "digest", "many", again.count())
+    revisits = revisits.withColumns({"payload_bytes": F.col("f.length"), "payload_digest": F.col("f.own"), "whole": F.coalesce(F.col("sound") & F.col("f.stored") & (F.col("told") == F.col("f.own")), F.lit(False))})
+    return responses.select(columns).unionByName(revisits.select(columns))
 
 
 def new_path(spark: SparkSession) -> str:

@@ -41,3 +41,17 @@ def test_least_bytes_repeats_and_nothing(spark, tmp_path):
     assert got == [(1, "response"), (2, "response"), (3, "revisit"), (4, "response"), (4, "response")]
     spark.createDataFrame([], KIND).write.parquet(f"{tmp_path}/pages.parquet")
     assert op3_warc(spark, str(tmp_path)).collect() == []
+
+
+def test_what_is_changed_in_the_archive_is_told(spark, tmp_path):
+    """The rows come from the rebuilt records: a body or a header that was changed shows in them."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "u", "<p>\r\n\r\nlines", 0, ""), (2, "u", "same", 0, ""), (3, "u", "same", 0, ""), (4, "é", "last", 0, "")]
+    path = archive(spark, tmp_path, rows)
+    assert all(r.whole for r in warc.read(spark, path).collect())
+    spark.read.parquet(f"{path}/payloads").withColumn("payload", F.when(F.col("payload") == F.lit(b"same"), F.lit(b"sane")).otherwise(F.col("payload"))).write.parquet(f"{tmp_path}/b/payloads")
+    spark.read.parquet(f"{path}/heads").withColumn("head", F.encode(F.replace(F.decode("head", "UTF-8"), F.lit("Content-Length: 12"), F.lit("Content-Length: 11")), "UTF-8")).write.parquet(f"{tmp_path}/b/heads")
+    got = {r.page_id: r for r in warc.read(spark, f"{tmp_path}/b").collect()}
+    assert {i: r.whole for i, r in got.items()} == {1: False, 2: False, 3: False, 4: True}
+    assert got[3].payload_digest == got[2].payload_digest == base64.b32encode(hashlib.sha1(b"sane").digest()).decode()
