@@ -57,7 +57,8 @@ def format_conversations(turns: DataFrame, learnt: str = LEARNT) -> DataFrame:
     null conv_id form one conversation.  ``loss_spans`` has (start, end) of
     each text of the role ``learnt`` in ``formatted``, in code points, end
     exclusive; markers are never in one.  A conversation must fit in memory,
-    as its formatted text is one value.
+    as its formatted text is one value.  No rows give none.  Other columns are
+    ignored, whatever their names.
     """
     one = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = turns.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))

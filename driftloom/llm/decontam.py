@@ -79,6 +79,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: f
     hash of the text that tells rows with one doc_id apart.  Null and empty
     texts have no words.  Items with a null item_id are not looked for.  Repeated rows of
     ``docs`` are found once; repeated items with one item_id count as one each.
+    Very long texts and items are compared whole.  An empty table on either
+    side gives no rows.  Other columns are ignored, whatever their names.
     """
     items = columns_apart(benchmark, "item_id", "text").where("item_id is not null").select("item_id", words(F.col("text")).alias("words")).distinct()
     items = cut(items.withColumn("item_mark", F.xxhash64("words")), "items")
@@ -121,7 +123,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: f
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """``docs`` without the rows whose text is contaminated by any item."""
+    """``docs`` without the rows whose text is contaminated by any item.
+
+    Null and empty texts stay, repeated rows go or stay together, very long
+    texts are read whole.  All columns stay, whatever their names.  No rows
+    give none; without items all stay.
+    """
     bad = cut(overlaps(docs, benchmark, least, share).select("doc_id", "mark").distinct(), "contaminated")
     mark = F.xxhash64(F.coalesce(F.col("d.text"), F.lit("")))
     if bounded(bad, HITS):

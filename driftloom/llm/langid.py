@@ -239,6 +239,8 @@ def predict(docs: DataFrame, model) -> DataFrame:
 
     ``und`` with score 0 where the text is null or has no letter, or where no
     language was learnt.  The score is the language's share of the likelihood.
+    Very long texts are scored whole, in parts that are added up; no rows give
+    none; other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -297,7 +299,9 @@ def identify(docs: DataFrame, path: str = VOCABULARY, docs_per_lang: int = TRAIN
     """doc_id, held_out, lang_pred, score: learnt from the rows not held out, for all.
 
     A row is held out where crc32 of its doc_id as text leaves 2 by 4; a null
-    doc_id is not.  Repeated rows are rows of their own.
+    doc_id is not.  Repeated rows are rows of their own.  Texts are scored
+    whole, however long.  No rows give none.  Columns besides doc_id, text and
+    lang are ignored, whatever their names.
     """
     out = held_out(F.col("doc_id"), 4, 2)
     model = train(docs.where(~out), path, docs_per_lang)

@@ -248,6 +248,9 @@ def find(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST) -> DataFra
     counts by what lies in them.  Null and empty texts have no spans; very long
     ones are read whole.  Repeated rows are rows of their own and found alike.
     No rows give none.  Other columns are not looked at, whatever their names.
+    Candidates for discovery are runs of non-blanks and groups of two to eight
+    runs of digits, behind a label of at most 32 letters: longer groups and
+    labels are not discovered.  Base spans have no such bounds.
     """
     text = F.coalesce("text", F.lit(""))
     own = columns_apart(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark"))

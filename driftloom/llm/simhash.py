@@ -173,7 +173,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
 
     Texts that are null or have no word get fingerprint zero and link like any
     other.  Rows with a null doc_id are kept; they lend their component no id.
-    Repeated rows stay as they are.  Columns besides doc_id and text are ignored.
+    Repeated rows stay as they are.  Very long texts give all their shingles.
+    No rows give none.  Columns besides doc_id and text are ignored, whatever
+    their names.
     """
     prints = cut(fingerprints(docs, words), "prints")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
@@ -188,8 +190,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     """``docs`` without the rows that have a smaller doc_id in their component.
 
-    Rows with a null doc_id, which nothing can name, stay.  All columns stay,
-    whatever their names.
+    Rows with a null doc_id, which nothing can name, stay.  Null and empty texts
+    are one component, very long ones are compared whole.  All columns stay,
+    whatever their names.  No rows give none.
     """
     gone = near_duplicates(docs, words, distance).where("doc_id > component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -428,7 +428,11 @@ def predict(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD)
 def detect(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, score, predicted: learnt from the rows not held out, for all.
 
-    A row is held out where crc32 of its doc_id as text leaves 1 by 3.
+    A row is held out where crc32 of its doc_id as text leaves 1 by 3; a null
+    doc_id is not.  Null and empty texts have a score like any other; very long
+    ones are scored in all their windows; repeated rows are rows of their own.
+    Without a label to learn from all scores are alike.  No rows give none.
+    Columns besides doc_id and text are no inputs, whatever their names.
     """
     out = held_out(F.col("doc_id"), 3, 1)
     net = learn(docs.where(~out), labels.where(~out), most)
