@@ -15,6 +15,8 @@ from .steps import by_run
 
 #: Parts of a stratum that are ranked apart.
 PARTS = 64
+#: Items of a piece that one task puts in order.
+PIECE = 100_000
 
 
 def first_flagged(signals: DataFrame, flag: str = "flagged") -> DataFrame:
@@ -246,15 +248,20 @@ def stratified_sample(items: DataFrame, key: str, strata: list[str], size: int,
     return rows.select(*items.columns)
 
 
-def balanced_split(items: DataFrame, taken: DataFrame, key: str, strata: list[str], parts: int = 2, seed: int = 1) -> DataFrame:
+def balanced_split(items: DataFrame, taken: DataFrame, key: str, strata: list[str], parts: int = 2, seed: int = 1, most: int = PIECE) -> DataFrame:
     """The items not ``taken`` with ``part``: dealt in turn, stratum after stratum.
 
     A running number needs no global sort of the items: in the order of their
     lots a stratum is cut by the first digits of the lot, and each piece starts
-    where those before it end.
+    where those before it end.  The lots are even, so a stratum has as many
+    digits as leave about half of ``most`` items to a piece.
     """
     lot = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    rest = items.join(taken.select(key), key, "left_anti").withColumn("_lot", lot).withColumn("_piece", F.substring("_lot", 1, 2))
+    rest = items.join(taken.select(key), key, "left_anti").withColumn("_lot", lot)
+    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("_n") * 2.0 / most))).cast("int").alias("_digits")
+    deep = rest.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(s).alias(f"_t{i}") for i, s in enumerate(strata)], digits)
+    here = reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(f"_t{i}")) for i, s in enumerate(strata)])
+    rest = rest.join(deep, here).withColumn("_piece", F.substr("_lot", F.lit(1), F.col("_digits"))).drop("_digits", *[f"_t{i}" for i in range(len(strata))])
     sizes = rest.groupBy(*strata, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy(*strata, "_piece")) - F.col("_n"))
     starts = starts.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_piece").alias("_of"), "_start")
