@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.vectors import entailment_label, softmax
 from ..operators import attribute, calibrate, classify, drift, evaluate, inject, report, signals, verdict
 from ..operators.steps import densified, skip_notes
-from ..sources import datasets, ingest, sinks
+from ..sources import datasets, folder, ingest, sinks
 from .demo import PROFILE, SETTINGS, all_steps, r6, steps, table
 
 #: Anchors are split into facts of 25 letters or more, and omission counts for flags and verdicts.
@@ -284,6 +284,19 @@ def payload_files(spark, sf_dir):
     return rows.select("run_id", F.col("pos").cast("long").alias("pos"), "step_id", "role", "text")
 
 
+def files_put_aside(spark, sf_dir):
+    """Runs as the contents of files, arrays that are cut off where the last turn is a user's: what is read, and what is put aside."""
+    own = table(spark, sf_dir, "conversations")
+    one = F.struct("turn", F.to_json(F.struct(F.col("turn").alias("step_id"), "text", "role")).alias("j"))
+    files = own.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["j"]).alias("j"), F.max_by("role", "turn").alias("last"))
+    text = F.concat(F.lit("["), F.array_join("j", ","), F.when(F.col("last") == "user", "").otherwise("]"))
+    good, aside = folder.sorted_out(files.select(F.concat(F.col("conv_id").cast("string"), F.lit(".json")).alias("run_id"), text.alias("value")))
+    rows, notes = ingest.from_payloads(ingest.payloads_of(good))
+    counts = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_steps"))
+    told = notes.unionByName(aside).groupBy("run_id").agg(F.max("message").alias("message"))
+    return counts.join(told, "run_id", "full").select("run_id", F.coalesce("n_steps", F.lit(0)).alias("n_steps"), F.coalesce("message", F.lit("")).alias("message"))
+
+
 def report_documents(spark, sf_dir):
     """Reports as JSON, read back."""
     _, reports = report.analyze(all_steps(spark, sf_dir), SETTINGS, buckets=None)
@@ -297,6 +310,6 @@ QUERIES = {
     for f in (
         omission_signals, flag_reasons, verdict_reasons, drift_only_signals, drift_only_scores, drift_buckets, softmax_labels, truncated_steps, squeezed_texts, text_predicates,
         skip_notes_query, report_notes, report_reasons, signal_ranking, holdout_calibrated, omission_before_after, attribution_rescoring, rule_sweep, threshold_sweep_roles,
-        ingested_steps, ingest_notes, payload_files, report_documents, detection_by_kind, dataset_clean, dataset_injected, dataset_labelled,
+        ingested_steps, ingest_notes, payload_files, files_put_aside, report_documents, detection_by_kind, dataset_clean, dataset_injected, dataset_labelled,
     )
 }
