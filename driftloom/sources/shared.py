@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folder of a local session, if it needed one.
+_OWN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or what setCheckpointDir was given; a temporary folder only for a local session."""
+    """``spark.checkpoint.dir``, or what setCheckpointDir was given; only a local session gets a temporary folder, which goes with the process."""
     given = spark.sparkContext._jsc.sc().getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
     if not path:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="shared_")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="shared_"))
+            atexit.register(shutil.rmtree, _OWN[0], True)
+        path = "file://" + _OWN[0]
     return path
 
 
