@@ -274,6 +274,7 @@ select rule, count(*) filter (where truth) as n_true, count(*) filter (where tru
   case k when 1 then 'step at position ' || pos || ': missing step_id, assigned ' || pos when 2 then 'step s' || turn || ': text is not a string, treated as empty' when 3 then 'payload at position ' || pos || ' ignored: not an object'
   when 4 then 'step ' || turn || ': missing text (will be skipped in measurement)' else 'step ' || turn || ': metadata is not an object, kept under its name' end as message from p where k > 0""",
         "payload_files": "select conv_id || case when conv_id % 2 = 0 then '.jsonl' else '.json' end as run_id, row_number() over (partition by conv_id order by turn) - 1 as pos, cast(turn as varchar) as step_id, role, text from conversations",
+        "array_ranges": "select cast(conv_id as varchar) as run_id, row_number() over (partition by conv_id order by turn) - 1 as pos, cast(turn as varchar) as step_id, role, text from conversations",
         "files_put_aside": """select conv_id || '.json' as run_id, case when arg_max(role, turn) = 'user' then 0 else count(*) end as n_steps,
 case when arg_max(role, turn) = 'user' then 'file put aside: not a JSON array of steps: ' || conv_id || '.json' else '' end as message from conversations group by conv_id""",
         "report_documents": f"{sig}, {VERDICT}, s as (select run_id, count(*) as n_steps, bool_or(entailment is not null) as judged, arg_min(step_id, ordinal) as first_step from flg group by run_id) select run_id, codes <> '' as verdict, n_steps, case when judged then 'word overlap' end as nli, first_step from ver join s using (run_id)",

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.vectors import entailment_label, softmax
 from ..operators import attribute, calibrate, classify, drift, evaluate, inject, report, signals, verdict
 from ..operators.steps import densified, skip_notes
-from ..sources import datasets, folder, ingest, sinks
+from ..sources import arrays, datasets, folder, ingest, sinks
 from .demo import PROFILE, SETTINGS, all_steps, r6, steps, table
 
 #: Anchors are split into facts of 25 letters or more, and omission counts for flags and verdicts.
@@ -284,6 +284,17 @@ def payload_files(spark, sf_dir):
     return rows.select("run_id", F.col("pos").cast("long").alias("pos"), "step_id", "role", "text")
 
 
+def array_ranges(spark, sf_dir):
+    """Runs as arrays whose text comes in pieces between commas, seven to a block, and the steps found in them."""
+    own = table(spark, sf_dir, "conversations")
+    one = F.struct("turn", F.to_json(F.struct(F.col("turn").alias("step_id"), "text", "role")).alias("j"))
+    files = own.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["j"]).alias("j"))
+    text = F.concat(F.lit("["), F.array_join("j", ", "), F.lit("]"))
+    pieces = files.select(F.col("conv_id").cast("string").alias("run_id"), F.posexplode(F.split(text, ",", -1)).alias("place", "value"))
+    rows, _ = ingest.from_payloads(arrays.elements(pieces.withColumn("block", F.floor(F.col("place") / 7))))
+    return rows.select("run_id", F.col("pos").cast("long").alias("pos"), "step_id", "role", "text")
+
+
 def files_put_aside(spark, sf_dir):
     """Runs as the contents of files, arrays that are cut off where the last turn is a user's: what is read, and what is put aside."""
     own = table(spark, sf_dir, "conversations")
@@ -310,6 +321,6 @@ QUERIES = {
     for f in (
         omission_signals, flag_reasons, verdict_reasons, drift_only_signals, drift_only_scores, drift_buckets, softmax_labels, truncated_steps, squeezed_texts, text_predicates,
         skip_notes_query, report_notes, report_reasons, signal_ranking, holdout_calibrated, omission_before_after, attribution_rescoring, rule_sweep, threshold_sweep_roles,
-        ingested_steps, ingest_notes, payload_files, files_put_aside, report_documents, detection_by_kind, dataset_clean, dataset_injected, dataset_labelled,
+        ingested_steps, ingest_notes, payload_files, array_ranges, files_put_aside, report_documents, detection_by_kind, dataset_clean, dataset_injected, dataset_labelled,
     )
 }
