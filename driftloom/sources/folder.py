@@ -48,6 +48,17 @@ class GrowingFolder:
         for name, rows in (("steps", steps), ("notes", notes.unionByName(put_aside))):
             rows.write.mode("overwrite").parquet(f"{self.base}/{name}/batch={batch}")
 
+    def batches(self) -> list[int]:
+        """Numbers of the batches that are written as a whole: notes come last."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/notes/batch=*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or [])
+
+    def batch(self, number: int) -> tuple[DataFrame, DataFrame]:
+        """(steps, notes) of one batch."""
+        steps, notes = (self.spark.read.parquet(f"{self.base}/{name}/batch={number}") for name in ("steps", "notes"))
+        return steps, notes
+
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{name}").drop("batch")
 
