@@ -5,8 +5,8 @@ gives the pieces between these.  Whether a comma separates two elements of the
 outermost array depends on all that is before it: is it in a string, and how
 deep?  Both are found by combining prefixes.  A piece tells how many quotes it
 has and by how much it changes the depth if it starts inside a string and if it
-doesn't; pieces add up within their block, blocks within their file, so no task
-has more than a block.  The pieces of an element are put together again.
+doesn't; pieces add up within their block, blocks within their file, so a task
+puts the pieces of a block in order, or a row for each block of a file.  The pieces of an element are put together again.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .ingest import from_payloads
 
+#: A block has at most two to this power of pieces, however short they are.
+PIECES = 15
+
 
 def _deeper(text: Column) -> Column:
     return F.length(F.translate(text, "]}", "")) - F.length(F.translate(text, "[{", ""))
@@ -85,9 +88,10 @@ def elements(pieces: DataFrame) -> DataFrame:
 
 
 def pieces_of(spark: SparkSession, path: str) -> DataFrame:
-    """run_id, block, place, value of the files under a path; a block has ``spark.sql.files.maxPartitionBytes`` at most."""
-    rows = spark.read.option("lineSep", ",").text(path)
-    return rows.select(F.col("_metadata.file_path").alias("run_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    """run_id, block, place, value of the files under a path; a block is a part of one of Spark's, by ``PIECES``."""
+    rows = spark.read.option("lineSep", ",").text(path).select(
+        F.col("_metadata.file_path").alias("run_id"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), "value")
+    return rows.select("run_id", F.struct("start", F.shiftright("place", PIECES).alias("part")).alias("block"), "place", "value")
 
 
 def read_arrays(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

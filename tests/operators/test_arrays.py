@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from driftloom.sources import arrays
 from driftloom.sources.arrays import elements, read_arrays
 from driftloom.sources.ingest import read_files
 
@@ -15,8 +16,9 @@ def rows_of(steps):
     return sorted((r.run_id.rsplit("/", 1)[1], r.pos, r.step_id or "", r.text, r.role or "", r.meta) for r in steps.selectExpr("run_id", "pos", "step_id", "text", "role", "to_json(metadata) meta").collect())
 
 
-@pytest.mark.parametrize("size", [1, 3, 17, 1 << 20])
-def test_blocks_of_any_size_give_the_same_rows(spark, tmp_path, size):
+@pytest.mark.parametrize("size, power", [(1, 15), (17, 1), (1 << 20, 0), (1 << 20, 15)])
+def test_blocks_of_any_size_give_the_same_rows(spark, tmp_path, monkeypatch, size, power):
+    monkeypatch.setattr(arrays, "PIECES", power)
     (tmp_path / "one.json").write_text(json.dumps(STEPS, ensure_ascii=False))
     (tmp_path / "two.json").write_text(json.dumps(STEPS[:3], indent=1))
     (tmp_path / "none.json").write_text(" [ ]\n")
