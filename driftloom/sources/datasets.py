@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.inject import KINDS, inject
+from ..functions.text import let
+from ..operators.inject import KINDS, drawn_index, injected
 
 
 def _nested(steps: DataFrame, *fields: str) -> DataFrame:
@@ -25,18 +26,25 @@ def clean_split(steps: DataFrame, domains: DataFrame) -> DataFrame:
 def injected_split(steps: DataFrame, domains: DataFrame, seed: Callable[[Column], Column], kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """A row for each run and kind of error: the changed steps and where and how they were changed.
 
-    ``seed`` tells a run's seed from its run_id.
+    ``domains`` is (run_id, domain), a row a run.  ``seed`` tells a run's seed
+    from its run_id.  Runs of fewer than three steps have no rows.
     """
-    out = None
-    for kind in kinds:
-        changed, records = inject(steps, kind, seed(F.col("run_id")))
-        rows = _nested(changed, "step_id", "text").join(records, "run_id").join(domains.select("run_id", "domain"), "run_id", "left")
-        rows = rows.select(
-            F.concat("run_id", F.lit(f"--{kind}")).alias("id"), F.col("run_id").alias("source_id"), "domain", F.col("kind").alias("injection_kind"),
-            F.col("step_id").alias("origin_step_id"), F.col("step_index").alias("origin_step_index"), "original_text", "injected_text", "steps", seed(F.col("run_id")).alias("seed"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    parts = steps.select("run_id", F.lit(None).cast(domains.schema["domain"].dataType).alias("domain"), F.struct("pos", "step_id", "text").alias("step"))
+    parts = parts.unionByName(domains.select("run_id", "domain", F.lit(None).cast(parts.schema["step"].dataType).alias("step")))
+    # One aggregation puts a run together; its errors are columns of that row, so neither windows nor joins sort the texts again.
+    runs = parts.where("run_id is not null").groupBy("run_id").agg(F.max("domain").alias("domain"), F.array_sort(F.collect_list("step")).alias("s")).where("size(s) > 2")
+    own = seed(F.col("run_id"))
+
+    def error(kind: str) -> Column:
+        changed = lambda at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), injected(F.get("s", at)["text"], kind, own, F.col("run_id")).alias("text"))
+        return let(drawn_index(F.size("s"), kind, own, F.col("run_id")).cast("int"), changed)
+
+    rows = runs.select("run_id", "domain", "s", F.explode(F.array(*map(error, kinds))).alias("e")).withColumn("o", F.get("s", F.col("e.at")))
+    told = F.transform("s", lambda x, i: F.struct(x["step_id"].alias("step_id"), F.when(i == F.col("e.at"), F.col("e.text")).otherwise(x["text"]).alias("text")))
+    return rows.select(
+        F.concat("run_id", F.lit("--"), "e.kind").alias("id"), F.col("run_id").alias("source_id"), "domain", F.col("e.kind").alias("injection_kind"),
+        F.col("o.step_id").alias("origin_step_id"), F.col("o.pos").alias("origin_step_index"), F.col("o.text").alias("original_text"), F.col("e.text").alias("injected_text"), told.alias("steps"), own.alias("seed"),
+    )
 
 
 def labelled_split(steps: DataFrame, chains: DataFrame, labels: DataFrame, passes: DataFrame) -> DataFrame:
