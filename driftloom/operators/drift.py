@@ -22,15 +22,16 @@ def _ended(df: DataFrame, own_anchor: bool) -> DataFrame:
     return df.withColumn("combined_drift", F.coalesce(mean_present(F.col("drift_prev"), F.col("drift_anchor")), F.lit(0.0)))
 
 
-def bag_drift(steps: DataFrame, anchors: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+def bag_drift(steps: DataFrame, anchors: DataFrame | None = None, buckets: int | None = None, dealt: bool = False) -> DataFrame:
     """run_id, ordinal, drift_prev, drift_anchor, combined_drift of densified steps.
 
     A step's vector counts its words or, with ``buckets``, its words' crc32 by
     that many.  The anchor is the run's first step or, for runs in ``anchors``
     (run_id, texts: array of string), the mean of those texts' vectors.
+    ``dealt`` steps are partitioned by run already and are not moved again.
     """
     term = lambda w: F.crc32(w) % buckets if buckets else w
-    counts = steps.repartition("run_id").select("run_id", "ordinal", F.explode_outer(F.transform(words(F.col("text")), term)).alias("term"))
+    counts = (steps if dealt else steps.repartition("run_id")).select("run_id", "ordinal", F.explode_outer(F.transform(words(F.col("text")), term)).alias("term"))
     counts = counts.groupBy("run_id", "ordinal", "term").agg(F.count("term").alias("n"))
     if anchors is not None:
         given = anchors.select("run_id", F.size("texts").alias("k"), F.explode("texts").alias("text"))

@@ -92,9 +92,14 @@ def consecutive_flags(signals: DataFrame) -> DataFrame:
 
 def ablation(signals: DataFrame, drift: float, aggregate: float) -> DataFrame:
     """Which variants of the detector fire in each run."""
+    return signals.groupBy("run_id").agg(*variants(drift, aggregate))
+
+
+def variants(drift: float, aggregate: float) -> list[Column]:
+    """Which variants of the detector fire: aggregations of a run's signals."""
     over = lambda c, t: F.coalesce(F.bool_or(F.col(c) > t), F.lit(False))
     prev, anchor = over("drift_prev", drift), over("drift_anchor", drift)
-    return signals.groupBy("run_id").agg(prev.alias("prev"), anchor.alias("anchor"), (prev | anchor).alias("dual"), over("aggregate", aggregate).alias("dual_nli"))
+    return [prev.alias("prev"), anchor.alias("anchor"), (prev | anchor).alias("dual"), over("aggregate", aggregate).alias("dual_nli")]
 
 
 def naive_baseline(first_last: DataFrame, threshold: float) -> DataFrame:

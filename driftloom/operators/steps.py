@@ -8,6 +8,8 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions.text import measurable
 
+#: Characters of text that one task is dealt; the rows of its words, which windows sort, are some forty times that in memory.
+CHARS = 1 << 22
 STEP_COLUMNS = ("run_id", "pos", "step_id", "agent_name", "role", "text")
 
 
@@ -25,6 +27,12 @@ def as_steps(df: DataFrame, run: str, pos: str, text: str = "text", role: str |
     )
 
 
+def dealt(steps: DataFrame, chars: int) -> DataFrame:
+    """``steps`` partitioned by run, over as many tasks as ``chars``, all their characters, take; a run is never cut."""
+    tasks = max(steps.sparkSession.sparkContext.defaultParallelism, -(-chars // CHARS))
+    return steps.repartition(tasks, "run_id")
+
+
 def densified(steps: DataFrame) -> DataFrame:
     """The measurable steps with ``ordinal``, from 0 by ``pos`` without gaps, and step_id as a number."""
     order = Window.partitionBy("run_id").orderBy("pos")

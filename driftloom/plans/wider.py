@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import entailment_label, softmax
 from ..operators import attribute, calibrate, classify, drift, evaluate, inject, report, signals, verdict
-from ..operators.steps import densified, skip_notes
+from ..operators.steps import dealt, densified, skip_notes
 from ..sources import arrays, datasets, folder, ingest, sinks
 from .demo import PROFILE, SETTINGS, all_steps, r6, steps, table
 
@@ -197,21 +197,22 @@ def threshold_sweep_roles(spark, sf_dir):
 def detection_by_kind(spark, sf_dir):
     """All kinds of errors in all runs: how each variant detects them and how they are told."""
     own = all_steps(spark, sf_dir)
-    changed = records = None
-    for kind in inject.KINDS:
-        rows, told = inject.inject(own, kind)
-        rows, told = (x.withColumn("run_id", F.concat("run_id", F.lit(f"--{kind}"))) for x in (rows, told))
-        changed = rows if changed is None else changed.unionByName(rows)
-        records = told if records is None else records.unionByName(told)
-    found = signals.signals(densified(changed), SETTINGS, buckets=None)
-    fired = evaluate.ablation(found, PROFILE.drift_threshold, PROFILE.aggregate_threshold).join(evaluate.naive_baseline(found, PROFILE.drift_threshold).select("run_id", "naive"), "run_id")
-    told = verdict.verdicts(found, PROFILE).where("verdict").select("run_id")
-    first = attribute.candidates(found, SETTINGS).join(told, "run_id", "left_semi").groupBy("run_id").agg(F.min("ordinal").alias("predicted"))
-    scores = classify.rule_scores(found, SETTINGS)
+    changed, records = inject.inject_each(own)
+    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    found = signals.signals(densified(dealt(changed, chars * len(inject.KINDS))), SETTINGS, buckets=None, dealt=True)
+    # All that is asked of a run comes from one aggregation, so its signals are made once.
+    rows = attribute.candidate_columns(classify.rule_columns(found, SETTINGS), SETTINGS)
+    runs = rows.groupBy("run_id").agg(
+        *verdict.extremes(), *classify.rule_aggregates(), *evaluate.variants(PROFILE.drift_threshold, PROFILE.aggregate_threshold),
+        F.coalesce(F.max_by("drift_anchor", "ordinal") > PROFILE.drift_threshold, F.lit(False)).alias("naive"), F.min(F.when(F.col("crossed") > 0, F.col("ordinal"))).alias("origin"),
+    )
+    scores = classify.scored(runs.withColumn("f", verdict.triggered(PROFILE)), SETTINGS)
     for k in classify.TYPES:
         scores = scores.withColumn(k, r6(k))
-    kinds = classify.classification(scores, SETTINGS.class_cutoff).join(told, "run_id", "left_semi").select("run_id", F.transform("classification", lambda c: c["cascade_type"]).alias("types"))
-    rows = records.select("run_id", "kind", F.col("step_index").alias("actual")).join(fired, "run_id").join(first, "run_id", "left").join(kinds, "run_id", "left")
+    told = F.size("f") > 0
+    types = F.transform(classify.chosen(SETTINGS.class_cutoff, "any_flagged"), lambda c: c["cascade_type"])
+    fired = scores.select("run_id", "prev", "anchor", "dual", "dual_nli", "naive", F.when(told, F.col("origin")).alias("predicted"), F.when(told & (F.col("n") > 0), types).alias("types"))
+    rows = records.select("run_id", "kind", F.col("step_index").alias("actual")).join(fired, "run_id")
     shares = ("dual_nli", "dual", "prev", "anchor", "naive", "exact", "within1", "right_type")
     return evaluate.detection_table(rows).select("kind", "n", *[r6(c).alias(c) for c in shares])
 
