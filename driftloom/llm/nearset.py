@@ -2,7 +2,9 @@
 
 Two texts are near-duplicates if the sets of their ``WORDS``-word shingles have
 a Jaccard similarity of at least ``SHARE`` (four in five), and groups are what
-such pairs connect.  Texts that share a MinHash band key with another are looked at: a
+such pairs connect.  SimHash fingerprints of the sets within ``DISTANCE`` bits
+are met first, by op10's segment tables.  Similar sets may lie farther apart
+(9.7 bits on average at the limit), and those are met by MinHash band keys: a
 pair at the limit misses all keys with a probability of (1 - 0.8^4)^32 = 5e-8.
 A few rounds link the members of a key to one of them, so a large group of
 copies makes no pairs of its members.  What these leave apart may still be many
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, columns_apart, cut, lookup
-from .simhash import SEED, components
+from .simhash import SEED, components, links, majority
 
 #: Words of a shingle; bands and values of each.
 WORDS, BANDS, VALUES = 5, 32, 4
@@ -29,6 +31,8 @@ WORDS, BANDS, VALUES = 5, 32, 4
 OVER, UNDER = 4, 5
 #: Rounds that link members of a key to one of them; rows up to which a table is broadcast.
 STARS, SMALL = 3, 100_000
+#: Bits in which fingerprints may differ that are linked by segment tables.
+DISTANCE = 3
 #: Longs of a set's parity bits.
 FLIPS = 4
 
@@ -72,7 +76,7 @@ def _halves(names: list[tuple[int, int]]) -> list:
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, high and low (128 bits that name the words), n (shingles) and keys of every row."""
+    """doc_id, high and low (128 bits that name the words), n (shingles), fp (SimHash of the set) and keys of every row."""
 
     def work(batches: Iterator):
         import numpy as np
@@ -83,16 +87,17 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
         terms = rng.integers(0, 1 << 63, BANDS * VALUES, np.uint64)
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, len(batch), 200)):
-                names, sizes, keys = [], [], []
+                names, sizes, fps, keys = [], [], [], []
                 for text in part.column(1).to_pylist():
                     name, hashes = shingles_of(text, words)
                     names.append(name)
                     sizes.append(len(hashes))
+                    fps.append(majority(hashes))
                     keys.append(np.array(band_keys(hashes, factors, terms), np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), *_halves(names), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "high", "low", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *_halves(names), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "high", "low", "n", "fp", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {kind}, high long, low long, n int, keys array<long>")
+    return docs.mapInArrow(work, f"doc_id {kind}, high long, low long, n int, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -138,6 +143,15 @@ def _flipped(k: int) -> Column:
     return F.aggregate(mine, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(one(h)))
 
 
+MARKS = [f"b{k}" for k in range(FLIPS)]
+
+
+def _near_bits(p: str, q: str) -> Column:
+    """Whether the parity bits of two sets, named with these prefixes, and their sizes leave them similar; true of all similar ones."""
+    differ = sum((F.bit_count(F.col(p + b).bitwiseXOR(F.col(q + b))) for b in MARKS), F.lit(0))
+    return differ * (OVER + UNDER) <= (F.col(p + "n") + F.col(q + "n")) * (UNDER - OVER)
+
+
 def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different roots, among them all whose sets are similar enough.
 
@@ -149,8 +163,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     at least as many shingles as bits, and similar ones in no more than a ninth
     of m + n.  Neither test loses a similar pair.
     """
-    bits = [_flipped(k).alias(f"b{k}") for k in range(FLIPS)]
-    marks = [f"b{k}" for k in range(FLIPS)]
+    bits = [_flipped(k).alias(b) for k, b in enumerate(MARKS)]
     own = cut(sets.join(nodes, "node").select("node", "root", F.size("shingles").alias("n"), *bits, "shingles"), "apart_sets")
     each = own.select("node", F.explode("shingles").alias("w"))
     often = cut(each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
@@ -158,28 +171,44 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     placed = each.join(often, "w").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws")).join(own.drop("shingles"), "node")
     least = F.ceil(F.col("n") * OVER / UNDER)  # what any similar set shares with it
     ahead = F.col("n") - F.size("ws")
-    placed = placed.select("node", "root", "n", *marks, ahead.alias("ahead"), F.posexplode(F.slice("ws", F.lit(1), F.greatest(F.lit(0), F.col("n") - least + 1 - ahead).cast("int"))).alias("at", "s"))
-    placed = cut(placed.select("node", "root", "n", *marks, F.col("s.w").alias("w"), (F.col("n") - F.col("ahead") - F.col("at")).alias("left")), "prefixes")
+    placed = placed.select("node", "root", "n", *MARKS, ahead.alias("ahead"), F.posexplode(F.slice("ws", F.lit(1), F.greatest(F.lit(0), F.col("n") - least + 1 - ahead).cast("int"))).alias("at", "s"))
+    placed = cut(placed.select("node", "root", "n", *MARKS, F.col("s.w").alias("w"), (F.col("n") - F.col("ahead") - F.col("at")).alias("left")), "prefixes")
     small, large = placed.where(F.col("left") * (OVER + UNDER) >= F.col("n") * 2 * OVER).alias("p"), placed.alias("q")
     most = F.least("p.left", "q.left") * (OVER + UNDER) >= (F.col("p.n") + F.col("q.n")) * OVER
-    differ = sum((F.bit_count(F.col(f"p.{b}").bitwiseXOR(F.col(f"q.{b}"))) for b in marks), F.lit(0))
-    most = most & (differ * (OVER + UNDER) <= (F.col("p.n") + F.col("q.n")) * (UNDER - OVER))
+    most = most & _near_bits("p.", "q.")
     met = small.join(large, (F.col("p.w") == F.col("q.w")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.n") <= F.col("q.n")) & most)
     return met.select(*_ordered(F.col("p.node"), F.col("q.node")))
 
 
-def _edges(met: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Similar pairs that connect what all similar pairs under one key do.
+def _alike(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by their fingerprints (node, fp, n): one for each node at most, so a crowd makes no more.
+
+    Nodes of one fingerprint are held against the least of them, and this
+    against that of the least fingerprint that its own is linked to.
+    """
+    some = classes.where("n > 0").select("node", "fp", "n")
+    heads = cut(some.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("many")), "alike_heads")
+    head = heads.select("fp", "head")
+    near = cut(links(heads.select("fp"), DISTANCE).groupBy("a").agg(F.min("b").alias("b")), "near")
+    apart = near.join(head.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(head.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").where(_fits(F.col("x.n"), F.col("y.n")))
+    same = lookup(some, heads.where("many > 1"), "fp", "many", some.count()).where((F.col("node") != F.col("head.node")) & _fits(F.col("n"), F.col("head.n")))
+    return cut(apart.select(*_ordered(F.col("x.node"), F.col("y.node"))).unionByName(same.select(*_ordered(F.col("node"), F.col("head.node")))).distinct(), "alike")
+
+
+def _edges(met: DataFrame, sets: DataFrame, alike: DataFrame) -> DataFrame:
+    """Similar pairs that connect what all similar pairs under one key, and those of ``alike``, do.
 
-    ``met`` has key, node and n of the keys that several nodes have.
+    ``met`` has key, node, n and parity bits of the keys that several nodes have.
     """
     edges, tried, rest = None, None, met.withColumn("root", F.col("node"))
-    for turn in range(STARS + 1):
-        if turn < STARS:
+    for turn in range(-1, STARS + 1):
+        if turn < 0:
+            pairs = alike
+        elif turn < STARS:
             total = rest.count()
-            first = F.min_by(F.struct("node", "root", "n"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+            first = F.min_by(F.struct("node", "root", "n", *MARKS), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
             heads = cut(rest.groupBy("key").agg(first.alias("head"), F.count(F.lit(1)).alias("many")), "heads")
-            pairs = lookup(rest, heads, "key", "many", total).where((F.col("root") != F.col("head.root")) & _fits(F.col("n"), F.col("head.n")))
+            pairs = lookup(rest, heads, "key", "many", total).where((F.col("root") != F.col("head.root")) & _fits(F.col("n"), F.col("head.n")) & _near_bits("", "head."))
             pairs = pairs.select(*_ordered(F.col("node"), F.col("head.node")))
         else:
             pairs = prefix_pairs(rest.select("node", "root").distinct(), sets)
@@ -191,7 +220,7 @@ def _edges(met: DataFrame, sets: DataFrame) -> DataFrame | None:
         if turn == STARS:
             break
         roots = components(edges)
-        told = rest.drop("root").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        told = rest.drop("root").join(roots, "node", "left").select("key", "node", "n", *MARKS, F.coalesce("root", "node").alias("root"))
         told = cut(told, "told")
         apart = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high").select("key", "many")
         rest = cut(lookup(told, cut(apart, "apart"), "key", "many", told.count()).where("many is not null").drop("many"), "rest")
@@ -210,19 +239,23 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     own = columns_apart(docs, "doc_id", "text")
     prints = cut(_prints(own, words), "prints")
-    classes = prints.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("many"))
+    classes = prints.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("many"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers stay as written
     filed = classes.select("node", "n", F.explode("keys").alias("key"))
     shared = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
     hint = F.broadcast if bounded(shared, SMALL) else (lambda df: df)
     met = cut(filed.join(hint(shared), "key").select("key", "node", "n"), "met")
-    nodes = cut(met.select("node").distinct().join(classes, "node").select("node", "high", "low", "least"), "nodes")
+    alike = _alike(classes)
+    seen = met.select("node").unionByName(alike.select(F.col("a").alias("node"))).unionByName(alike.select(F.col("b").alias("node")))
+    nodes = cut(seen.distinct().join(classes, "node").select("node", "high", "low", "least"), "nodes")
     ids = cut(nodes.select("least").distinct(), "ids")
     if bounded(ids, SMALL):
         nodes, ids = F.broadcast(nodes), F.broadcast(ids)
     texts = own.join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     sets = cut(_sets(texts, words).join(nodes.select("node", "high", "low"), ["high", "low"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
-    reach = cut(components(_edges(met, sets)), "reach")
+    marks = sets.select("node", *[_flipped(k).alias(b) for k, b in enumerate(MARKS)])
+    met = cut(met.join(marks, "node"), "marked")
+    reach = cut(components(_edges(met, sets, alike)), "reach")
     of = cut(classes.select("node", "high", "low", "many", "least").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
     # A group's classes, and a class's rows, may be many: both are joined by lookup.

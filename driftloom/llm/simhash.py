@@ -24,6 +24,17 @@ SEED = 42
 SEGMENTS, HOT, SMALL = 2, 64, 100_000
 
 
+def majority(hashes) -> int:
+    """The number whose bits are set in over half the hashes; zero of none."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):
+        part = hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return sum(1 << int(i) for i in np.flatnonzero(2 * ones > len(hashes)))
+
+
 def fingerprints_of(texts, words: int = 3) -> list[int]:
     """SimHash of each text, unsigned; the plain statement is in the tests."""
     import numpy as np
@@ -43,12 +54,7 @@ def fingerprints_of(texts, words: int = 3) -> list[int]:
             starts = np.concatenate(([0], ends[:-1] + 1))
             a, b = starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist()
             hashes = np.fromiter((digest(line[i:j], SEED) for i, j in zip(a, b)), np.uint64, len(a))
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 8192):
-            part = hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        bits = np.flatnonzero(2 * ones > len(hashes))
-        out.append(sum(1 << int(i) for i in bits))
+        out.append(majority(hashes))
     return out
 
 
