@@ -31,6 +31,8 @@ WORDS, PREFIXES = 1_000_000, 2_000_000
 SPLIT, PARTS = 1_000_000, 16
 #: Bytes of text that are split into words at once, and words that are tallied at once.
 CHUNK, TALLY = 1 << 21, 1_500_000
+#: Rows of a batch that goes to Spark: it is held there as a whole, outside the heap.
+ROWS = 1 << 16
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 
 
@@ -104,25 +106,45 @@ def _places(ids, known):
         return ids
     if not len(known):
         return np.full(len(ids), -1, np.int64)
-    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
-    return np.where(known[at] == ids, at, -1)
+    at = np.searchsorted(known, ids)
+    np.minimum(at, len(known) - 1, out=at)
+    at[known[at] != ids] = -1
+    return at
+
+
+def _batches(columns: list, names: list[str]) -> Iterator:
+    """The columns as batches of at most ``ROWS`` rows."""
+    import pyarrow as pa
+
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    for at in range(0, max(len(whole), 1), ROWS):
+        yield whole.slice(at, ROWS)
 
 
 def tally(columns: list) -> tuple[list, object]:
-    """Distinct rows of equally long integer columns and their counts; a row may come twice, so sum them."""
+    """Distinct rows of equally long integer columns and their counts; a row may come twice, so sum them.
+
+    The list is used up: each column is let go once its sorted copy is made.
+    """
     import numpy as np
 
     mixed = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
-        mixed = (mixed ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= c.view(np.uint64)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     order = np.argsort(mixed)
-    columns = [c[order] for c in columns]
-    opens = np.ones(len(order), bool)
-    if len(order):
-        opens[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    del mixed, c
+    rows = len(order)
+    for i in range(len(columns)):
+        columns[i] = columns[i][order]
+    del order
+    opens = np.zeros(rows, bool)
+    opens[:1] = True
+    for c in columns:
+        opens[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(opens)
-    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
+    return [c[at] for c in columns], np.diff(np.append(at, rows))
 
 
 def _prefixes(docs: DataFrame, seed: int, words: dict | None) -> DataFrame:
@@ -138,8 +160,10 @@ def _prefixes(docs: DataFrame, seed: int, words: dict | None) -> DataFrame:
                 for places in _placed(texts, seed, shared.value, lang):
                     first, second = places[:-1], places[1:]
                     both = np.flatnonzero((first != -1) & (second != -1))
-                    (a, b), n = tally([first[both], second[both]])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(a), pa.array(b), pa.array(n, pa.int64())], ["lang", "w1", "w2", "f"])
+                    columns = [first[both], second[both]]
+                    del places, first, second, both
+                    (a, b), n = tally(columns)
+                    yield from _batches([pa.repeat(pa.scalar(lang, pa.string()), len(n)), pa.array(a), pa.array(b), pa.array(n, pa.int64())], ["lang", "w1", "w2", "f"])
 
     return docs.mapInArrow(work, "lang string, w1 long, w2 long, f long").groupBy("lang", "w1", "w2").agg(F.sum("f").alias("f"))
 
@@ -155,7 +179,11 @@ def _placed(texts: list, seed: int, words: dict | None, lang: str) -> Iterator:
 
     def done(held):
         ids = np.concatenate(held)
-        return np.where(ids == gap, -1, _places(ids, known))
+        held.clear()
+        breaks = np.flatnonzero(ids == gap)
+        ids = _places(ids, known)
+        ids[breaks] = -1
+        return ids
 
     held, size = [], 0
     for chunk in chunks(texts):
@@ -164,7 +192,7 @@ def _placed(texts: list, seed: int, words: dict | None, lang: str) -> Iterator:
         size += len(found)
         if size >= TALLY:
             yield done(held)
-            held, size = [], 0
+            size = 0
     if held:
         yield done(held)
 
@@ -192,6 +220,7 @@ def _pointers(docs: DataFrame, seed: int, most: int, words: dict | None, kept: d
                     if kept is not None:
                         pairs = _pair(places[:-1], places[1:])
                         open_ &= _places(pairs, kept.get(lang, none)) != -1
+                        del pairs
                     open_ = np.append(open_, False)
                     at = np.flatnonzero(open_[:-1] & open_[1:])
                     columns, alive = [places[at], places[at + 1]], np.ones(len(at), bool)
@@ -199,11 +228,12 @@ def _pointers(docs: DataFrame, seed: int, most: int, words: dict | None, kept: d
                         to = np.minimum(at + k, len(places) - 1)
                         alive = alive & open_[to - 1] & (to == at + k)
                         columns.append(np.where(alive, places[to], -1))
+                    del places, open_, at, alive
                     columns, n = tally(columns)
                     part = columns[2] % PARTS
                     if heavy is not None:
                         part = np.where(_places(_pair(columns[0], columns[1]), heavy.get(lang, none)) != -1, part, 0)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *map(pa.array, columns), pa.array(part, pa.int64()), pa.array(n, pa.int64())], ["lang", *names, "part", "n"])
+                    yield from _batches([pa.repeat(pa.scalar(lang, pa.string()), len(n)), *map(pa.array, columns), pa.array(part, pa.int64()), pa.array(n, pa.int64())], ["lang", *names, "part", "n"])
 
     return docs.mapInArrow(work, f"lang string, {', '.join(f'{w} long' for w in names)}, part long, n long")
 
